@@ -1,6 +1,378 @@
-def queries():
-    return {}
+"""Registered queries: operators over the domain views, each with its DuckDB counterpart where SQL has one."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import claims, graph, ld, mapping, modules, percolation, qc
+from ..operators import relational as R
+from .views import view, with_views
+
+_QUERIES: dict = {}
+_ORACLES: dict[str, str] = {}
+
+
+def register(oracle: str | None = None):
+    """Add a query under its function's name; doubles of its result are rounded to 6 digits, as in the oracle."""
+
+    def add(f):
+        def query(spark, sf_dir: str) -> DataFrame:
+            out = f(lambda name: view(spark, sf_dir, name) if name.startswith("v_") else spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return out.select(*(F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in out.dtypes))
+
+        _QUERIES[f.__name__] = query
+        if oracle:
+            _ORACLES[f.__name__] = with_views(oracle) if "v_" in oracle else oracle
+        return f
+
+    return add
+
+
+def queries() -> dict:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+SNP1 = "SELECT snp_id, chrom, pos, z, beta, se FROM (SELECT *, row_number() OVER (PARTITION BY snp_id ORDER BY k1, k2, k3, z, beta, se) AS n FROM v_snp) WHERE n = 1"
+EDGE = "SELECT least(a, b) AS src, greatest(a, b) AS dst, {agg}(weight) AS weight FROM v_edge WHERE a <> b GROUP BY 1, 2"
+MAPPED = f"s AS ({SNP1}), m AS (SELECT DISTINCT s.snp_id, g.gene_id FROM s JOIN v_gene g ON s.chrom = g.chrom AND s.pos BETWEEN g.g_start AND g.g_end)"
+WEIGHTED = MAPPED + ", w AS (SELECT snp_id, gene_id, 1.0 / count(*) OVER (PARTITION BY snp_id) AS weight FROM m)"
+
+
+def snps(t) -> DataFrame:
+    return R.dedupe_first(t("v_snp"), ["snp_id"], ["k1", "k2", "k3", "z", "beta", "se"]).select("snp_id", "chrom", "pos", "z", "beta", "se")
+
+
+def edges(t, how: str = "max") -> DataFrame:
+    return graph.canonical_edges(t("v_edge"), how=how)
+
+
+def weights(t) -> DataFrame:
+    return mapping.mapping_weights(mapping.map_variants(snps(t), t("v_gene")))
+
+
+def scored_genes(t) -> DataFrame:
+    g = t("v_gene").withColumnRenamed("gene_id", "gene")
+    return g.join(t("v_score"), "gene").select("gene", "chrom", "g_start", "g_end", "score", "degree")
+
+
+@register(f"WITH {WEIGHTED} SELECT gene_id, count(DISTINCT w.snp_id) AS n_snps, round(sum(weight * z), 6) AS sum_wz, round(sum(weight * weight), 6) AS sum_w2, round(sum(weight * weight * z * z), 6) AS q, round(sum(weight * z) / sqrt(sum(weight * weight)), 6) AS signed_score FROM w JOIN s USING (snp_id) GROUP BY gene_id")
+def flagship_gene_scores(t):
+    return mapping.identity_gene_scores(weights(t), snps(t))
+
+
+@register(SNP1.replace("snp_id, chrom, pos, z, beta, se FROM", "snp_id, chrom, pos, round(z, 6) AS z, round(beta, 6) AS beta, round(se, 6) AS se FROM"))
+def dedupe_first(t):
+    return snps(t)
+
+
+@register(f"WITH s AS ({SNP1}) SELECT s.snp_id, g.gene_id, greatest(g.g_start - s.pos, s.pos - g.g_end, 0) AS distance FROM s JOIN v_gene g ON s.chrom = g.chrom AND s.pos BETWEEN greatest(g.g_start - 2000, 0) AND g.g_end + 1000")
+def range_join_map(t):
+    return mapping.map_variants(snps(t), t("v_gene"), 2000, 1000)
+
+
+@register(f"WITH {WEIGHTED} SELECT snp_id, gene_id, count(*) OVER (PARTITION BY snp_id) AS n_genes, round(weight, 6) AS weight FROM w")
+def mapping_weights(t):
+    return weights(t)
+
+
+@register(f"WITH {MAPPED}, n AS (SELECT snp_id, count(*) AS n FROM m GROUP BY snp_id) SELECT CAST(sum(n) AS BIGINT) AS n_pairs, count(*) AS n_snps, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_multi, max(n) AS max_genes, (SELECT count(DISTINCT gene_id) FROM m) AS n_genes FROM n")
+def mapping_summary(t):
+    return mapping.summarize_mapping(mapping.map_variants(snps(t), t("v_gene")))
+
+
+@register(f"WITH {MAPPED} SELECT snp_id, gene_id, CAST(snp_id % 5 + gene_id % 7 + 1 - 6 * (gene_id % 2) AS DOUBLE) AS raw_weight, round((snp_id % 5 + gene_id % 7 + 1 - 6 * (gene_id % 2)) / sum(abs(snp_id % 5 + gene_id % 7 + 1 - 6 * (gene_id % 2))) OVER (PARTITION BY snp_id), 6) AS weight FROM m WHERE snp_id % 5 + gene_id % 7 + 1 - 6 * (gene_id % 2) <> 0")
+def split_weights_signed(t):
+    raw = F.expr("cast(snp_id % 5 + gene_id % 7 + 1 - 6 * (gene_id % 2) as double)")
+    m = mapping.map_variants(snps(t), t("v_gene")).select("snp_id", "gene_id").distinct().withColumn("raw_weight", raw)
+    return mapping.split_weights(m.where("raw_weight <> 0"))
+
+
+def _edges_query(how: str, agg: str) -> None:
+    def q(t):
+        return edges(t, how)
+
+    q.__name__ = f"canonical_edges_{how}"
+    register(f"SELECT src, dst, round(weight, 6) AS weight FROM ({EDGE.format(agg=agg)})")(q)
+
+
+for _how, _agg in (("max", "max"), ("mean", "avg"), ("sum", "sum")):
+    _edges_query(_how, _agg)
+
+
+@register(f"WITH e AS ({EDGE.format(agg='max')}), b AS (SELECT src AS node, weight FROM e UNION ALL SELECT dst, weight FROM e) SELECT node, count(*) AS degree, round(sum(weight), 6) AS strength FROM b GROUP BY node")
+def node_degree(t):
+    return graph.degrees(edges(t))
+
+
+@register(f"WITH e AS ({EDGE.format(agg='max')}) SELECT src, dst, weight FROM e WHERE src IN (SELECT gene_id FROM v_gene WHERE size <= 20) AND dst IN (SELECT gene_id FROM v_gene WHERE size <= 20)")
+def edge_semi_filter(t):
+    return graph.induced(edges(t), t("v_gene").where("size <= 20").select(F.col("gene_id").alias("node"))).select("src", "dst", "weight")
+
+
+def _laplacian_query(kind: str, off: str, diag: str) -> None:
+    def q(t):
+        return graph.laplacian(edges(t), kind)
+
+    q.__name__ = f"laplacian_{kind}"
+    register(
+        f"WITH e AS ({EDGE.format(agg='max')}), b AS (SELECT src AS i, dst AS j, weight AS w FROM e UNION ALL SELECT dst, src, weight FROM e), "
+        f"d AS (SELECT i AS node, sum(w) AS d FROM b GROUP BY i) SELECT b.i, b.j, round({off}, 6) AS v FROM b JOIN d di ON di.node = b.i JOIN d dj ON dj.node = b.j "
+        f"UNION ALL SELECT node, node, round({diag}, 6) FROM d"
+    )(q)
+
+
+for _k, _o, _d in (("unnormalized", "-b.w", "d"), ("normalized", "-b.w / sqrt(di.d * dj.d)", "1.0::DOUBLE"), ("random_walk", "-b.w / di.d", "1.0::DOUBLE")):
+    _laplacian_query(_k, _o, _d)
+
+
+@register(f"WITH e AS ({EDGE.format(agg='max')}), m AS (SELECT avg(score) AS m FROM v_score) SELECT round(sum(e.weight * (a.score - b.score) * (a.score - b.score)), 6) AS smoothness, round((SELECT sum((score - m) * (score - m)) FROM v_score, m), 6) AS energy FROM e JOIN v_score a ON a.gene = e.src JOIN v_score b ON b.gene = e.dst")
+def smoothness(t):
+    return graph.smoothness(edges(t), t("v_score").select(F.col("gene").alias("node"), F.col("score").alias("x")))
+
+
+COMPONENTS = f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGE.format(agg='sum')}) WHERE weight >= 120),
+n AS (SELECT gene_id AS node FROM v_gene), b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e),
+r AS (SELECT node AS x, node AS root FROM n UNION SELECT b.y, r.root FROM r JOIN b ON b.x = r.x),
+c AS (SELECT x AS node, min(root) AS root FROM r GROUP BY x), s AS (SELECT root, count(*) AS n_nodes FROM c GROUP BY root),
+l AS (SELECT root, count(*) AS n_edges FROM e JOIN c ON c.node = e.src GROUP BY root),
+k AS (SELECT s.root, n_nodes, coalesce(n_edges, 0) AS n_edges, row_number() OVER (ORDER BY n_nodes DESC, s.root) AS component_id FROM s LEFT JOIN l ON l.root = s.root)
+SELECT node, component_id, n_nodes, n_edges, component_id = 1 AS is_largest FROM c JOIN k ON k.root = c.root"""
+
+
+@register(COMPONENTS)
+def component_table(t):
+    return graph.component_table(edges(t, "sum").where("weight >= 120"), t("v_gene").select(F.col("gene_id").alias("node")))
+
+
+@register("WITH n AS (SELECT gene, score, row_number() OVER (ORDER BY score DESC, gene) AS r, count(*) OVER () AS n FROM v_score), f AS (SELECT unnest([0.01, 0.05, 0.1]) AS rank_fraction) SELECT gene, score, CAST(rank_fraction AS DOUBLE) AS rank_fraction FROM n, f WHERE r <= greatest(1, round_even(n * rank_fraction, 0))")
+def top_fraction_sets(t):
+    return R.top_fraction(t("v_score").select("gene", "score"), "score", "gene", [0.1, 0.01, 0.05])
+
+
+@register("SELECT gene, CAST(greatest(0, ceil((r - 1) * 10 / (n - 1)) - 1) AS INT) AS bin FROM (SELECT gene, row_number() OVER (ORDER BY degree, gene) AS r, count(*) OVER () AS n FROM v_score)")
+def degree_bins(t):
+    return R.quantile_bins(t("v_score"), "degree", 10, "gene").select("gene", "bin")
+
+
+@register("SELECT gene, round((r + (k - 1) / 2.0) / n, 6) AS pct FROM (SELECT gene, rank() OVER (ORDER BY degree) AS r, count(*) OVER (PARTITION BY degree) AS k, count(*) OVER () AS n FROM v_score)")
+def avg_rank_pct(t):
+    ranked = R.average_rank(t("v_score"), "degree")
+    return ranked.select("gene", (F.col("rank") / F.count("*").over(Window.partitionBy())).alias("pct"))
+
+
+LOCI = """w AS (SELECT p_partkey AS gene, chrom, g_start, g_end, score, degree, greatest(g_start - 4000, 0) AS ws, g_end + 4000 AS we
+  FROM part JOIN v_gene ON gene_id = p_partkey JOIN v_score ON gene = p_partkey),
+i AS (SELECT *, CASE WHEN ws <= max(we) OVER (PARTITION BY chrom ORDER BY ws, we ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM w),
+l AS (SELECT *, 'chr' || chrom || ':L' || lpad(CAST(sum(new) OVER (PARTITION BY chrom ORDER BY ws, we ROWS UNBOUNDED PRECEDING) AS VARCHAR), 5, '0') AS locus_id FROM i)"""
+
+
+@register(f"WITH {LOCI} SELECT gene, locus_id FROM l")
+def islands_loci(t):
+    return modules.pseudo_loci(scored_genes(t), 4000).select("gene", "locus_id")
+
+
+@register(f"WITH {LOCI} SELECT locus_id, round(max(score), 6) AS locus_score, count(DISTINCT gene) AS n_genes FROM l GROUP BY locus_id")
+def locus_collapse(t):
+    return modules.collapse_loci(modules.pseudo_loci(scored_genes(t), 4000))
+
+
+@register(f"WITH {LOCI}, a AS (SELECT locus_id, min(chrom) AS chrom, min(g_start) AS l_start, max(g_end) AS l_end, count(DISTINCT gene) AS n_genes, max(score) AS locus_score, CAST(max(CASE WHEN score > 2 AND score < 4 THEN 1 ELSE 0 END) AS INT) AS moderate FROM l GROUP BY locus_id) SELECT locus_id, chrom, l_start, l_end, n_genes, round(locus_score, 6) AS locus_score, moderate, round((rank() OVER (ORDER BY locus_score DESC) + (count(*) OVER (PARTITION BY locus_score) - 1) / 2.0) / count(*) OVER (), 6) AS rank_share FROM a")
+def locus_background(t):
+    return modules.locus_background(modules.pseudo_loci(scored_genes(t), 4000))
+
+
+@register("WITH b AS (SELECT CAST(chrom AS VARCHAR) || '-' || CAST(k AS VARCHAR) AS block_id, chrom, k * 150000 AS b_start, k * 150000 + 140000 AS b_end FROM (SELECT DISTINCT chrom FROM v_gene), (SELECT unnest(range(0, 20)) AS k)), h AS (SELECT g.gene_id, b.block_id, row_number() OVER (PARTITION BY g.gene_id ORDER BY CASE WHEN (g.g_start + g.g_end) / 2.0 BETWEEN b_start AND b_end THEN 0 ELSE 1 END, least(g.g_end, b_end) - greatest(g.g_start, b_start) DESC, b_start) AS n FROM v_gene g JOIN b ON b.chrom = g.chrom AND g.g_start <= b_end AND b_start <= g.g_end) SELECT g.gene_id, coalesce(h.block_id, 'UNBLOCKED') AS block_id FROM v_gene g LEFT JOIN h ON h.gene_id = g.gene_id AND n = 1")
+def ld_block_assign(t):
+    b = t("v_gene").select("chrom").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    b = b.select("chrom", F.concat_ws("-", "chrom", F.col("k").cast("string")).alias("block_id"), (F.col("k") * 150000).alias("b_start"), (F.col("k") * 150000 + 140000).alias("b_end"))
+    return mapping.assign_blocks(t("v_gene"), b)
+
+
+MEMBERS = "j AS (SELECT module, gene, score, row_number() OVER (PARTITION BY module ORDER BY score DESC, gene) AS r, count(*) OVER (PARTITION BY module) AS n FROM (SELECT DISTINCT module, gene FROM v_module) JOIN v_score USING (gene))"
+
+
+@register(f"WITH {MEMBERS} SELECT module, count(*) AS n, round(avg(score), 6) AS mean, round(sum(score) / sqrt(count(*)), 6) AS sqrt_n_mean, round(sum(greatest(score, 0)) / sqrt(count(*)), 6) AS positive_stat FROM j GROUP BY module")
+def module_statistics(t):
+    return modules.module_statistics(t("v_module"), t("v_score"))
+
+
+@register(f"WITH {MEMBERS} SELECT module, round(avg(score), 6) AS top_mean, count(*) AS n_top FROM j WHERE r <= greatest(1, ceil(n * 0.2)) GROUP BY module")
+def module_top_fraction(t):
+    return modules.top_fraction_mean(t("v_module"), t("v_score"))
+
+
+@register(f"WITH {MEMBERS} SELECT module, k, count(*) FILTER (r > k) AS n_left, round(sum(score) FILTER (r > k) / sqrt(nullif(count(*) FILTER (r > k), 0)), 6) AS stat FROM j, (SELECT unnest([1, 3, 5]) AS k) GROUP BY module, k")
+def leave_top_k(t):
+    return modules.leave_top_k(t("v_module"), t("v_score"))
+
+
+@register(f"WITH {MEMBERS}, g AS (SELECT *, floor(n * 0.1) AS g FROM j), b AS (SELECT module, max(score) FILTER (r = n - g) AS lo, max(score) FILTER (r = g + 1) AS hi FROM g GROUP BY module) SELECT module, round(avg(score) FILTER (r > g AND r <= n - g), 6) AS trimmed_mean, round(avg(least(greatest(score, lo), hi)), 6) AS winsor_mean FROM g JOIN b USING (module) GROUP BY module")
+def winsor_trim_stats(t):
+    return modules.robust_statistics(t("v_module"), t("v_score"))
+
+
+@register(f"WITH {MEMBERS} SELECT module, round(sum(score), 6) AS positive_sum, round(sum(score) * sum(score) / sum(score * score), 6) AS effective_number, round(sum(score) FILTER (r <= 1) / sum(score), 6) AS top1_share, round(sum(score) FILTER (r <= 5) / sum(score), 6) AS top5_share FROM j GROUP BY module")
+def contribution_metrics(t):
+    return modules.contribution_metrics(t("v_module").distinct().join(t("v_score"), "gene"))
+
+
+@register(f"WITH {MEMBERS}, c AS (SELECT module, sum(score) * sum(score) / sum(score * score) AS e, sum(score) FILTER (r <= 1) / sum(score) AS t1, sum(score) FILTER (r <= 5) / sum(score) AS t5 FROM j GROUP BY module) SELECT module, round(least(1, e / 5), 6) AS n_eff_penalty, round(least(1, 0.35 / t1), 6) AS top1_penalty, round(least(1, 0.7 / t5), 6) AS top5_penalty FROM c")
+def module_penalties(t):
+    c = modules.contribution_metrics(t("v_module").distinct().join(t("v_score"), "gene"))
+    return c.select("module", *(x.alias(n) for n, x in modules.penalties(F.col("effective_number"), F.col("top1_share"), F.col("top5_share")).items()))
+
+
+PERMUTED = "b AS (SELECT gene, score, CAST(degree % 4 AS INT) AS bin FROM v_score), r AS (SELECT unnest(range(0, {n}))::INT AS replicate), h AS (SELECT replicate, gene, bin, row_number() OVER (PARTITION BY replicate, bin ORDER BY gene) AS k FROM b, r), v AS (SELECT replicate, bin, score, row_number() OVER (PARTITION BY replicate, bin ORDER BY md5('1-' || replicate || '-' || gene), gene) AS k FROM b, r), p AS (SELECT h.replicate, h.gene, h.bin, v.score FROM h JOIN v USING (replicate, bin, k))"
+
+
+def permuted(t, n: int) -> DataFrame:
+    b = t("v_score").select("gene", "score", (F.col("degree") % 4).cast("int").alias("bin"))
+    return R.hash_permute(b, "score", "gene", ["bin"], n)
+
+
+@register("WITH " + PERMUTED.format(n=5) + " SELECT * FROM p")
+def hash_permute_within_bins(t):
+    return permuted(t, 5)
+
+
+NULLS = PERMUTED.format(n=20) + f", {MEMBERS}, o AS (SELECT module, sum(score) / sqrt(count(*)) AS observed FROM j GROUP BY module), n AS (SELECT replicate, module, sum(p.score) / sqrt(count(*)) AS value FROM p JOIN (SELECT DISTINCT module, gene FROM v_module) USING (gene) GROUP BY ALL)"
+
+
+def null_statistics(t) -> tuple[DataFrame, DataFrame]:
+    sets = t("v_module").distinct()
+    stat = F.round(F.sum("score") / F.sqrt(F.count("*").cast("double")), 9)
+    null = permuted(t, 20).join(sets, "gene").groupBy("replicate", "module").agg(stat.alias("value"))
+    return null, sets.join(t("v_score"), "gene").groupBy("module").agg(stat.alias("observed"))
+
+
+@register(f"WITH {NULLS} SELECT module, round(any_value(observed), 6) AS observed, count(*) AS n_null, round(avg(value), 6) AS null_mean, round(stddev_samp(value), 6) AS null_sd, round((count(*) FILTER (round(value, 9) >= round(observed, 9)) + 1) / (count(*) + 1), 6) AS p_upper, round((count(*) FILTER (round(value, 9) <= round(observed, 9)) + 1) / (count(*) + 1), 6) AS p_lower, round((any_value(observed) - avg(value)) / stddev_samp(value), 6) AS z FROM n JOIN o USING (module) GROUP BY module")
+def empirical_p_z(t):
+    return R.empirical(*null_statistics(t), ["module"])
+
+
+@register(f"WITH {NULLS}, x AS (SELECT replicate, max(round(value, 9)) AS top FROM n GROUP BY replicate) SELECT module, round(observed, 6) AS observed, round((count(*) FILTER (top >= round(observed, 9)) + 1) / (count(*) + 1), 6) AS p_family FROM o, x GROUP BY module, observed")
+def module_familywise_max(t):
+    return modules.familywise(*null_statistics(t))
+
+
+@register("WITH p AS (SELECT gene, CASE WHEN gene % 17 = 0 THEN NULL ELSE (gene * 7919 % 1000 + 1) / 1000.0 END AS p FROM v_score), n AS (SELECT p, count(*) AS k FROM p WHERE p IS NOT NULL GROUP BY p), s AS (SELECT p, p * sum(k) OVER () / sum(k) OVER (ORDER BY p) AS q FROM n), q AS (SELECT p, least(1, min(q) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) AS q FROM s) SELECT gene, round(p.p, 6)::DOUBLE AS p, round(q, 6)::DOUBLE AS q FROM p LEFT JOIN q ON q.p = p.p")
+def bh_fdr(t):
+    p = F.when(F.col("gene") % 17 != 0, ((F.col("gene") * 7919) % 1000 + 1) / 1000.0)
+    return R.bh_fdr(t("v_score").select("gene", p.alias("p")), "p").select("gene", "p", "q")
+
+
+@register("WITH s AS (SELECT DISTINCT module, gene FROM v_module), n AS (SELECT module, count(*) AS n FROM s GROUP BY module), x AS (SELECT a.module AS a, b.module AS b, count(*) AS shared FROM s a JOIN s b ON a.gene = b.gene AND a.module < b.module GROUP BY ALL) SELECT a, b, shared, round(shared / (na.n + nb.n - shared), 6) AS jaccard FROM x JOIN n na ON na.module = a JOIN n nb ON nb.module = b")
+def pairwise_jaccard(t):
+    return R.pairwise_jaccard(t("v_module"), "module", "gene")
+
+
+@register("WITH u AS (SELECT gene FROM v_score WHERE degree > 25) SELECT module, CAST(sum(CASE WHEN u.gene IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n_present, CAST(sum(CASE WHEN u.gene IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped FROM (SELECT DISTINCT module, gene FROM v_module) s LEFT JOIN u ON u.gene = s.gene GROUP BY module")
+def present_dropped_sets(t):
+    return R.present_dropped(t("v_module"), t("v_score").where("degree > 25"), "module", "gene")
+
+
+@register("WITH s AS (SELECT module, rank_fraction, n FROM (SELECT DISTINCT module, gene FROM v_module) JOIN v_score USING (gene), (SELECT unnest([0.1, 0.2, 0.5]) AS rank_fraction), (SELECT 1 AS n)), g AS (SELECT module, CAST(rank_fraction AS DOUBLE) AS x, round(count(*) * rank_fraction, 6)::DOUBLE AS y FROM s GROUP BY module, rank_fraction), a AS (SELECT module, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS a FROM g WINDOW w AS (PARTITION BY module ORDER BY x)) SELECT module, round(coalesce(sum(a), 0), 6) AS auc FROM a GROUP BY module")
+def trapezoid_auc(t):
+    s = t("v_module").distinct().join(t("v_score"), "gene").groupBy("module").agg(F.count("*").alias("n"))
+    g = s.withColumn("x", F.explode(F.array(F.lit(0.1), F.lit(0.2), F.lit(0.5)))).withColumn("y", F.round(F.col("n") * F.col("x"), 6))
+    return R.trapezoid(g, "x", "y", ["module"])
+
+
+@register("SELECT gene, round(score - (regr_intercept(score, degree) OVER () + regr_slope(score, degree) OVER () * degree), 6) AS residual FROM v_score")
+def ols_residual(t):
+    return R.ols_residual(t("v_score"), "score", ["degree"]).select("gene", "residual")
+
+
+@register("SELECT round(corr(score, degree), 6) AS pearson, round(corr(rs, rd), 6) AS spearman FROM (SELECT score, degree, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rs, rank() OVER (ORDER BY degree) + (count(*) OVER (PARTITION BY degree) - 1) / 2.0 AS rd FROM v_score)")
+def pearson_spearman(t):
+    r = R.average_rank(R.average_rank(t("v_score"), "score", "rs"), "degree", "rd")
+    return r.agg(F.corr("score", "degree").alias("pearson"), F.corr("rs", "rd").alias("spearman"))
+
+
+GENO = "g AS (SELECT vec_id AS sample, CAST(unnest(range(0, 12)) AS INT) AS snp, embedding FROM embeddings), x AS (SELECT sample, snp, CAST(embedding[snp + 1] AS DOUBLE) AS v FROM g)"
+
+
+def genotypes(t) -> DataFrame:
+    e = t("embeddings").select(F.col("vec_id").alias("sample"), F.posexplode(F.slice("embedding", 1, 12)).alias("snp", "value"))
+    return e.withColumn("value", F.col("value").cast("double"))
+
+
+@register(f"WITH {GENO} SELECT a.snp AS snp_i, b.snp AS snp_j, CASE WHEN a.snp = b.snp THEN 1.0 ELSE round(corr(a.v, b.v), 6) END::DOUBLE AS r FROM x a JOIN x b USING (sample) WHERE a.snp <= b.snp GROUP BY a.snp, b.snp")
+def ld_correlation(t):
+    return ld.genotype_correlation(genotypes(t))
+
+
+@register(f"WITH {GENO}, r AS (SELECT a.snp AS i, b.snp AS j, CASE WHEN a.snp = b.snp THEN 1.0 ELSE corr(a.v, b.v) END AS r FROM x a JOIN x b USING (sample) GROUP BY a.snp, b.snp) SELECT CAST(count(*) FILTER (i = j) AS BIGINT) AS n, round(count(*) FILTER (i = j) * count(*) FILTER (i = j) / sum(r * r), 6) AS m_eff, round(sum(r * r) / count(*) FILTER (i = j), 6) AS local_ld_score FROM r")
+def ld_summary(t):
+    return ld.summarize_correlation(ld.genotype_correlation(genotypes(t)))
+
+
+ALLELES = "SELECT snp_id, ['A','C','G','T'][1 + snp_id % 4] AS e, ['A','C','G','T'][1 + (snp_id // 4) % 4] AS o, ['A','C','G','T'][1 + (snp_id // 16) % 4] AS r1, ['A','C','G','T'][1 + (snp_id // 64) % 4] AS r2 FROM (SELECT DISTINCT snp_id FROM v_snp)"
+
+
+def alleles(t) -> DataFrame:
+    base = lambda d: F.element_at(F.array(*map(F.lit, "ACGT")), (1 + F.floor(F.col("snp_id") / d) % 4).cast("int"))
+    return t("v_snp").select("snp_id").distinct().select("snp_id", base(1).alias("e"), base(4).alias("o"), base(16).alias("r1"), base(64).alias("r2"))
+
+
+@register(f"WITH a AS ({ALLELES}) SELECT snp_id, CASE WHEN e = r1 AND o = r2 THEN 'same' WHEN e = r2 AND o = r1 THEN 'flip' WHEN translate(e, 'ACGT', 'TGCA') = r1 AND translate(o, 'ACGT', 'TGCA') = r2 THEN 'strand' WHEN translate(e, 'ACGT', 'TGCA') = r2 AND translate(o, 'ACGT', 'TGCA') = r1 THEN 'strand_flip' END AS alignment, translate(e, 'ACGT', 'TGCA') = o AS palindromic FROM a")
+def qc_allele_case(t):
+    return alleles(t).select("snp_id", S.allele_case(*map(F.col, ("e", "o", "r1", "r2"))).alias("alignment"), S.palindromic(F.col("e"), F.col("o")).alias("palindromic"))
+
+
+@register("SELECT snp_id, pos, concat_ws(';', CASE WHEN beta = 0 THEN 'zero_beta' END, CASE WHEN se < 0.03 THEN 'small_se' END, CASE WHEN abs(z) > 1.5 THEN 'large_z' END) AS qc_fail_reason FROM v_snp")
+def qc_fail_reasons(t):
+    checks = [("zero_beta", F.col("beta") == 0), ("small_se", F.col("se") < 0.03), ("large_z", F.abs("z") > 1.5)]
+    return t("v_snp").select("snp_id", "pos", S.fail_reasons(checks).alias("qc_fail_reason"))
+
+
+@register("SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(concat_ws(';', CASE WHEN beta = 0 THEN 'zero_beta' END, CASE WHEN se < 0.03 THEN 'small_se' END, CASE WHEN abs(z) > 1.5 THEN 'large_z' END), ';')) AS reason FROM v_snp) WHERE reason <> '' GROUP BY reason")
+def qc_fail_counts(t):
+    return qc.fail_counts(qc_fail_reasons(t))
+
+
+@register("SELECT gene_id, size < 2 AS low_information, size > 40 AS high_snp_count, concat_ws(';', CASE WHEN chrom = '6' AND g_start * 20 <= 35000000 AND g_end * 20 >= 25000000 THEN 'MHC' END, CASE WHEN chrom = '19' AND g_start * 20 <= 46500000 AND g_end * 20 >= 44000000 THEN 'APOE' END) AS special_regions FROM v_gene")
+def safety_flags(t):
+    g = t("v_gene").select("gene_id", "chrom", (F.col("g_start") * 20).alias("g_start"), (F.col("g_end") * 20).alias("g_end"), F.col("size").cast("double").alias("m_eff"), F.col("size").alias("n_snps"))
+    return qc.gene_flags(g, 40).select("gene_id", "low_information", "high_snp_count", "special_regions")
+
+
+@register("SELECT gene, score - 12 AS z, CASE WHEN score - 12 >= 2.5 THEN 'final_positive' WHEN score - 12 >= 2.0 THEN 'supportive' ELSE 'negative' END AS claim FROM (SELECT gene, score FROM v_score)".replace("score - 12 AS z", "round(score - 12, 6) AS z"))
+def z_claims(t):
+    return t("v_score").select("gene", (F.col("score") - 12).alias("z"), claims.z_claim(F.col("score") - 12).alias("claim"))
+
+
+@register("SELECT gene, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, gene) AS rank FROM v_score ORDER BY score DESC, gene LIMIT 20")
+def top20_genes(t):
+    ranked = t("v_score").orderBy(F.desc("score"), "gene").limit(20)
+    return ranked.select("gene", "score", F.row_number().over(Window.orderBy(F.desc("score"), "gene")).alias("rank"))
+
+
+@register()
+def percolation_curve(t):
+    s = t("v_score").select(F.col("gene").alias("node"), "score")
+    return percolation.percolation_curve(edges(t, "sum").where("weight >= 60"), s, [0.01, 0.05, 0.1, 0.2])
+
+
+@register()
+def percolation_null_auc(t):
+    s = permuted(t, 3).select("replicate", F.col("gene").alias("node"), "score")
+    curve = percolation.percolation_curve(edges(t, "sum").where("weight >= 60"), s, [0.05, 0.1, 0.2], ("replicate",))
+    return percolation.percolation_auc(curve, ("replicate",))
+
+
+@register()
+def heat_diffusion(t):
+    s = permuted(t, 3).select("replicate", F.col("gene").alias("node"), "score")
+    return percolation.heat_diffusion(edges(t, "sum").where("weight >= 60"), s)
+
+
+@register()
+def gene_mixture_tests(t):
+    return ld.gene_tests(weights(t).join(snps(t).select("snp_id", "z"), "snp_id"))
