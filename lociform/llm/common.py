@@ -3,14 +3,12 @@
 * ``append_columns`` runs an Arrow kernel over bounded slices of every batch
   and keeps the other columns. An input column whose name equals (in any case)
   that of a column the operator adds is replaced by the operator's column.
-* ``Scratch`` writes intermediate tables under ``spark.checkpoint.dir``, the
+* ``Scratch`` (of the storage module) writes intermediate tables under ``spark.checkpoint.dir``, the
   folder that all executors of a cluster share.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import map_arrow
+from ..storage import Scratch  # noqa: F401  used by the operators
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
@@ -77,32 +76,6 @@ def append_columns(
     return map_arrow(df.select(*columns, *(c.alias(f"__in_{i}") for i, c in enumerate(inputs))), run, schema)
 
 
-class Scratch:
-    """Intermediate tables in the shared checkpoint folder; they outlive lost executors."""
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-            base = held.get() if held.isDefined() else None
-        if not base:  # only where the session names no folder, as in tests
-            base = "file://" + tempfile.mkdtemp(prefix="lociform-")
-            spark.sparkContext.setCheckpointDir(base)
-        self.folder = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def open_uri(uri: str, mode: str):
     """Open a file of the shared folder from an executor, by any scheme that pyarrow knows."""
     from pyarrow import fs

@@ -308,6 +308,13 @@ class Picture:
 
 def decode_progressive(data: bytes) -> Picture:
     """The picture of a progressive JPEG, its coefficients accumulated."""
+    try:
+        return _decode(data)
+    except (struct.error, IndexError, KeyError, StopIteration) as broken:
+        raise ValueError(f"broken JPEG: {broken!r}") from broken
+
+
+def _decode(data: bytes) -> Picture:
     if data[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
     p, at = Picture(), 2

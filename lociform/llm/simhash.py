@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components
 from .common import Scratch, append_columns, quoted, text_or_empty, without
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -156,33 +157,6 @@ def fingerprint_links(fps: DataFrame, max_distance: int = 2) -> DataFrame:
     return near.distinct()
 
 
-def components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the least node of each linked node's component, for all nodes with a link.
-
-    Alternating large-star and small-star rounds: each node's greater neighbours, then its
-    lesser ones, are linked to the least of its neighbourhood, until nothing changes. Each is a
-    join with one aggregated row a node, so no neighbourhood is ever collected; rounds are
-    written to the shared folder, and the driver sees two numbers of each.
-    """
-    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges-0")
-    state = None
-    for i in range(1, max_rounds + 1):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = scratch.keep(small.where("u <> v").distinct(), f"edges-{i}")
-        scratch.drop(f"edges-{i - 1}")
-        row = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == state or row[0] == 0:
-            break
-        state = tuple(row)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def link_components(
     df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 3, max_distance: int = 2, scratch: Scratch | None = None
 ) -> DataFrame:
