@@ -118,18 +118,27 @@ class Picture:
             c["cols"] = -(-(-(-self.width * c["h"] // self.hmax)) // 8)
 
     def order(self, chosen: list[int]) -> tuple[list[np.ndarray], int]:
-        """For each component of a scan the places (row, column) of its blocks, (units, blocks a unit, 2)."""
+        """For each component of a scan the numbers of its blocks, (units, blocks a unit), and the units."""
         if len(chosen) == 1:
             c = self.components[chosen[0]]
-            grid = np.stack(np.meshgrid(np.arange(c["rows"]), np.arange(c["cols"]), indexing="ij"), -1)
-            return [grid.reshape(-1, 1, 2)], c["rows"] * c["cols"]
-        out = []
+            wide = c["coef"].shape[1]
+            if wide == c["cols"]:
+                return [np.arange(c["rows"] * wide)[:, None]], c["rows"] * wide
+            return [(np.arange(c["rows"])[:, None] * wide + np.arange(c["cols"])).reshape(-1, 1)], c["rows"] * c["cols"]
+        out, units = [], self.down * self.across
         for k in chosen:
             c = self.components[k]
-            unit = np.stack(np.meshgrid(np.arange(self.down), np.arange(self.across), indexing="ij"), -1).reshape(-1, 1, 2) * [c["v"], c["h"]]
-            inner = np.stack(np.meshgrid(np.arange(c["v"]), np.arange(c["h"]), indexing="ij"), -1).reshape(1, -1, 2)
-            out.append(unit + inner)
-        return out, self.down * self.across
+            if c["h"] == c["v"] == 1:
+                out.append(np.arange(units)[:, None])
+                continue
+            wide = c["coef"].shape[1]
+            unit = np.arange(self.down)[:, None] * c["v"] * wide + np.arange(self.across) * c["h"]
+            inner = np.arange(c["v"])[:, None] * wide + np.arange(c["h"])
+            out.append(unit.reshape(-1, 1) + inner.reshape(1, -1))
+        return out, units
+
+    def blocks(self, k: int) -> np.ndarray:
+        return self.components[k]["coef"].reshape(-1, 64)
 
     def scan(self, head: bytes, segments: list[bytes]) -> None:
         n = head[0]
@@ -155,22 +164,24 @@ class Picture:
             return
         if n != 1:
             raise ValueError("AC scans have one component")
-        coef, at, table = self.components[chosen[0]]["coef"], places[0][:, 0], self.ac[tables[0] & 15]
-        blocks = coef[at[:, 0], at[:, 1]]
+        flat, at, table = self.blocks(chosen[0]), places[0][:, 0], self.ac[tables[0] & 15]
+        whole = len(at) == len(flat)
+        blocks = flat if whole else flat[at]
         for k, seg in enumerate(segments):
             part = blocks[k * each : (k + 1) * each]
             (self.refine_ac if high else self.first_ac)(part, Bits(seg), table, first, last, low)
-        coef[at[:, 0], at[:, 1]] = blocks
+        if not whole:
+            flat[at] = blocks
 
     def first_dc(self, chosen, tables, places, segments, each, low) -> None:
         for k, seg in enumerate(segments):
             bits, was = Bits(seg), [0] * len(chosen)
             for u in range(k * each, min((k + 1) * each, len(places[0]))):
                 for i, c in enumerate(chosen):
-                    for r, q in places[i][u].tolist():
+                    for q in places[i][u].tolist():
                         s = bits.symbol(tables[i])
                         was[i] += extend(bits.read(s), s)
-                        self.components[c]["coef"][r, q, 0] = was[i] << low
+                        self.blocks(c)[q, 0] = was[i] << low
 
     def first_dc_lanes(self, chosen, tables, places, segments, each, low) -> None:
         """Segments begin anew, so they are decoded side by side, one array element each."""
@@ -196,19 +207,20 @@ class Picture:
                     v = peek().astype(np.int64) >> (16 - s)
                     at[lanes] += s
                     was[i][lanes] += np.where((s > 0) & (v < (1 << np.maximum(s - 1, 0))), v - (1 << s) + 1, v)
-                    where = places[i][lanes * each + step, b]
-                    self.components[c]["coef"][where[:, 0], where[:, 1], 0] = was[i][lanes] << low
+                    self.blocks(c)[places[i][lanes * each + step, b], 0] = was[i][lanes] << low
         if (at > (base + size) * 8).any():
             raise ValueError("the scan ends early")
 
     def refine_dc(self, chosen, places, segments, each, low) -> None:
-        where = np.concatenate([np.concatenate([np.full((*p.shape[:2], 1), c), p], axis=2) for c, p in zip(chosen, places, strict=True)], axis=1)
+        sizes = [p.shape[1] for p in places]
         for k, seg in enumerate(segments):
-            part = where[k * each : (k + 1) * each].reshape(-1, 3)
-            bits = Bits(seg).array(len(part)).astype(np.int16) << low
-            for c in chosen:
-                mine = part[:, 0] == c
-                self.components[c]["coef"][part[mine, 1], part[mine, 2], 0] |= bits[mine]
+            part = slice(k * each, (k + 1) * each)
+            units = len(places[0][part])
+            bits = Bits(seg).array(units * sum(sizes)).astype(np.int16).reshape(units, -1) << low
+            at = 0
+            for c, p, n in zip(chosen, places, sizes, strict=True):
+                self.blocks(c)[p[part], 0] |= bits[:, at : at + n]
+                at += n
 
     @staticmethod
     def first_ac(blocks: np.ndarray, bits: Bits, table, first: int, last: int, low: int) -> None:
@@ -298,12 +310,21 @@ class Picture:
             v, h = self.vmax // c["v"], self.hmax // c["h"]
             if v > 1 or h > 1:
                 plane = plane.repeat(v, axis=0).repeat(h, axis=1)
-            planes.append(np.clip(np.rint(plane[: self.height, : self.width]), 0, 255))
+            plane = np.rint(plane[: self.height, : self.width])
+            planes.append(np.clip(plane, 0, 255, out=plane))
         if len(planes) == 1:
             return np.repeat(planes[0].astype(np.uint8)[:, :, None], 3, axis=2)
-        y, b, r = planes[0], planes[1] - np.float32(128), planes[2] - np.float32(128)
-        out = np.stack([y + np.float32(1.402) * r, y - np.float32(0.344136) * b - np.float32(0.714136) * r, y + np.float32(1.772) * b], axis=2)
-        return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+        y, b, r = planes
+        b -= np.float32(128)
+        r -= np.float32(128)
+        out = np.empty((*y.shape, 3), np.uint8)
+        for k, (cb, cr) in enumerate(((0, 1.402), (-0.344136, -0.714136), (1.772, 0))):
+            v = y + np.float32(cr) * r if cr else y + np.float32(cb) * b
+            if cb and cr:
+                v += np.float32(cb) * b
+            np.rint(v, out=v)
+            out[:, :, k] = np.clip(v, 0, 255, out=v)
+        return out
 
 
 def decode_progressive(data: bytes) -> Picture:
