@@ -31,7 +31,7 @@ from .common import append_columns, quoted, text_or_empty
 WORD = re.compile(r"[^\W\d_]+")
 #: A character that no piece covers, in any language.
 UNSEEN = 1e-9
-CACHED_WORDS, CACHED_LENGTH = 200_000, 32
+CACHED_WORDS, CACHED_LENGTH = 300_000, 32
 
 
 def default_vocabulary() -> str:
@@ -80,6 +80,32 @@ def forward(into: list[list[tuple[int, int]]], p: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(alpha[-1], 1e-300)) + shift
 
 
+def forward_words(words: list[str], pieces: dict[str, int], longest: int, p: np.ndarray) -> np.ndarray:
+    """``forward`` of many short words at once: (words, columns of p). The last row of p is an uncovered character.
+
+    Edges of all words are laid out by end position; each position is one sum over the edges that end there.
+    """
+    unseen = len(p) - 1
+    ends: list[list[tuple[int, int, int]]] = [[] for _ in range(max(map(len, words)) + 1)]
+    get = pieces.get
+    for w, word in enumerate(words):
+        for end in range(1, len(word) + 1):
+            into = ends[end]
+            for start in range(max(0, end - longest), end - 1):
+                k = get(word[start:end])
+                if k is not None:
+                    into.append((w, start, k))
+            into.append((w, end - 1, get(word[end - 1], unseen)))
+    alpha = np.zeros((len(ends), len(words), p.shape[1]))
+    alpha[0] = 1.0
+    for end in range(1, len(ends)):
+        w, start, k = np.array(ends[end], np.int64).T  # sorted by word
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        alpha[end, w[first]] = np.add.reduceat(alpha[start, w] * p[k], first, axis=0)
+    last = np.fromiter(map(len, words), np.int64, len(words))
+    return np.log(np.maximum(alpha[last, np.arange(len(words))], 1e-300))
+
+
 def expect(counts: dict[str, float], lattice: dict, p: list[float], into: list[float]) -> None:
     """Add the expected piece counts of one language's words: forward, backward, posterior of every edge."""
     for word, n in counts.items():
@@ -182,7 +208,7 @@ def scorer(model: LanguageModel):
         if not state:
             state["pieces"] = load_pieces(model.vocabulary)
             state["longest"] = max(map(len, state["pieces"]))
-            state["p"] = model.probabilities.astype(np.float64)
+            state["p"] = np.vstack([model.probabilities.astype(np.float64), np.full((1, len(model.languages)), UNSEEN)])
             state["rows"], state["index"] = np.zeros((CACHED_WORDS + 1, len(model.languages))), {}
         langs, scores = [], []
         for text in texts.to_pylist():
@@ -193,21 +219,29 @@ def scorer(model: LanguageModel):
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            index = state["index"]
-            new = [w for w in set(words) if w not in index]
+            index, more = state["index"], {}
+            distinct = set(words)
+            new = [w for w in distinct if w not in index and len(w) <= CACHED_LENGTH]
             if len(index) + len(new) > CACHED_WORDS:
-                index.clear()
-                new = list(set(words))[:CACHED_WORDS]
-            for w in new:
-                if len(w) <= CACHED_LENGTH:
-                    k = index[w] = len(index)
-                    state["rows"][k] = one("▁" + w)
+                if 2 * len(new) > len(distinct) > 1000:  # other texts than before
+                    index.clear()
+                else:  # frequent words came early and stay; these are scored for this text alone
+                    more = {w: k for k, w in enumerate(new)}
+            rows = np.zeros((0, len(model.languages)))
+            for i in range(0, len(new), 20_000):
+                part = forward_words(["▁" + w for w in new[i : i + 20_000]], state["pieces"], state["longest"], state["p"])
+                if more or len(index) + len(part) > CACHED_WORDS:
+                    more.update((w, k + len(rows)) for k, w in enumerate(new[i : i + 20_000]))
+                    rows = np.concatenate([rows, part])
+                else:
+                    state["rows"][len(index) : len(index) + len(part)] = part
+                    index.update((w, len(index) + k) for k, w in enumerate(new[i : i + 20_000]))
             hits = [index.get(w, -1) for w in words]
             at = np.fromiter(hits, np.int64, len(hits))
             total = state["rows"][at[at >= 0]].sum(axis=0)
-            for w, k in zip(words, hits, strict=True):
+            for w, k in zip(words, hits, strict=True) if at.min() < 0 else ():
                 if k < 0:
-                    total = total + one("▁" + w)
+                    total = total + (rows[more[w]] if w in more else one("▁" + w))
             n = len(words)
             best = int(np.argmax(total))
             # The posterior with evenly weighted languages; texts count as 30 words at most, for a score that orders long texts.

@@ -126,9 +126,9 @@ class Matcher:
         cut = [None if t is None else self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         distinct = {p for ps in cut if ps for p in ps}
         new = [p for p in distinct if p not in self.memory]
-        if len(self.memory) + len(new) > HELD_PARTS:
-            self.memory = {}
-            new = list(distinct)
+        full = len(self.memory) + len(new) > HELD_PARTS
+        if full and 2 * len(new) > len(distinct):  # other texts than before
+            self.memory, new = {}, list(distinct)
         new.sort()
         i = 0
         while i < len(new):
@@ -141,8 +141,8 @@ class Matcher:
                 self.memory[part] = np.array(self.relax(part, found), "<i4").tobytes()
         known = self.memory.__getitem__
         out = [None if ps is None else np.frombuffer(b"".join(map(known, ps)), "<i4") for ps in cut]
-        for p in new:
-            if len(p) > HELD_CHARS:
+        for p in new:  # frequent parts came early and stay
+            if full or len(p) > HELD_CHARS:
                 del self.memory[p]
         return out
 

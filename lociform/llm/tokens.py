@@ -59,9 +59,9 @@ class WordBpe:
         words = [self.SPACES.split(t) for t in texts]
         distinct = {w for ws in words for w in ws}
         new = [w for w in distinct if w not in self.memory]
-        if len(self.memory) + len(new) > self.cached:
-            self.memory = {}
-            new = list(distinct)
+        full = len(self.memory) + len(new) > self.cached
+        if full and 2 * len(new) > len(distinct):  # other texts than before
+            self.memory, new = {}, list(distinct)
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -69,8 +69,8 @@ class WordBpe:
         last = np.array([end], "<u4").tobytes()
         known = self.memory.__getitem__
         out = [np.frombuffer(b"".join([*map(known, ws), last]), "<u4") for ws in words]
-        for w in new:  # long words are rare, and their number doesn't bound their size
-            if len(w) > 64:
+        for w in new:  # frequent words came early and stay; the number of long ones doesn't bound their size
+            if full or len(w) > 64:
                 del self.memory[w]
         return out
 
