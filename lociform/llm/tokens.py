@@ -47,13 +47,36 @@ class WordBpe:
     """
 
     SPACES = re.compile("[\t-\r ]+")
+    #: Letters that are one code point in any normal form that the library makes, of simple case.
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([.,;:!?]?)")
 
-    def __init__(self, path: str | None = None, cached: int = 300_000):
+    def __init__(self, path: str | None = None, cached: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or path_of("word_bpe_49k.json"))
         self.tokenizer.encode_special_tokens = True
-        self.cached, self.memory = cached, {}
+        self.model = self.tokenizer.model
+        self.cached, self.memory, self.parts = cached, {}, {}
+        self.letters = {b: c for c, b in byte_letters().items()}
+
+    def plain(self, word: str) -> bytes | None:
+        """Ids of a word that is one run of Latin letters, with one mark behind it at most: the
+        library's normaliser and splitter leave such words alone but for their case, so its
+        merge model can be asked for the run and the mark. None for any other word."""
+        m = self.PLAIN.fullmatch(word)
+        if m is None:
+            return None
+        out = b""
+        for part in (m[1].lower(), m[2]):
+            if part:
+                ids = self.parts.get(part)
+                if ids is None:
+                    if len(self.parts) >= self.cached:
+                        self.parts.clear()
+                    asked = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+                    ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(asked)], "<u4").tobytes()
+                out += ids
+        return out
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         words = [self.SPACES.split(t) for t in texts]
@@ -62,8 +85,15 @@ class WordBpe:
         full = len(self.memory) + len(new) > self.cached
         if full and 2 * len(new) > len(distinct):  # other texts than before
             self.memory, new = {}, list(distinct)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        left = []
+        for w in new:
+            ids = self.plain(w)
+            if ids is None:
+                left.append(w)
+            else:
+                self.memory[w] = ids
+        for i in range(0, len(left), 4096):
+            part = left[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.memory[w] = np.array(e.ids, "<u4").tobytes()
         last = np.array([end], "<u4").tobytes()
