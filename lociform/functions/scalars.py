@@ -105,7 +105,7 @@ def clean_ids(c: Column) -> Column:
 
 def split_ids(c: Column) -> Column:
     """Identifiers of a list parted by ',' or ';', without blanks and sentinels."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, ";", ","), ","), F.trim), lambda x: ~x.isin(SENTINELS))
+    return F.filter(F.transform(F.split(F.regexp_replace(c, ";", ","), ","), lambda x: F.trim(x)), lambda x: ~x.isin(SENTINELS))
 
 
 def sign_z(p_z: Column, effect: Column) -> Column:
