@@ -70,7 +70,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
-    records = warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages"), scratch=scratch))
+    # the digests are made while reading; the archives are read once
+    records = scratch.keep(warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages"), scratch=scratch)).drop("payload"), "records")
     captures = scratch.keep(
         warc.assemble(records, payload=False).select(
             "capture_id", "page_id", F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("target"),
