@@ -12,10 +12,11 @@ that meet at a neighbour are linked to the least of them. The number of rows sta
 proportional to the number of fingerprints, whatever the size of a group.
 
 ``near_duplicates`` (long fingerprints of several 64-bit words) serves
-similarity thresholds such as 0.8, where dozens of bits differ. A key is a block of
-``block_bits``; a pair of the threshold similarity shares a block with a high, stated
-probability (see README). In small buckets all pairs are verified; in large ones each
-fingerprint is verified against pivots that differ from bucket to bucket.
+similarity thresholds such as 0.8, where dozens of bits differ. A pair of the threshold
+similarity shares a block with a stated probability. In small buckets all pairs are
+verified. In large ones each fingerprint is verified against a few pivots; then
+those outside the bucket's largest component are verified against the whole bucket, which leaves no
+link between components unseen; buckets with many such are first split by further bytes.
 
 Defined results: null and empty texts have no words and the fingerprint zero, which is
 linked like any other in ``link_components`` and makes one group of copies in
@@ -27,6 +28,7 @@ like an added column are replaced.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 
 import numpy as np
@@ -44,7 +46,10 @@ UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SEED = 42
 #: Buckets up to this size are joined with themselves.
 SMALL = 32
-PIVOTS = 8
+#: A large bucket's members are first verified against so many of them.
+PIVOTS = 4
+#: A bucket of many components is split by so many further bytes of the fingerprint, each on its own.
+SUB_BLOCKS = 32
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -102,6 +107,15 @@ def fingerprint_words(text: str, width: int, words: int) -> np.ndarray:
     return np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
+def set_fingerprint(text: str, width: int, words: int) -> np.ndarray:
+    """The fingerprint of the set of a text's shingles."""
+    h = np.unique(shingle_hashes(text, width))
+    counts = np.zeros((words, 64), np.int64)
+    for i in range(0, len(h), 1 << 13):
+        counts += bit_counts(mixed(h[i : i + (1 << 13)], words))
+    return np.packbits(counts * 2 > len(h), axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
 def fingerprints(df: DataFrame, text_col: str = "text", width: int = 3, out: str = "fp") -> DataFrame:
     """df with a 64-bit fingerprint as a long: a map without a shuffle."""
 
@@ -180,56 +194,92 @@ def near_duplicates(
     id_col: str = "doc_id",
     width: int = 5,
     similarity: float = 0.8,
+    recall: float = 0.995,
     words: int = 24,
-    block_bits: int = 24,
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """(id, row, component): the near-duplicate group of each row at a shingle similarity.
-
-    The angle between the shingle vectors of two equally long texts of Jaccard similarity s has the
-    cosine 2s / (1 + s); a pair is close if at most that share of its fingerprint's bits,
-    plus two standard deviations, differ. ``row`` numbers rows; ``component`` is
-    the ``row`` that a group keeps: of its smallest id.
+    """(id, row, component): the near-duplicate group of each row at a similarity of its sets of shingles.
+
+    Two equally large sets of Jaccard similarity s have the cosine 2s / (1 + s), others a larger one; a
+    pair is close if at most the share of bits that belongs to that angle, plus two standard
+    deviations, differ. Blocks widen with the logarithm of the number of rows, so that unrelated
+    texts seldom meet, and are as many as a pair at ``similarity`` needs to share one with
+    probability ``recall``; ``words`` is the least length of a fingerprint in 64-bit words.
+    ``row`` numbers rows; ``component`` is the ``row`` that a group keeps: of its smallest id.
     """
     scratch = scratch or Scratch(df.sparkSession, "near")
-    bits = 64 * words
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    base = df.select(F.col(quoted(id_col)).alias("id"), text_or_empty(text_col).alias("text"))
+    block_bits = max(12, base.count().bit_length() + 1)
+    n_blocks = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** block_bits))
+    words = max(words, -(-n_blocks * block_bits // 64))
+    bits = 64 * words
     within = int(bits * share + 2 * (bits * share * (1 - share)) ** 0.5)
-    n_blocks = bits // block_bits
+    first_within = int(64 * share + 4.5 * (64 * share * (1 - share)) ** 0.5)
 
     def kernel(texts: pa.Array) -> list[pa.Array]:
         made, keys = [], []
-        weights = (1 << np.arange(block_bits, dtype=np.int64)).astype(np.int64)
+        weights = 1 << np.arange(block_bits, dtype=np.int64)
         for t in texts.to_pylist():
-            fp = fingerprint_words(t, width, words)
+            fp = set_fingerprint(t, width, words)
             b = np.unpackbits(fp.view(np.uint8), bitorder="little")[: n_blocks * block_bits].reshape(n_blocks, block_bits)
             keys.append(b @ weights)
             made.append(fp.tobytes())
-        return [pa.array(made, pa.binary()), pa.array(keys, pa.list_(pa.int32()))]
+        return [pa.array(made, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
 
-    fields = [T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.IntegerType()))]
-    base = df.select(F.col(quoted(id_col)).alias("id"), text_or_empty(text_col).alias("text"))
+    fields = [T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     # exact copies first: one row for each text, whatever their number
     base = base.withColumns({"row": F.monotonically_increasing_id(), "digest": F.unhex(F.sha2(F.col("text").cast("binary"), 256))})
     rows = scratch.keep(append_columns(base, [F.col("text")], fields, kernel, keep=["id", "row", "digest"]), "rows")
     firsts = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     firsts = scratch.keep(firsts.select(F.xxhash64("digest").alias("node"), "digest", "first", "fp", "keys"), "texts")
-    at = firsts.select("node", F.posexplode("keys").alias("t", "key"))
-    shared = at.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    at = at.join(shared, ["t", "key"])
-    few = at.where(F.col("n") <= SMALL)
-    pairs = few.alias("x").join(few.alias("y"), ["t", "key"]).where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    # pivots of a large bucket: the least nodes by a hash that each bucket deals anew, one of each of PIVOTS classes
-    many = at.where(F.col("n") > SMALL).withColumn("c", F.pmod(F.xxhash64("node", "t", F.lit(7)), F.lit(PIVOTS)))
-    order = F.struct(F.xxhash64("node", "t", "key"), "node")
-    pivots = many.groupBy("t", "key").agg(*(F.min(F.when(F.col("c") == i, order)).alias(f"p{i}") for i in range(PIVOTS)))
-    held = many.join(pivots, ["t", "key"]).select("node", F.explode(F.array(*(F.col(f"p{i}.node") for i in range(PIVOTS)))).alias("p")).where("p is not null and p <> node")
-    pairs = pairs.unionByName(held.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))).distinct()
-    words_of = lambda c: [F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long") for i in range(words)]
-    small = firsts.select("node", F.array(*words_of(F.col("fp"))).alias("f"))
-    checked = pairs.join(small.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(small.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
-    gap = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    found = scratch.keep(components(checked.where(gap <= within).select("a", "b"), scratch), "components")
+    long_of = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
+    small = firsts.select("node", F.array(*(long_of(F.col("fp"), i) for i in range(words))).alias("f"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(small.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(small.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
+        gap = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return pairs.where(gap <= within).select("a", "b")
+
+    def met(x: DataFrame, y: DataFrame, different) -> DataFrame:
+        """Pairs in a bucket whose first words are close enough for the whole fingerprints to be."""
+        return x.alias("x").join(y.alias("y"), "bucket").where(different & (F.bit_count(F.expr("x.w ^ y.w")) <= first_within)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    at = firsts.select("node", long_of(F.col("fp"), 0).alias("w"), F.posexplode("keys").alias("t", "key")).select("node", "w", F.xxhash64("t", "key").alias("bucket"))
+    links, level = None, 0
+    while True:
+        crowded = at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        at = scratch.keep(at.join(crowded, "bucket"), f"buckets-{level}")
+        few, many = at.where(F.col("n") <= SMALL), at.where(F.col("n") > SMALL)
+        # pivots of a large bucket: the least nodes by a hash that each bucket deals anew, one of each of PIVOTS classes
+        order = F.struct(F.xxhash64("node", "bucket"), "node", "w")
+        dealt = many.withColumn("c", F.pmod(F.xxhash64("node", "bucket", F.lit(7)), F.lit(PIVOTS)))
+        pivots = dealt.groupBy("bucket", "c").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w")
+        new = verified(met(few, few, F.expr("x.node < y.node")).unionByName(met(pivots, many, F.expr("x.node <> y.node"))))
+        links = scratch.keep(new if links is None else links.unionByName(new), f"links-{2 * level}")
+        if many.isEmpty():
+            break
+        # a large bucket of one component is done; in others, all outside the largest component are verified against all
+        found = scratch.keep(components(links, scratch), f"found-{level}")
+        named = many.join(found.withColumnRenamed("root", "c"), "node", "left")
+        named = scratch.keep(named.withColumn("c", F.coalesce("c", "node")), f"named-{level}")
+        sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+        rest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
+        rest = rest.select("bucket", F.col("top.c").alias("top"), (F.col("all") - F.col("top.n")).alias("rest")).where("rest > 0")
+        open_ = scratch.keep(named.drop("n").join(rest, "bucket"), f"open-{level}")
+        last = SUB_BLOCKS * (level + 1) > 8 * words  # no bits are left to split by
+        now = open_ if last else open_.where(F.col("rest") <= SMALL)
+        crossed = met(now.where("c <> top"), now, F.expr("x.node <> y.node and x.c <> y.c"))
+        links = scratch.keep(links.unionByName(verified(crossed)), f"links-{2 * level + 1}")
+        left = open_.where(F.col("rest") > SMALL)
+        if last or left.isEmpty():
+            break
+        # buckets of many components are split by each of SUB_BLOCKS further bytes: a close pair shares one of them
+        left = left.select("node", "w", "bucket").join(firsts.select("node", "fp"), "node")
+        left = left.select("node", "w", "bucket", "fp", F.explode(F.sequence(F.lit(0), F.lit(SUB_BLOCKS - 1))).alias("j"))
+        at, level = left.select("node", "w", F.xxhash64("bucket", "j", F.expr(f"substring(fp, {SUB_BLOCKS * level} + j + 1, 1)")).alias("bucket")), level + 1
+    found = scratch.keep(components(links, scratch), "components")
     linked = firsts.select("node", "first").join(found, "node")
     roots = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(roots, "root").select("node", F.col("least.row").alias("moved"))

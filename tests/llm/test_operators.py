@@ -320,6 +320,38 @@ def test_near_copies_stay_once(spark):
     assert len({r["fp"] for r in simhash.link_components(frame(spark)).collect() if r["id"] in (0, 1, 2)}) == 1
 
 
+def test_near_copies_in_large_buckets(spark):
+    """A text with many copies that resemble it but not each other, and pairs just above the threshold."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+
+    def copy(words, n):
+        w = list(words)
+        for i in rng.choice(len(w), n, replace=False):
+            w[i] = word()
+        return w
+
+    star = [word() for _ in range(400)]
+    texts = [star, *(copy(star, 6) for _ in range(250))]
+    for _ in range(60):
+        pair = [word() for _ in range(400)]
+        texts += [pair, copy(pair, 7)]
+    texts += [[word() for _ in range(400)] for _ in range(100)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {find(i) for i in range(len(texts))}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_first(df).collect()}
+    assert len(kept - want) <= 0.05 * len(want) and not want - kept
+
+
 # shards
 
 
