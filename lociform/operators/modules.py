@@ -99,3 +99,34 @@ def familywise(nulls: DataFrame, observed: DataFrame) -> DataFrame:
     """Per module the +1-corrected share of replicates whose largest null statistic over all modules reaches the observed."""
     top = nulls.groupBy("replicate").agg(F.max("value").alias("top"))
     return observed.crossJoin(F.broadcast(top)).groupBy("module", "observed").agg(((F.sum((F.col("top") >= F.col("observed")).cast("int")) + 1) / (F.count("*") + 1)).alias("p_family"))
+
+
+def rank_sum(sets: DataFrame, scores: DataFrame) -> DataFrame:
+    """Per module the Mann-Whitney U of its genes against all others and its z (ties averaged, continuity corrected)."""
+    ranked = average_rank(scores.select("gene", "score"), "score", "rank")
+    counts = scores.groupBy("score").agg(F.count("*").alias("t")).agg((F.sum("t")).alias("n"), F.sum(F.expr("cast(t as double) * t * t - t")).alias("ties"))
+    m = sets.select("module", "gene").distinct().join(ranked, "gene").groupBy("module").agg(F.count("*").alias("n_present"), F.sum("rank").alias("rank_sum"))
+    k, n = F.col("n_present"), F.col("n").cast("double")
+    u = F.col("rank_sum") - k * (k + 1) / 2
+    sd = F.sqrt(k * (n - k) / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    return m.crossJoin(F.broadcast(counts)).select("module", "n_present", u.alias("u"), F.when(sd > 0, (u - k * (n - k) / 2 - 0.5) / sd).alias("z"))
+
+
+def marker_sets(metrics: DataFrame, top: int, min_detected: float, min_log2fc: float) -> DataFrame:
+    """(group, gene, rank): of each group's genes over both thresholds the first ``top`` by marker score, detection, fold change."""
+    over = metrics.where((F.col("detected") >= min_detected) & (F.col("log2fc") >= min_log2fc))
+    r = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("marker_score"), F.desc("detected"), F.desc("log2fc"), "gene"))
+    return over.withColumn("rank", r).where(F.col("rank") <= top).select("group", "gene", "rank", "marker_score")
+
+
+def marker_metrics(counts: DataFrame, min_cells: int = 1, eps: float = 1e-9) -> DataFrame:
+    """Per group and gene, of (group, gene, value) cells: mean, detected share, and log2 fold change against all other
+    groups, whose sums are the gene's totals less the group's own."""
+    own = counts.groupBy("group", "gene").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum((F.col("value") > 0).cast("int")).alias("d"))
+    all_ = own.groupBy("gene").agg(F.sum("n").alias("n0"), F.sum("s").alias("s0"), F.sum("d").alias("d0"))
+    rest = (F.col("s0") - F.col("s")) / F.nullif(F.col("n0") - F.col("n"), F.lit(0))
+    mean = F.col("s") / F.col("n")
+    return own.where(F.col("n") >= min_cells).join(all_, "gene").select(
+        "group", "gene", "n", mean.alias("mean"), (F.col("d") / F.col("n")).alias("detected"),
+        F.log2((mean + eps) / (F.coalesce(rest, F.lit(0.0)) + eps)).alias("log2fc"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import claims, graph, ld, mapping, modules, percolation, qc
+from ..operators import claims, communities, graph, ld, mapping, modules, nulls, percolation, qc
 from ..operators import relational as R
 from .views import view, with_views
 
@@ -376,3 +376,166 @@ def heat_diffusion(t):
 @register()
 def gene_mixture_tests(t):
     return ld.gene_tests(weights(t).join(snps(t).select("snp_id", "z"), "snp_id"))
+
+
+def degree_bin(t) -> DataFrame:
+    return t("v_score").select("gene", "score", (F.col("degree") % 4).cast("int").alias("bin"))
+
+
+def library(t) -> DataFrame:
+    return t("v_module").where("module like 'Brand%'").distinct()
+
+
+HASH = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT)"
+PROFILE = "bins AS (SELECT gene, score, CAST(degree % 4 AS INT) AS bin FROM v_score), lib AS (SELECT DISTINCT module, gene FROM v_module WHERE module LIKE 'Brand%'), prof AS (SELECT module, bin, count(*) AS n FROM lib JOIN bins USING (gene) GROUP BY module, bin), reps AS (SELECT unnest(range(0, {n}))::INT AS replicate), sizes AS (SELECT bin, count(*) AS size FROM bins GROUP BY bin)"
+SAMPLED = (
+    PROFILE.format(n=4)
+    + f", placed AS (SELECT replicate, bin, gene, score, row_number() OVER (PARTITION BY replicate, bin ORDER BY {HASH.format('concat_ws(chr(45), 1, replicate, gene)')}, gene) - 1 AS place FROM bins, reps), "
+    + "wanted AS (SELECT replicate, module, bin, size, n, unnest(range(0, n)) AS j FROM prof JOIN sizes USING (bin), reps), "
+    + f"smp AS (SELECT w.replicate, w.module, w.bin, p.gene, p.score FROM wanted w JOIN placed p ON p.replicate = w.replicate AND p.bin = w.bin AND p.place = ({HASH.format('concat_ws(chr(45), 1, w.replicate, w.module, w.bin)')} + w.j) % w.size)"
+)
+
+
+@register("WITH " + PROFILE.format(n=1) + " SELECT module, bin, n FROM prof")
+def degree_bin_profile(t):
+    return nulls.bin_profile(library(t), degree_bin(t))
+
+
+@register("WITH " + SAMPLED + " SELECT replicate, module, bin, gene FROM smp")
+def degree_matched_sample(t):
+    return nulls.matched_sample(degree_bin(t), nulls.bin_profile(library(t), degree_bin(t)), 4)
+
+
+@register("WITH " + SAMPLED + " SELECT replicate, module, round(sum(greatest(score, 0)) / sqrt(count(*)), 6) AS value FROM smp GROUP BY replicate, module")
+def degree_matched_null_statistics(t):
+    s = nulls.matched_sample(degree_bin(t), nulls.bin_profile(library(t), degree_bin(t)), 4).join(t("v_score").select("gene", "score"), "gene")
+    return s.groupBy("replicate", "module").agg((F.sum(F.greatest("score", F.lit(0.0))) / F.sqrt(F.count("*").cast("double"))).alias("value"))
+
+
+@register("WITH " + PROFILE.format(n=3) + f", placed AS (SELECT bin, gene AS drawn, row_number() OVER (PARTITION BY bin ORDER BY gene) - 1 AS place FROM bins) SELECT replicate, module, l.gene, b.bin, drawn FROM lib l JOIN bins b USING (gene) JOIN sizes s USING (bin), reps, placed p WHERE p.bin = b.bin AND p.place = {HASH.format('concat_ws(chr(45), 1, replicate, module, l.gene)')} % size")
+def matched_draws_with_replacement(t):
+    return nulls.matched_draws(degree_bin(t), library(t).join(degree_bin(t), "gene"), 3)
+
+
+HEAVY = f"e AS (SELECT src, dst, weight FROM ({EDGE.format(agg='sum')}) WHERE weight >= 60), both_ways AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e)"
+BALLS = HEAVY + ", s AS (SELECT DISTINCT x AS seed FROM both_ways WHERE x % 25 = 0), b AS (SELECT seed, seed AS node, 0 AS distance FROM s UNION ALL SELECT seed, y, 1 FROM s JOIN both_ways ON x = seed UNION ALL SELECT seed, w.y, 2 FROM s JOIN both_ways v ON v.x = seed JOIN both_ways w ON w.x = v.y), ball AS (SELECT seed, node, min(distance) AS distance FROM b GROUP BY seed, node)"
+
+
+def heavy(t) -> DataFrame:
+    return edges(t, "sum").where("weight >= 60")
+
+
+def some_seeds(t) -> DataFrame:
+    return heavy(t).select(F.explode(F.array("src", "dst")).alias("seed")).distinct().where("seed % 25 = 0")
+
+
+def node_scores(t) -> DataFrame:
+    return t("v_score").select(F.col("gene").alias("node"), "score")
+
+
+@register("WITH " + BALLS + " SELECT seed, node, CAST(distance AS INT) AS distance, CASE WHEN distance <= 1 THEN 'inner' ELSE 'annulus' END AS layer FROM ball")
+def neighbourhood_layers(t):
+    return communities.layers(heavy(t), some_seeds(t), 1, 2)
+
+
+@register("WITH " + BALLS + ", x AS (SELECT seed, distance, score, CAST(unnest([0.5, 1.0, 2.0]) AS DOUBLE) AS tau FROM ball JOIN v_score ON gene = node) SELECT seed, tau, count(*) AS n, round(sum(exp(-distance / tau) * greatest(score, 0)) / sqrt(sum(exp(-2 * distance / tau))), 6) AS stat FROM x GROUP BY seed, tau")
+def diffusion_neighbourhoods(t):
+    return communities.diffusion_neighbourhoods(heavy(t), node_scores(t), some_seeds(t))
+
+
+@register("WITH d AS (SELECT DISTINCT module, gene FROM v_module), m AS (SELECT module, median(score) AS location, stddev_samp(score) AS sd FROM d JOIN v_score USING (gene) GROUP BY module), a AS (SELECT module, location, sd, 1.4826 * median(abs(score - location)) AS mad FROM d JOIN v_score USING (gene) JOIN m USING (module) GROUP BY module, location, sd) SELECT module, round(location, 6) AS location, round(CASE WHEN mad > 1e-6 THEN mad WHEN coalesce(sd, 0) > 1e-6 THEN sd ELSE 1e-6 END + 1e-6, 6) AS scale FROM a")
+def robust_location_scale(t):
+    return communities.location_scale(t("v_module").distinct().join(t("v_score"), "gene"), ("module",))
+
+
+@register("WITH " + BALLS + """, x AS (SELECT seed, node, layer, score FROM (SELECT *, CASE WHEN distance <= 1 THEN 'inner' ELSE 'annulus' END AS layer FROM ball) JOIN v_score ON gene = node),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, node) AS r FROM x WHERE layer = 'inner'), t AS (SELECT seed, avg(score) AS top_mean, count(*) AS k FROM r WHERE r <= 10 GROUP BY seed),
+m AS (SELECT seed, median(score) AS l, stddev_samp(score) AS sd, count(*) AS n FROM x WHERE layer = 'annulus' GROUP BY seed),
+a AS (SELECT seed, l, sd, n, 1.4826 * median(abs(score - l)) AS mad FROM x JOIN m USING (seed) WHERE layer = 'annulus' GROUP BY seed, l, sd, n),
+z AS (SELECT seed, n, l, CASE WHEN mad > 1e-6 THEN mad WHEN coalesce(sd, 0) > 1e-6 THEN sd ELSE 1e-6 END + 1e-6 AS s FROM a),
+g0 AS (SELECT median(score) AS l FROM v_score), g AS (SELECT l, 1.4826 * median(abs(score - l)) + 1e-6 AS s FROM v_score, g0 GROUP BY l)
+SELECT t.seed, k, coalesce(n, 0) AS n_background, CASE WHEN n >= 10 THEN 'annulus' ELSE 'global' END AS background, round((top_mean - CASE WHEN n >= 10 THEN z.l ELSE g.l END) * sqrt(k) / CASE WHEN n >= 10 THEN z.s ELSE g.s END, 6) AS contrast FROM t LEFT JOIN z USING (seed), g""")
+def annulus_contrast(t):
+    return communities.annulus_contrast(heavy(t), node_scores(t), some_seeds(t))
+
+
+@register("WITH " + HEAVY + """, lib AS (SELECT DISTINCT module, gene AS node FROM v_module WHERE module LIKE 'Brand%'),
+i AS (SELECT a.module, e.src, e.dst FROM e JOIN lib a ON a.node = e.src JOIN lib b ON b.node = e.dst AND b.module = a.module), d AS (SELECT module, node, count(*) AS d FROM (SELECT module, src AS node FROM i UNION ALL SELECT module, dst FROM i) GROUP BY module, node),
+f AS (SELECT l.module, l.node, score, coalesce(d, 0) AS d FROM lib l JOIN v_score ON gene = l.node LEFT JOIN d ON d.module = l.module AND d.node = l.node),
+r AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY score DESC, d DESC, node DESC) AS r, count(*) OVER (PARTITION BY module) AS n, median(d) OVER (PARTITION BY module) AS cut FROM f),
+c AS (SELECT *, d >= cut AS core, max(CAST(d >= cut AS INT)) OVER (PARTITION BY module) AS any_core FROM r WHERE r <= greatest(1, ceil(n * 0.2))) SELECT module, node FROM c WHERE core OR (any_core = 0 AND r = 1)""")
+def module_core_genes(t):
+    return communities.core_genes(library(t).withColumnRenamed("gene", "node"), heavy(t), node_scores(t))
+
+
+@register("WITH " + HEAVY + ", n AS (SELECT gene AS node, row_number() OVER (ORDER BY score DESC, gene) AS r, count(*) OVER () AS n FROM v_score), top AS (SELECT node, CAST(f AS DOUBLE) AS rank_fraction FROM n, (SELECT unnest([0.05, 0.1, 0.2]) AS f) WHERE r <= greatest(1, round_even(n * f, 0))), k AS (SELECT rank_fraction, count(*) AS n FROM top GROUP BY 1), q AS (SELECT a.rank_fraction, count(*) AS m FROM e JOIN top a ON a.node = e.src JOIN top b ON b.node = e.dst AND a.rank_fraction = b.rank_fraction GROUP BY 1) SELECT rank_fraction, n, coalesce(m, 0) AS n_edges, round(CASE WHEN n > 1 THEN 2.0 * coalesce(m, 0) / (n * (n - 1)) ELSE 0 END, 6) AS density FROM k LEFT JOIN q USING (rank_fraction)")
+def induced_density_curve(t):
+    return nulls.density_curve(heavy(t), R.top_fraction(node_scores(t), "score", "node", [0.05, 0.1, 0.2]))
+
+
+@register("WITH r AS (SELECT gene, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM v_score), c AS (SELECT sum(t) AS n, sum(t * t * t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM v_score GROUP BY score)), m AS (SELECT module, count(*) AS k, sum(r) AS s FROM (SELECT DISTINCT module, gene FROM v_module) JOIN r USING (gene) GROUP BY module) SELECT module, k AS n_present, round(s - k * (k + 1) / 2, 6) AS u, round((s - k * (k + 1) / 2 - k * (n - k) / 2 - 0.5) / sqrt(k * (n - k) / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM m, c")
+def module_rank_sum(t):
+    return modules.rank_sum(t("v_module"), t("v_score"))
+
+
+@register("WITH c AS (SELECT l_returnflag || l_linestatus AS g, l_partkey AS gene, greatest(l_quantity - 20, 0)::DOUBLE AS v FROM lineitem), o AS (SELECT g, gene, count(*) AS n, sum(v) AS s, sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) AS d FROM c GROUP BY g, gene), a AS (SELECT gene, sum(n) AS n0, sum(s) AS s0 FROM o GROUP BY gene), m AS (SELECT g, gene, d / n AS detected, s / n AS mean, log2((s / n + 1) / (coalesce((s0 - s) / nullif(n0 - n, 0), 0) + 1)) AS log2fc FROM o JOIN a USING (gene) WHERE n >= 3), r AS (SELECT *, mean * detected AS marker_score FROM m), k AS (SELECT g, gene, marker_score, row_number() OVER (PARTITION BY g ORDER BY round(marker_score, 9) DESC, round(detected, 9) DESC, round(log2fc, 9) DESC, gene) AS rank FROM r WHERE detected >= 0.5 AND round(log2fc, 9) >= 0.25) SELECT g AS \"group\", gene, CAST(rank AS INT) AS rank, round(marker_score, 6) AS marker_score FROM k WHERE rank <= 15")
+def marker_gene_sets(t):
+    cells = t("lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("group"), F.col("l_partkey").alias("gene"), F.greatest(F.col("l_quantity") - 20, F.lit(0)).cast("double").alias("value"))
+    m = modules.marker_metrics(cells, min_cells=3, eps=1.0)
+    m = m.withColumns({"marker_score": F.round(F.col("mean") * F.col("detected"), 9), "detected": F.round("detected", 9), "log2fc": F.round("log2fc", 9)})
+    return modules.marker_sets(m, 15, 0.5, 0.25)
+
+
+@register("SELECT gene, CASE WHEN m >= 2 AND r >= 2 THEN 'topology_specific_module_excess' WHEN m >= 2 AND r <= -2 THEN 'degree_aware_aggregation_topology_sensitive' WHEN m >= 2 THEN 'degree_aware_network_aggregation' WHEN s >= 2 OR d >= 2 THEN 'broad_genetic_signal_without_degree_aware_graph_aggregation' ELSE 'no_graph_coupled_signal' END AS architecture FROM (SELECT gene, CASE WHEN gene % 11 = 0 THEN NULL ELSE gene % 7 - 3 END AS m, gene % 9 - 4 AS r, gene % 5 - 2 AS s, gene % 4 - 1 AS d FROM v_score)")
+def percolation_architecture(t):
+    z = lambda e: F.expr(f"cast({e} as double)")
+    matched = F.when(F.col("gene") % 11 != 0, z("gene % 7 - 3"))
+    return t("v_score").select("gene", claims.architecture(z("gene % 5 - 2"), z("gene % 4 - 1"), matched, z("gene % 9 - 4")).alias("architecture"))
+
+
+P_COLUMNS = {"locus": 7, "penalised": 11, "positive": 13, "rank": 5, "moderate": 6, "leave_top1": 9, "raw": 4}
+
+
+@register(
+    "WITH x AS (SELECT gene, gene % 29 = 0 AS degraded, " + ", ".join(f"(gene % {m}) / {4 * m}.0 AS p_{k}" for k, m in P_COLUMNS.items()) + ", (gene % 8 + 2)::DOUBLE AS n_eff, (gene % 10) / 20.0 AS top1, (gene % 12) / 14.0 AS top5 FROM v_score) "
+    "SELECT gene, CASE WHEN degraded THEN 'null_degraded_unresolved' WHEN p_locus < 0.05 AND p_penalised < 0.05 AND p_moderate < 0.1 AND p_leave_top1 < 0.1 AND n_eff >= 5 AND top1 <= 0.35 AND top5 <= 0.7 AND (p_positive < 0.05 OR p_rank < 0.05) THEN 'distributed_weak_signal_module_candidate' "
+    "WHEN (p_locus < 0.05 OR p_penalised < 0.05) AND top1 <= 0.35 AND n_eff >= 5 AND (p_positive < 0.05 OR p_rank < 0.05 OR p_leave_top1 < 0.1 OR p_moderate < 0.1) THEN 'mixed_sparse_distributed_candidate' "
+    "WHEN (p_locus < 0.05 OR p_penalised < 0.05) AND p_moderate < 0.1 AND top1 <= 0.35 THEN 'moderate_locus_supported_module' WHEN (p_locus < 0.05 OR p_penalised < 0.05) AND p_rank < 0.05 AND top1 <= 0.35 THEN 'module_specific_rank_supported_module' "
+    "WHEN p_raw < 0.05 AND (top1 > 0.35 OR n_eff < 5) THEN 'top_locus_dominant_module' WHEN p_raw < 0.05 AND p_locus < 0.1 THEN 'sparse_locus_pathway_overlap' WHEN p_raw < 0.05 THEN 'raw_gene_set_enrichment_only' ELSE 'negative' END AS label FROM x"
+)
+def distributed_module_class(t):
+    p = {k: F.expr(f"cast((gene % {m}) / {4 * m}.0 as double)") for k, m in P_COLUMNS.items()}
+    num = lambda e: F.expr(f"cast({e} as double)")
+    return t("v_score").select("gene", claims.distributed_class(F.expr("gene % 29 = 0"), p, num("gene % 8 + 2"), num("(gene % 10) / 20.0"), num("(gene % 12) / 14.0")).alias("label"))
+
+
+@register()
+def random_density_null(t):
+    nodes = t("v_score").select(F.col("gene").alias("node"))
+    return nulls.random_density_null(heavy(t), nodes, [0.05, 0.1, 0.2], 5)
+
+
+@register()
+def degree_preserving_rewiring(t):
+    return nulls.rewired(heavy(t), 3)
+
+
+@register()
+def discovered_modules(t):
+    return communities.discover(heavy(t), node_scores(t), [0.05, 0.1, 0.2], min_size=3)[0]
+
+
+@register()
+def louvain_communities(t):
+    return communities.louvain(heavy(t), min_size=2)
+
+
+@register()
+def greedy_dense_modules(t):
+    return communities.greedy_modules(heavy(t), node_scores(t), some_seeds(t), max_size=20)
+
+
+@register()
+def pruned_gene_sets(t):
+    sizes = t("v_module").distinct().groupBy("module").agg(F.count("*").alias("n"))
+    return communities.prune(t("v_module").distinct().join(sizes, "module"), [F.desc("n")], 0.02)
