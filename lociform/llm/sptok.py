@@ -3,7 +3,7 @@
 A slice's texts are normalised and cut where no piece can reach over; the distinct parts are
 concatenated into one text with separators, whose suffixes are sorted. Each piece's
 occurrences are one range of that order, found by two binary searches; all occurrences
-are edges (position, length, rank), sorted by position, and each part's segmentation is
+are edges, put in order of position in a table (position, length), and each part's segmentation is
 relaxed over its own edges: byte-pair models join, again and again, the adjacent pair whose
 edge has the best rank (the leftmost of equals), which gives the ids of the sentencepiece library.
 Characters without a piece become byte pieces.
@@ -29,6 +29,8 @@ from .tokens import held, path_of
 SPACE = "▁"
 #: Characters in one index, the distinct parts held in memory, and the length of a part that is held.
 INDEX_CHARS, HELD_PARTS, HELD_CHARS = 150_000, 200_000, 48
+#: Parts of up to this length are relaxed together, a pair of each in a round; longer ones by a queue.
+SHORT = 64
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +52,11 @@ class Matcher:
         plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.id_of = {model.id_to_piece(i): i for i in plain}
         self.bytes = {int(model.id_to_piece(i)[1:-1], 16): i for i in ids if model.is_byte(i)}
-        # best score first; equal scores are the leftmost's
-        self.rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-model.get_score(i), i)))}
-        self.score = {i: model.get_score(i) for i in plain}
+        # place of each piece's score, the best first; the last entry, also index -1, is no piece
+        scores = np.array([model.get_score(i) for i in plain])
+        best = -np.unique(-scores)
+        self.order = np.full(model.get_piece_size() + 1, len(best), np.int64)
+        self.order[plain] = np.searchsorted(-best, -scores)
         self.depth = max(map(len, self.id_of))
         pieces = [p for p in self.id_of if len(p) > 1]
         self.pieces = np.array([self.id_of[p] for p in pieces])
@@ -66,10 +70,11 @@ class Matcher:
         self.parts = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if "\n" not in inner else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.memory: dict[str, bytes] = {}
 
-    def edges(self, parts: list[str]) -> list[dict[tuple[int, int], int]]:
-        """For each part, (start, end) to piece of every occurrence of a piece of two characters or more."""
-        # code 1 parts the texts: no piece has it, as control characters are written in bytes
-        text = "\x01".join(parts)
+    def edges(self, text: str) -> np.ndarray:
+        """table[position, length]: the piece of two characters or more that occurs there, or -1.
+
+        The occurrences of all pieces, put in order of position.
+        """
         codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
         order, keys = suffix_order(codes, self.depth)
         lo, hi = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
@@ -77,30 +82,40 @@ class Matcher:
         found = np.flatnonzero(sizes > 0)
         reps = sizes[found]
         at = order[np.repeat(lo[found] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(int(reps.sum()))]
-        piece, length = np.repeat(self.pieces[found], reps), np.repeat(self.lengths[found], reps)
-        by_place = np.argsort(at, kind="stable")
-        at, piece, length = at[by_place], piece[by_place], length[by_place]
-        starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
-        cuts = np.searchsorted(at, starts).tolist()
-        at, piece, length = at.tolist(), piece.tolist(), length.tolist()
-        out = []
-        for k in range(len(parts)):
-            base, a, b = int(starts[k]), cuts[k], cuts[k + 1]
-            out.append({(s - base, s - base + n): p for s, n, p in zip(at[a:b], length[a:b], piece[a:b], strict=True)})
-        return out
-
-    def relax(self, part: str, edges: dict[tuple[int, int], int]) -> list[int]:
-        """Ids of a part: join the best adjacent pair until no edge spans one."""
+        table = np.full((len(codes) + 1, self.depth + 1), -1, np.int32)
+        table[at, np.repeat(self.lengths[found], reps)] = np.repeat(self.pieces[found], reps)
+        return table
+
+    def relax_short(self, table: np.ndarray, first: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> None:
+        """Join, a round for all parts at once, each part's best adjacent pair; ``starts`` loses the joined places."""
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
+        stop, count = at + 1, sizes
+        while len(count):
+            head = np.concatenate([[0], np.cumsum(count)[:-1]])
+            size = np.concatenate([stop[1:], stop[-1:]]) - at
+            size[head[1:] - 1], size[-1], size[size > self.depth] = 0, 0, 0  # no pair reaches over a part's end
+            place = np.arange(len(at)) - np.repeat(head, count)
+            key = self.order[table[at, size]] * SHORT + place  # the leftmost of equals
+            best = np.minimum.reduceat(key, head)
+            going = best < self.order[-1] * SHORT
+            left = head[going] + best[going] % SHORT
+            stop[left] = stop[left + 1]
+            starts[at[left + 1]] = False
+            keep = np.repeat(going, count)
+            keep[left + 1] = False
+            at, stop, count = at[keep], stop[keep], count[going] - 1
+
+    def relax_long(self, table: np.ndarray, first: int, n: int, starts: np.ndarray) -> None:
+        """The same for one part, by a queue of pairs."""
         import heapq
 
-        n = len(part)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        alive, queue, score = [True] * n, [], self.score
+        alive, queue = [True] * n, []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (p := edges.get((i, end[j]))) is not None:
-                heapq.heappush(queue, (-score[p], i, end[i], end[j]))
+            if j < n and end[j] - i <= self.depth and (p := table[first + i, end[j] - i]) >= 0:
+                heapq.heappush(queue, (int(self.order[p]), i, end[i], end[j]))
 
         for i in range(n - 1):
             offer(i)
@@ -108,19 +123,48 @@ class Matcher:
             _, i, mid, stop = heapq.heappop(queue)
             if not alive[i] or end[i] != mid or mid >= n or end[mid] != stop or not alive[mid]:
                 continue
-            alive[mid] = False
+            alive[mid] = starts[first + mid] = False
             end[i], after[i] = stop, stop
             if stop < n:
                 before[stop] = i
             if before[i] >= 0:
                 offer(before[i])
             offer(i)
-        out, i = [], 0
-        while i < n:
-            p = edges.get((i, end[i])) if end[i] - i > 1 else self.id_of.get(part[i])
-            out += [p] if p is not None else [self.bytes[b] for b in part[i].encode()]
-            i = end[i]
-        return out
+
+    def segment(self, parts: list[str]) -> list[bytes]:
+        """The ids, as little-endian 32-bit integers, of each part of a block."""
+        # code 1 parts the texts: no piece has it, as control characters are written in bytes
+        text = "\x01".join(parts) + "\x01"
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        table = self.edges(text)
+        sizes = np.array([len(p) for p in parts])
+        first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        starts = np.ones(len(codes), bool)
+        short = sizes <= SHORT
+        self.relax_short(table, first[short], sizes[short], starts)
+        for k in np.flatnonzero(~short).tolist():
+            self.relax_long(table, int(first[k]), int(sizes[k]), starts)
+        at = np.flatnonzero(starts)  # the separators start too
+        size = np.diff(at, append=len(codes))
+        ids = table[at, np.minimum(size, self.depth)]
+        one = np.flatnonzero(size == 1)
+        chars, which = np.unique(codes[at[one]], return_inverse=True)
+        single = np.array([self.id_of.get(chr(c), -1) for c in chars.tolist()], np.int32)
+        ids[one] = single[which]
+        width = np.ones(len(at), np.int64)
+        spelled = [(k, chr(c).encode()) for k, c in enumerate(chars.tolist()) if single[k] < 0]
+        for k, utf8 in spelled:
+            width[one[which == k]] = len(utf8)
+        offset = np.concatenate([[0], np.cumsum(width)])
+        out = np.zeros(int(offset[-1]), "<i4")
+        out[offset[:-1]] = ids
+        for k, utf8 in spelled:
+            to = offset[one[which == k]]
+            for j, byte in enumerate(utf8):
+                out[to + j] = self.bytes[byte]
+        blob, cuts = out.tobytes(), (4 * offset[np.searchsorted(at, first)]).tolist()
+        ends = (4 * offset[np.searchsorted(at, first + sizes)]).tolist()
+        return [blob[a:b] for a, b in zip(cuts, ends, strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = [None if t is None else self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
@@ -137,8 +181,7 @@ class Matcher:
                 block.append(new[i])
                 size += len(new[i]) + 1
                 i += 1
-            for part, found in zip(block, self.edges(block), strict=True):
-                self.memory[part] = np.array(self.relax(part, found), "<i4").tobytes()
+            self.memory.update(zip(block, self.segment(block), strict=True))
         known = self.memory.__getitem__
         out = [None if ps is None else np.frombuffer(b"".join(map(known, ps)), "<i4") for ps in cut]
         for p in new:  # frequent parts came early and stay
