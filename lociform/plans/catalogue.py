@@ -147,7 +147,7 @@ SELECT node, component_id, n_nodes, n_edges, component_id = 1 AS is_largest FROM
 
 @register(COMPONENTS)
 def component_table(t):
-    return graph.component_table(edges(t, "sum").where("weight >= 120"), t("v_gene").select(F.col("gene_id").alias("node")))
+    return graph.component_table(edges(t, "sum"), t("v_gene").select(F.col("gene_id").alias("node")))
 
 
 @register("WITH n AS (SELECT gene, score, row_number() OVER (ORDER BY score DESC, gene) AS r, count(*) OVER () AS n FROM v_score), f AS (SELECT unnest([0.01, 0.05, 0.1]) AS rank_fraction) SELECT gene, score, CAST(rank_fraction AS DOUBLE) AS rank_fraction FROM n, f WHERE r <= greatest(1, round_even(n * rank_fraction, 0))")
@@ -357,20 +357,20 @@ def top20_genes(t):
 @register()
 def percolation_curve(t):
     s = t("v_score").select(F.col("gene").alias("node"), "score")
-    return percolation.percolation_curve(edges(t, "sum").where("weight >= 60"), s, [0.01, 0.05, 0.1, 0.2])
+    return percolation.percolation_curve(edges(t, "sum"), s, [0.01, 0.05, 0.1, 0.2])
 
 
 @register()
 def percolation_null_auc(t):
     s = permuted(t, 3).select("replicate", F.col("gene").alias("node"), "score")
-    curve = percolation.percolation_curve(edges(t, "sum").where("weight >= 60"), s, [0.05, 0.1, 0.2], ("replicate",))
+    curve = percolation.percolation_curve(edges(t, "sum"), s, [0.05, 0.1, 0.2], ("replicate",))
     return percolation.percolation_auc(curve, ("replicate",))
 
 
 @register()
 def heat_diffusion(t):
     s = permuted(t, 3).select("replicate", F.col("gene").alias("node"), "score")
-    return percolation.heat_diffusion(edges(t, "sum").where("weight >= 60"), s)
+    return percolation.heat_diffusion(edges(t, "sum"), s)
 
 
 @register()
@@ -421,12 +421,8 @@ HEAVY = f"e AS (SELECT src, dst, weight FROM ({EDGE.format(agg='sum')}) WHERE we
 BALLS = HEAVY + ", s AS (SELECT DISTINCT x AS seed FROM both_ways WHERE x % 25 = 0), b AS (SELECT seed, seed AS node, 0 AS distance FROM s UNION ALL SELECT seed, y, 1 FROM s JOIN both_ways ON x = seed UNION ALL SELECT seed, w.y, 2 FROM s JOIN both_ways v ON v.x = seed JOIN both_ways w ON w.x = v.y), ball AS (SELECT seed, node, min(distance) AS distance FROM b GROUP BY seed, node)"
 
 
-def heavy(t) -> DataFrame:
-    return edges(t, "sum").where("weight >= 60")
-
-
 def some_seeds(t) -> DataFrame:
-    return heavy(t).select(F.explode(F.array("src", "dst")).alias("seed")).distinct().where("seed % 25 = 0")
+    return edges(t, "sum").select(F.explode(F.array("src", "dst")).alias("seed")).distinct().where("seed % 25 = 0")
 
 
 def node_scores(t) -> DataFrame:
@@ -435,12 +431,12 @@ def node_scores(t) -> DataFrame:
 
 @register("WITH " + BALLS + " SELECT seed, node, CAST(distance AS INT) AS distance, CASE WHEN distance <= 1 THEN 'inner' ELSE 'annulus' END AS layer FROM ball")
 def neighbourhood_layers(t):
-    return communities.layers(heavy(t), some_seeds(t), 1, 2)
+    return communities.layers(edges(t, "sum"), some_seeds(t), 1, 2)
 
 
 @register("WITH " + BALLS + ", x AS (SELECT seed, distance, score, CAST(unnest([0.5, 1.0, 2.0]) AS DOUBLE) AS tau FROM ball JOIN v_score ON gene = node) SELECT seed, tau, count(*) AS n, round(sum(exp(-distance / tau) * greatest(score, 0)) / sqrt(sum(exp(-2 * distance / tau))), 6) AS stat FROM x GROUP BY seed, tau")
 def diffusion_neighbourhoods(t):
-    return communities.diffusion_neighbourhoods(heavy(t), node_scores(t), some_seeds(t))
+    return communities.diffusion_neighbourhoods(edges(t, "sum"), node_scores(t), some_seeds(t))
 
 
 @register("WITH d AS (SELECT DISTINCT module, gene FROM v_module), m AS (SELECT module, median(score) AS location, stddev_samp(score) AS sd FROM d JOIN v_score USING (gene) GROUP BY module), a AS (SELECT module, location, sd, 1.4826 * median(abs(score - location)) AS mad FROM d JOIN v_score USING (gene) JOIN m USING (module) GROUP BY module, location, sd) SELECT module, round(location, 6) AS location, round(CASE WHEN mad > 1e-6 THEN mad WHEN coalesce(sd, 0) > 1e-6 THEN sd ELSE 1e-6 END + 1e-6, 6) AS scale FROM a")
@@ -456,7 +452,7 @@ z AS (SELECT seed, n, l, CASE WHEN mad > 1e-6 THEN mad WHEN coalesce(sd, 0) > 1e
 g0 AS (SELECT median(score) AS l FROM v_score), g AS (SELECT l, 1.4826 * median(abs(score - l)) + 1e-6 AS s FROM v_score, g0 GROUP BY l)
 SELECT t.seed, k, coalesce(n, 0) AS n_background, CASE WHEN n >= 10 THEN 'annulus' ELSE 'global' END AS background, round((top_mean - CASE WHEN n >= 10 THEN z.l ELSE g.l END) * sqrt(k) / CASE WHEN n >= 10 THEN z.s ELSE g.s END, 6) AS contrast FROM t LEFT JOIN z USING (seed), g""")
 def annulus_contrast(t):
-    return communities.annulus_contrast(heavy(t), node_scores(t), some_seeds(t))
+    return communities.annulus_contrast(edges(t, "sum"), node_scores(t), some_seeds(t))
 
 
 @register("WITH " + HEAVY + """, lib AS (SELECT DISTINCT module, gene AS node FROM v_module WHERE module LIKE 'Brand%'),
@@ -465,12 +461,12 @@ f AS (SELECT l.module, l.node, score, coalesce(d, 0) AS d FROM lib l JOIN v_scor
 r AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY score DESC, d DESC, node DESC) AS r, count(*) OVER (PARTITION BY module) AS n, median(d) OVER (PARTITION BY module) AS cut FROM f),
 c AS (SELECT *, d >= cut AS core, max(CAST(d >= cut AS INT)) OVER (PARTITION BY module) AS any_core FROM r WHERE r <= greatest(1, ceil(n * 0.2))) SELECT module, node FROM c WHERE core OR (any_core = 0 AND r = 1)""")
 def module_core_genes(t):
-    return communities.core_genes(library(t).withColumnRenamed("gene", "node"), heavy(t), node_scores(t))
+    return communities.core_genes(library(t).withColumnRenamed("gene", "node"), edges(t, "sum"), node_scores(t))
 
 
 @register("WITH " + HEAVY + ", n AS (SELECT gene AS node, row_number() OVER (ORDER BY score DESC, gene) AS r, count(*) OVER () AS n FROM v_score), top AS (SELECT node, CAST(f AS DOUBLE) AS rank_fraction FROM n, (SELECT unnest([0.05, 0.1, 0.2]) AS f) WHERE r <= greatest(1, round_even(n * f, 0))), k AS (SELECT rank_fraction, count(*) AS n FROM top GROUP BY 1), q AS (SELECT a.rank_fraction, count(*) AS m FROM e JOIN top a ON a.node = e.src JOIN top b ON b.node = e.dst AND a.rank_fraction = b.rank_fraction GROUP BY 1) SELECT rank_fraction, n, coalesce(m, 0) AS n_edges, round(CASE WHEN n > 1 THEN 2.0 * coalesce(m, 0) / (n * (n - 1)) ELSE 0 END, 6) AS density FROM k LEFT JOIN q USING (rank_fraction)")
 def induced_density_curve(t):
-    return nulls.density_curve(heavy(t), R.top_fraction(node_scores(t), "score", "node", [0.05, 0.1, 0.2]))
+    return nulls.density_curve(edges(t, "sum"), R.top_fraction(node_scores(t), "score", "node", [0.05, 0.1, 0.2]))
 
 
 @register("WITH r AS (SELECT gene, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM v_score), c AS (SELECT sum(t) AS n, sum(t * t * t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM v_score GROUP BY score)), m AS (SELECT module, count(*) AS k, sum(r) AS s FROM (SELECT DISTINCT module, gene FROM v_module) JOIN r USING (gene) GROUP BY module) SELECT module, k AS n_present, round(s - k * (k + 1) / 2, 6) AS u, round((s - k * (k + 1) / 2 - k * (n - k) / 2 - 0.5) / sqrt(k * (n - k) / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM m, c")
@@ -512,27 +508,27 @@ def distributed_module_class(t):
 @register()
 def random_density_null(t):
     nodes = t("v_score").select(F.col("gene").alias("node"))
-    return nulls.random_density_null(heavy(t), nodes, [0.05, 0.1, 0.2], 5)
+    return nulls.random_density_null(edges(t, "sum"), nodes, [0.05, 0.1, 0.2], 5)
 
 
 @register()
 def degree_preserving_rewiring(t):
-    return nulls.rewired(heavy(t), 3)
+    return nulls.rewired(edges(t, "sum"), 3)
 
 
 @register()
 def discovered_modules(t):
-    return communities.discover(heavy(t), node_scores(t), [0.05, 0.1, 0.2], min_size=3)[0]
+    return communities.discover(edges(t, "sum"), node_scores(t), [0.05, 0.1, 0.2], min_size=3)[0]
 
 
 @register()
 def louvain_communities(t):
-    return communities.louvain(heavy(t), min_size=2)
+    return communities.louvain(edges(t, "sum"), min_size=2)
 
 
 @register()
 def greedy_dense_modules(t):
-    return communities.greedy_modules(heavy(t), node_scores(t), some_seeds(t), max_size=20)
+    return communities.greedy_modules(edges(t, "sum"), node_scores(t), some_seeds(t), max_size=20)
 
 
 @register()
