@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from test_catalogue import SF, TABLES, rows, same
 
+from lociform.operators import communities
 from lociform.plans import catalogue
 
 CUTS = (" WHERE weight >= 120", " WHERE weight >= 60", " WHERE x % 25 = 0", " WHERE module LIKE 'Brand%'")
@@ -50,3 +51,24 @@ def test_searches_take_all_edges(spark, db):
     for f in (0.05, 0.1, 0.2):
         assert top[f] == len(linked.intersection(score[: round(len(score) * f)]))
     assert set(run("louvain_communities")["node"]) == linked
+
+
+@pytest.mark.parametrize("name", ["neighbourhood_layers", "diffusion_neighbourhoods", "annulus_contrast"])
+def test_all_seeds(spark, db, name):
+    compare(spark, db, name)
+
+
+def test_greedy_modules_grow_from_all_nodes(spark, db):
+    e = pairs(db)
+    out = catalogue.queries()["greedy_dense_modules"](spark, SF).toPandas()
+    assert set(out["seed"]) == set(e["src"]) | set(e["dst"])
+    names = sorted(set(out["seed"]))
+    near = [set() for _ in names]
+    at = {v: k for k, v in enumerate(names)}
+    for a, b in zip(e["src"], e["dst"], strict=True):
+        near[at[a]].add(at[b])
+        near[at[b]].add(at[a])
+    s = db.sql("SELECT l_partkey AS gene, round(sum(l_extendedprice * (1 - l_discount)) / 100000.0, 6) AS s FROM lineitem GROUP BY 1").df().set_index("gene")["s"]
+    score = s.loc[names].to_numpy(float)
+    for seed, part in out.groupby("seed"):
+        assert set(part["node"]) == {names[k] for k in communities.grow(near, score, at[seed], 20, 1.0)}
