@@ -189,7 +189,7 @@ def locus_background(t):
 
 @register("WITH b AS (SELECT CAST(chrom AS VARCHAR) || '-' || CAST(k AS VARCHAR) AS block_id, chrom, k * 150000 AS b_start, k * 150000 + 140000 AS b_end FROM (SELECT DISTINCT chrom FROM v_gene), (SELECT unnest(range(0, 20)) AS k)), h AS (SELECT g.gene_id, b.block_id, row_number() OVER (PARTITION BY g.gene_id ORDER BY CASE WHEN (g.g_start + g.g_end) / 2.0 BETWEEN b_start AND b_end THEN 0 ELSE 1 END, least(g.g_end, b_end) - greatest(g.g_start, b_start) DESC, b_start) AS n FROM v_gene g JOIN b ON b.chrom = g.chrom AND g.g_start <= b_end AND b_start <= g.g_end) SELECT g.gene_id, coalesce(h.block_id, 'UNBLOCKED') AS block_id FROM v_gene g LEFT JOIN h ON h.gene_id = g.gene_id AND n = 1")
 def ld_block_assign(t):
-    b = t("v_gene").select("chrom").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    b = t("v_gene").groupBy("chrom").agg(F.max("g_end").alias("end")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / 150000))))
     b = b.select("chrom", F.concat_ws("-", "chrom", F.col("k").cast("string")).alias("block_id"), (F.col("k") * 150000).alias("b_start"), (F.col("k") * 150000 + 140000).alias("b_end"))
     return mapping.assign_blocks(t("v_gene"), b)
 
@@ -299,7 +299,7 @@ GENO = "g AS (SELECT vec_id AS sample, CAST(unnest(range(0, 12)) AS INT) AS snp,
 
 
 def genotypes(t) -> DataFrame:
-    e = t("embeddings").select(F.col("vec_id").alias("sample"), F.posexplode(F.slice("embedding", 1, 12)).alias("snp", "value"))
+    e = t("embeddings").select(F.col("vec_id").alias("sample"), F.posexplode("embedding").alias("snp", "value"))
     return e.withColumn("value", F.col("value").cast("double"))
 
 

@@ -72,3 +72,28 @@ def test_greedy_modules_grow_from_all_nodes(spark, db):
     score = s.loc[names].to_numpy(float)
     for seed, part in out.groupby("seed"):
         assert set(part["node"]) == {names[k] for k in communities.grow(near, score, at[seed], 20, 1.0)}
+
+
+def test_ld_takes_the_whole_embedding(spark, db):
+    import numpy as np
+
+    x = np.stack(db.sql("SELECT embedding FROM embeddings").df()["embedding"]).astype(float)
+    want = np.corrcoef(x.T)
+    got = catalogue.queries()["ld_correlation"](spark, SF).toPandas()
+    k = x.shape[1]
+    assert len(got) == k * (k + 1) // 2
+    assert np.allclose(got["r"], want[got["snp_i"], got["snp_j"]], atol=2e-6)
+    one = catalogue.queries()["ld_summary"](spark, SF).first()
+    assert one["n"] == k and abs(one["m_eff"] - k * k / (want**2).sum()) < 1e-4 and abs(one["local_ld_score"] - (want**2).sum() / k) < 1e-4
+
+
+def test_blocks_reach_the_last_gene(spark, tmp_path):
+    part = pd.DataFrame({"p_partkey": [1, 2900, 3100, 7770, 20000], "p_size": [5, 9, 1, 50, 30]})
+    part.to_parquet(tmp_path / "part.parquet")
+    got = dict(map(tuple, catalogue.queries()["ld_block_assign"](spark, str(tmp_path)).select("gene_id", "block_id").collect()))
+    want = {}
+    for g, size in part.itertuples(index=False):
+        start, end = g * 1000, (g + size) * 1000
+        over = [(k * 150000 <= (start + end) / 2 <= k * 150000 + 140000, min(end, k * 150000 + 140000) - max(start, k * 150000), -k) for k in range(end // 150000 + 1) if start <= k * 150000 + 140000 and end >= k * 150000]
+        want[g] = f"{g % 22 + 1}-{-max(over)[2]}" if over else "UNBLOCKED"
+    assert got == want and sum(v != "UNBLOCKED" for v in got.values()) >= 4
