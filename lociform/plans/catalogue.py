@@ -383,7 +383,7 @@ def degree_bin(t) -> DataFrame:
 
 
 def library(t) -> DataFrame:
-    return t("v_module").where("module like 'Brand%'").distinct()
+    return t("v_module").distinct()
 
 
 HASH = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT)"

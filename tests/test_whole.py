@@ -97,3 +97,8 @@ def test_blocks_reach_the_last_gene(spark, tmp_path):
         over = [(k * 150000 <= (start + end) / 2 <= k * 150000 + 140000, min(end, k * 150000 + 140000) - max(start, k * 150000), -k) for k in range(end // 150000 + 1) if start <= k * 150000 + 140000 and end >= k * 150000]
         want[g] = f"{g % 22 + 1}-{-max(over)[2]}" if over else "UNBLOCKED"
     assert got == want and sum(v != "UNBLOCKED" for v in got.values()) >= 4
+
+
+@pytest.mark.parametrize("name", ["degree_bin_profile", "degree_matched_sample", "degree_matched_null_statistics", "matched_draws_with_replacement", "module_core_genes"])
+def test_all_modules(spark, db, name):
+    compare(spark, db, name)
