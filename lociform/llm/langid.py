@@ -5,7 +5,7 @@ probability of a word is the sum over all its segmentations into pieces, compute
 a forward recursion; a text's is the product over its words. Piece probabilities
 are learned by expectation-maximisation on word counts of a bounded sample of
 labelled texts: at most about ``docs_per_language`` whole texts of each language, chosen by
-the hash of the text, and of these at most ``max_types`` distinct words.
+the hash of the text, and of these at most ``max_types`` distinct words; ``max_languages`` bounds the model.
 
 Defined results: a null text, a text without a letter, or a model without any language gives
 ``und`` with score 0; ties go to the first language in alphabetical order; extra columns
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,14 @@ from .common import append_columns, quoted, text_or_empty
 WORD = re.compile(r"[^\W\d_]+")
 #: A character that no piece covers, in any language.
 UNSEEN = 1e-9
-CACHED_WORDS, CACHED_LENGTH = 300_000, 32
+#: Words of up to so many characters are scored together, so many at a time.
+SHORT, BLOCK = 33, 20_000
+#: Of each character's probability, which keeps products over a short word within a double.
+SCALE = 1e5
+#: The scorer forgets its words when it holds more (or more characters) than this.
+CACHED_WORDS, CACHED_CHARS, CACHED_VALUES = 300_000, 6_000_000, 4_800_000
+#: Words summed at a time.
+SUMMED = 1 << 16
 
 
 def default_vocabulary() -> str:
@@ -80,52 +87,123 @@ def forward(into: list[list[tuple[int, int]]], p: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(alpha[-1], 1e-300)) + shift
 
 
-def forward_words(words: list[str], pieces: dict[str, int], longest: int, p: np.ndarray) -> np.ndarray:
-    """``forward`` of many short words at once: (words, columns of p). The last row of p is an uncovered character.
+class Lattices:
+    """The segmentations of many short words at once, as flat edge lists.
 
-    Edges of all words are laid out by end position; each position is one sum over the edges that end there.
+    A trie of the pieces is walked from all characters of all words together, one character further
+    in each step; the edges are then put in order of the place where they end (or begin), and each place is
+    one weighted count over the words. A word's sums don't depend on the words beside it.
     """
-    unseen = len(p) - 1
-    ends: list[list[tuple[int, int, int]]] = [[] for _ in range(max(map(len, words)) + 1)]
-    get = pieces.get
-    for w, word in enumerate(words):
-        for end in range(1, len(word) + 1):
-            into = ends[end]
-            for start in range(max(0, end - longest), end - 1):
-                k = get(word[start:end])
-                if k is not None:
-                    into.append((w, start, k))
-            into.append((w, end - 1, get(word[end - 1], unseen)))
-    alpha = np.zeros((len(ends), len(words), p.shape[1]))
-    alpha[0] = 1.0
-    for end in range(1, len(ends)):
-        w, start, k = np.array(ends[end], np.int64).T  # sorted by word
-        first = np.flatnonzero(np.diff(w, prepend=-1))
-        alpha[end, w[first]] = np.add.reduceat(alpha[start, w] * p[k], first, axis=0)
-    last = np.fromiter(map(len, words), np.int64, len(words))
-    return np.log(np.maximum(alpha[last, np.arange(len(words))], 1e-300))
-
-
-def expect(counts: dict[str, float], lattice: dict, p: list[float], into: list[float]) -> None:
-    """Add the expected piece counts of one language's words: forward, backward, posterior of every edge."""
-    for word, n in counts.items():
-        ends = lattice[word]
-        size = len(ends)
-        f, b = [0.0] * size, [0.0] * size
-        f[0] = b[-1] = 1.0
-        for end in range(1, size):
-            f[end] = sum(f[s] * (p[k] if k >= 0 else UNSEEN) for s, k in ends[end])
-        if f[-1] <= 0:
-            continue
-        for end in range(size - 1, 0, -1):
-            back = b[end]
-            for s, k in ends[end]:
-                b[s] += back * (p[k] if k >= 0 else UNSEEN)
-        for end in range(1, size):
-            back = b[end] * n / f[-1]
-            for s, k in ends[end]:
-                if k >= 0:
-                    into[k] += f[s] * p[k] * back
+
+    def __init__(self, pieces: dict[str, int]):
+        letters = sorted({c for p in pieces for c in p})
+        number = {c: i for i, c in enumerate(letters)}
+        self.size, self.unseen = max(pieces.values(), default=-1) + 1, -1
+        self.letters = np.array([ord(c) for c in letters] or [0], np.uint32)
+        self.n_letters = max(1, len(letters))
+        child: dict[int, int] = {}
+        piece = [-1]
+        for text, k in pieces.items():
+            state = 0
+            for c in text:
+                key = state * self.n_letters + number[c]
+                state = child.get(key, 0)
+                if not state:
+                    child[key] = state = len(piece)
+                    piece.append(-1)
+            piece[state] = k
+        # keys in order; a place past the end compares unequal to every key
+        keys = sorted(child)
+        self.keys = np.array([*keys, -1], np.int64)
+        self.to = np.array([*(child[k] for k in keys), 0], np.int64)
+        self.piece = np.array(piece, np.int64)
+        self.depth = max(map(len, pieces), default=0)
+
+    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """(word, from, to, piece) of every edge, in order of length: places in the word; piece -1 is an uncovered character."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        place = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        letter = np.where(self.letters[place] == codes, place, -1)
+        word = np.repeat(np.arange(len(words)), lengths)
+        first = np.cumsum(lengths) - lengths
+        stop = np.repeat(first + lengths, lengths)
+        at, state = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        out = []
+        for d in range(self.depth):
+            here = at + d
+            going = here < stop[at]
+            at, here, state = at[going], here[going], state[going]
+            key = state * self.n_letters + letter[here]
+            j = np.searchsorted(self.keys[:-1], key)
+            going = (self.keys[j] == key) & (letter[here] >= 0)
+            at, state = at[going], self.to[j[going]]
+            k = self.piece[state]
+            found = k >= 0
+            if not d:
+                bare = np.ones(len(codes), bool)
+                bare[at[found]] = False
+                bare = np.flatnonzero(bare)
+                out.append((bare, np.full(len(bare), 1), np.full(len(bare), -1)))
+            out.append((at[found], np.full(int(found.sum()), d + 1), k[found]))
+        if not out:
+            out.append((at, np.full(len(at), 1), np.full(len(at), -1)))
+        at, length, k = (np.concatenate(x) for x in zip(*out, strict=True))
+        w = word[at]
+        start = at - first[w]
+        return w, start, start + length, k
+
+    @staticmethod
+    def by_place(place: np.ndarray) -> list[np.ndarray]:
+        """The edges at each place, from 0 on."""
+        order = np.argsort(place.astype(np.int16), kind="stable")
+        return np.split(order, np.searchsorted(place[order], np.arange(1, int(place.max(initial=0)) + 1)))
+
+    def forward(self, edges: tuple[np.ndarray, ...], weight: np.ndarray, n: int) -> np.ndarray:
+        """alpha[place, word]: the summed weight of all segmentations up to a place; weight: of each edge."""
+        word, start, end, _ = edges
+        alpha = np.zeros((int(end.max(initial=0)) + 1, n))
+        alpha[0] = 1.0
+        for place, e in enumerate(self.by_place(end)):
+            if place:
+                alpha[place] = np.bincount(word[e], alpha[start[e], word[e]] * weight[e], n)
+        return alpha
+
+    def backward(self, edges: tuple[np.ndarray, ...], weight: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """beta[place, word]: the summed weight of all segmentations from a place to the word's end."""
+        word, start, end, _ = edges
+        beta = np.zeros((int(end.max(initial=0)) + 1, len(lengths)))
+        beta[lengths, np.arange(len(lengths))] = 1.0
+        for place, e in reversed(list(enumerate(self.by_place(start)))):
+            beta[place] += np.bincount(word[e], beta[end[e], word[e]] * weight[e], len(lengths))
+        return beta
+
+    def weights(self, edges: tuple[np.ndarray, ...], p: np.ndarray) -> np.ndarray:
+        """Of each edge under the piece probabilities p (the last: an uncovered character), times SCALE for each character."""
+        _, start, end, k = edges
+        return p[k] * SCALE ** (end - start)
+
+    def scores(self, words: list[str], p: np.ndarray) -> np.ndarray:
+        """(words, columns of p): the log of the summed probability of all segmentations."""
+        edges, out = self.edges(words), np.zeros((len(words), p.shape[1]))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for k in range(p.shape[1]):
+            alpha = self.forward(edges, self.weights(edges, p[:, k]), len(words))
+            out[:, k] = np.log(np.maximum(alpha[lengths, np.arange(len(words))], 1e-300)) - lengths * np.log(SCALE)
+        return out
+
+    def expect(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Expected number of each piece over all segmentations of the words, weighted by their counts."""
+        edges = self.edges(words)
+        word, start, end, k = edges
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        weight = self.weights(edges, p)
+        alpha, beta = self.forward(edges, weight, len(words)), self.backward(edges, weight, lengths)
+        whole = alpha[lengths, np.arange(len(words))]
+        share = np.divide(counts, whole, out=np.zeros(len(words)), where=whole > 0)
+        covered = k >= 0
+        posterior = alpha[start, word] * weight * beta[end, word] * share[word]
+        return np.bincount(k[covered], posterior[covered], self.size)
 
 
 @dataclass
@@ -136,7 +214,10 @@ class LanguageModel:
 
 
 def count_words(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, word, n): words of each slice are counted in the map, so few rows are shuffled."""
+    """(lang, word, n): words of each slice are counted in the map, so few rows are shuffled.
+
+    A word has its space before it; one longer than SHORT characters, as in scripts without spaces, is counted in runs of that length.
+    """
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
     def run(batches):
@@ -146,13 +227,26 @@ def count_words(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             found: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-            rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items() if len(w) <= CACHED_LENGTH]
+            rows = [(lang, s[i : i + SHORT], n) for lang, c in found.items() for w, n in c.items() for s in ("▁" + w,) for i in range(0, len(s), SHORT)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=schema.fieldNames())
 
     return map_arrow(df.select(F.col(quoted(lang_col)).cast("string"), text_or_empty(text_col)), run, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def learn(lattices: Lattices, n_pieces: int, counts: dict[str, float], rounds: int) -> np.ndarray:
+    """Piece probabilities by expectation-maximisation; one count is spread over all pieces."""
+    p = np.full(lattices.size + 1, 1.0 / n_pieces)
+    words, n = list(counts), np.fromiter(counts.values(), float, len(counts))
+    for _ in range(rounds):
+        p[-1] = UNSEEN
+        expected = np.zeros(lattices.size)
+        for i in range(0, len(words), BLOCK):
+            expected += lattices.expect(words[i : i + BLOCK], n[i : i + BLOCK], p)
+        p[:-1] = (expected + 1.0 / n_pieces) / (expected.sum() + 1.0)
+    return p[:-1]
+
+
 def train(
     df: DataFrame,
     text_col: str = "text",
@@ -163,94 +257,110 @@ def train(
     max_languages: int = 256,
     rounds: int = 2,
 ) -> LanguageModel:
-    """Learn from the labelled rows of df. The sample is a hash sample whose rate is
-    set by each language's number of rows, so what reaches the driver is bounded."""
+    """Learn from the labelled rows of df.
+
+    The sample is a hash sample of texts whose rate is set by each language's number of rows, so what reaches
+    the driver is bounded by the parameters: the ``max_languages`` languages with the most rows, about
+    ``docs_per_language`` whole texts of each, and of their words the most frequent, ``max_types`` over the number of
+    languages for each. A language of which no word is sampled is not learned.
+    """
     vocabulary = vocabulary or default_vocabulary()
     pieces = load_pieces(vocabulary)
     labelled = df.where(F.col(quoted(lang_col)).isNotNull() & F.col(quoted(text_col)).isNotNull())
     sizes = labelled.groupBy(F.col(quoted(lang_col)).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    size = max(pieces.values(), default=0) + 1
+    lattices = Lattices(pieces)
     if not sizes:
-        return LanguageModel([], np.zeros((size, 0), np.float32), vocabulary)
-    rate = {r["lang"]: min(1.0, docs_per_language / r["count"]) for r in sizes}
-    languages = sorted(rate)
+        return LanguageModel([], np.zeros((lattices.size, 0), np.float32), vocabulary)
     parts = F.pmod(F.xxhash64(F.col(quoted(text_col))), F.lit(1_000_000))
     lang = F.col(quoted(lang_col)).cast("string")
     chosen = F.lit(False)
-    for name, r in rate.items():
-        chosen = chosen | ((lang == name) & (parts < max(1, math.ceil(r * 1_000_000))))
-    words = count_words(labelled.where(chosen), text_col, lang_col).orderBy(F.desc("n"), "lang", "word").limit(max_types).collect()
-    counts: dict[str, dict[str, float]] = {x: {} for x in languages}
-    for r in words:
-        counts[r["lang"]]["▁" + r["word"]] = float(r["n"])
-    longest = max(map(len, pieces))
-    lattice = {w: edges(w, pieces, longest) for c in counts.values() for w in c}
-    table = np.zeros((size, len(languages)))
+    for r in sizes:
+        rate = min(1.0, docs_per_language / r["count"])
+        chosen = chosen | ((lang == r["lang"]) & (parts < max(1, math.ceil(rate * 1_000_000))))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    words = count_words(labelled.where(chosen), text_col, lang_col).withColumn("place", place).where(F.col("place") <= max(1, max_types // len(sizes)))
+    counts: dict[str, dict[str, float]] = {}
+    for r in words.select("lang", "word", "n").collect():
+        counts.setdefault(r["lang"], {})[r["word"]] = float(r["n"])
+    languages = sorted(counts)
+    table = np.zeros((lattices.size, len(languages)))
     for k, name in enumerate(languages):
-        p = [1.0 / len(pieces)] * size
-        for _ in range(rounds):
-            expected = [0.0] * size
-            expect(counts[name], lattice, p, expected)
-            total = sum(expected) + 1.0
-            p = [(e + 1.0 / len(pieces)) / total for e in expected]
-        table[:, k] = p
+        table[:, k] = learn(lattices, len(pieces), dict(sorted(counts[name].items())), rounds)
     return LanguageModel(languages, table.astype(np.float32), vocabulary)
 
 
-def scorer(model: LanguageModel):
-    """A kernel: texts to (language, score). Words are scored once and remembered, in a cache of bounded size."""
-    state: dict = {}
+class Scorer:
+    """Texts to (language, score). Words are scored once and remembered, in a memory of bounded size.
 
-    def one(word: str) -> np.ndarray:
-        return forward(edges(word, state["pieces"], state["longest"]), state["p"])
+    A word's scores depend on the word alone and a text's on its words in order, so
+    equal texts have equal results whatever came before them.
+    """
 
-    def kernel(texts: pa.Array) -> list[pa.Array]:
-        if not state:
-            state["pieces"] = load_pieces(model.vocabulary)
-            state["longest"] = max(map(len, state["pieces"]))
-            state["p"] = np.vstack([model.probabilities.astype(np.float64), np.full((1, len(model.languages)), UNSEEN)])
-            state["rows"], state["index"] = np.zeros((CACHED_WORDS + 1, len(model.languages))), {}
-        langs, scores = [], []
-        for text in texts.to_pylist():
-            total, n = np.zeros(len(model.languages)), 0
-            words = WORD.findall(text.lower()) if text and model.languages else []
-            words = [w for w in words if any(map(str.isalpha, w))] if words and not words[0].isalpha() else words
-            if not words:
+    def __init__(self, model: LanguageModel):
+        self.model = model
+        self.pieces = load_pieces(model.vocabulary)
+        self.longest = max(map(len, self.pieces), default=0)
+        self.lattices = Lattices(self.pieces)
+        self.n = len(model.languages)
+        self.p = np.vstack([model.probabilities.astype(np.float64), np.full((1, self.n), UNSEEN)])
+        self.room = max(1, min(CACHED_WORDS, CACHED_VALUES // max(1, self.n)))
+        self.index: dict[str, int] = {}
+        self.rows, self.chars = np.zeros((self.room + 1, self.n)), 0
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """(words, languages): log probabilities; of words without a letter: 0."""
+        out = np.zeros((len(words), self.n))
+        real = [i for i, w in enumerate(words) if w.isalpha() or any(map(str.isalpha, w))]
+        short = [i for i in real if len(words[i]) < SHORT]
+        for i in range(0, len(short), BLOCK):
+            some = short[i : i + BLOCK]
+            out[some] = self.lattices.scores(["▁" + words[j] for j in some], self.p)
+        for i in real:
+            if len(words[i]) >= SHORT:
+                out[i] = forward(edges("▁" + words[i], self.pieces, self.longest), self.p)
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Have all words at hand; row 0 stands for those without a letter."""
+        distinct = dict.fromkeys(words)
+        new = [w for w in distinct if w not in self.index]
+        size = sum(map(len, new))
+        if len(self.index) + len(new) > self.room or self.chars + size > CACHED_CHARS:
+            self.index, self.chars, new = {}, 0, list(distinct)
+            size = sum(map(len, new))
+            if len(new) > self.room or len(self.rows) > self.room + 1:  # one slice's words are always held
+                self.rows = np.zeros((max(self.room, len(new)) + 1, self.n))
+        made, base = self.scores(new), len(self.index) + 1
+        self.rows[base : base + len(new)] = made
+        self.index.update((w, base + k if made[k].any() else 0) for k, w in enumerate(new))
+        self.chars += size
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        words: list[str] = []
+        ends = []
+        for text in texts:
+            if text and self.n:
+                words += WORD.findall(text.lower())
+            ends.append(len(words))
+        self.learn(words)
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        langs, scores, begin = [], [], 0
+        for end in ends:
+            own, begin = at[begin:end], end
+            n = int(np.count_nonzero(own))
+            if not n:
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            index, more = state["index"], {}
-            distinct = set(words)
-            new = [w for w in distinct if w not in index and len(w) <= CACHED_LENGTH]
-            if len(index) + len(new) > CACHED_WORDS:
-                if 2 * len(new) > len(distinct) > 1000:  # other texts than before
-                    index.clear()
-                else:  # frequent words came early and stay; these are scored for this text alone
-                    more = {w: k for k, w in enumerate(new)}
-            rows = np.zeros((0, len(model.languages)))
-            for i in range(0, len(new), 20_000):
-                part = forward_words(["▁" + w for w in new[i : i + 20_000]], state["pieces"], state["longest"], state["p"])
-                if more or len(index) + len(part) > CACHED_WORDS:
-                    more.update((w, k + len(rows)) for k, w in enumerate(new[i : i + 20_000]))
-                    rows = np.concatenate([rows, part])
-                else:
-                    state["rows"][len(index) : len(index) + len(part)] = part
-                    index.update((w, len(index) + k) for k, w in enumerate(new[i : i + 20_000]))
-            hits = [index.get(w, -1) for w in words]
-            at = np.fromiter(hits, np.int64, len(hits))
-            total = state["rows"][at[at >= 0]].sum(axis=0)
-            for w, k in zip(words, hits, strict=True) if at.min() < 0 else ():
-                if k < 0:
-                    total = total + (rows[more[w]] if w in more else one("▁" + w))
-            n = len(words)
+            total = np.zeros(self.n)
+            for i in range(0, len(own), SUMMED):
+                total += self.rows[own[i : i + SUMMED]].sum(axis=0)
             best = int(np.argmax(total))
             # The posterior with evenly weighted languages; texts count as 30 words at most, for a score that orders long texts.
             z = (total - total[best]) * (min(n, 30) / n)
-            langs.append(model.languages[best])
+            langs.append(self.model.languages[best])
             scores.append(float(1.0 / np.exp(z).sum()))
-        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-
-    return kernel
+        return langs, scores
 
 
 def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
@@ -262,8 +372,9 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", lang_ou
 
     def kernel(texts: pa.Array) -> list[pa.Array]:
         if "k" not in held:
-            held["k"] = scorer(spread.value)
-        return held["k"](texts)
+            held["k"] = Scorer(spread.value)
+        langs, scores = held["k"](texts.to_pylist())
+        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
     return append_columns(df, [F.col(quoted(text_col)).cast("string")], fields, kernel)
 

@@ -401,6 +401,114 @@ def test_forward_sums_all_segmentations():
         assert np.isfinite(got).all()
 
 
+def segmentations(word, pieces):
+    """All ways to cut a word into pieces, or characters that no piece covers (None)."""
+    if not word:
+        yield []
+    for n in range(1, len(word) + 1):
+        k = pieces.get(word[:n])
+        if k is not None or n == 1:
+            for rest in segmentations(word[n:], pieces):
+                yield [k, *rest]
+
+
+PIECES = {p: i + 2 for i, p in enumerate(["a", "b", "ab", "ba", "aba", "▁", "▁a", "bb", "\U0001f600"])}
+
+
+def weigh(cut, p):
+    return float(np.prod([langid.UNSEEN if k is None else p[k] for k in cut]))
+
+
+def test_lattices_against_all_segmentations():
+    rng = np.random.default_rng(5)
+    words = ["a", "abab", "▁abba", "xax", "b", "", "▁aba\U0001f600ab", "abab", "xyz"]
+    p = rng.random((max(PIECES.values()) + 2, 3)) / 10
+    p[-1] = langid.UNSEEN
+    lattices = langid.Lattices(PIECES)
+    got = lattices.scores(words, p)
+    want = [[np.log(sum(weigh(cut, p[:, k]) for cut in segmentations(w, PIECES))) for k in range(3)] for w in words]
+    assert got == pytest.approx(np.array(want))
+    assert got[1] == pytest.approx(langid.forward(langid.edges("abab", PIECES, 3), p))
+    counts, expected = rng.random(len(words)), np.zeros(lattices.size)
+    for w, n in zip(words, counts, strict=True):
+        cuts = list(segmentations(w, PIECES))
+        whole = sum(weigh(c, p[:, 0]) for c in cuts)
+        for c in cuts:
+            for k in c:
+                if k is not None:
+                    expected[k] += n * weigh(c, p[:, 0]) / whole
+    assert lattices.expect(words, counts, p[:, 0]) == pytest.approx(expected)
+    assert langid.Lattices({}).scores(["ab"], np.full((1, 2), langid.UNSEEN)) == pytest.approx(np.full((1, 2), 2 * np.log(langid.UNSEEN)))
+
+
+def made_up(n_texts=40, seed=3):
+    """A model with random probabilities, texts of random words (some long, some without a letter), and what they score by the definition."""
+    rng = np.random.default_rng(seed)
+    pieces = langid.load_pieces(langid.default_vocabulary())
+    model = langid.LanguageModel(["x", "y", "z"], (rng.random((max(pieces.values()) + 1, 3)) ** 6).astype(np.float32), langid.default_vocabulary())
+    letters = np.array(list("abcdeéü中ßж"))
+    words = ["".join(rng.choice(letters, int(rng.integers(1, 12)))) for _ in range(300)] + ["²", "abc" * 30, "é" * 33, "d" * 32]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 60)))) for _ in range(n_texts)]
+    p = np.vstack([model.probabilities.astype(float), np.full((1, 3), langid.UNSEEN)])
+    longest = max(map(len, pieces))
+    alone = {w: langid.forward(langid.edges("▁" + w, pieces, longest), p) if w != "²" else np.zeros(3) for w in words}
+    best = ["xyz"[int(np.argmax(sum(alone[w] for w in t.split())))] if set(t.split()) != {"²"} else "und" for t in texts]
+    return model, texts, best
+
+
+def test_scorer_against_the_definition(monkeypatch):
+    model, texts, best = made_up()
+    scorer = langid.Scorer(model)
+    langs, scores = scorer(texts)
+    assert langs == best and scorer(texts) == (langs, scores)
+    assert tuple(x[::-1] for x in langid.Scorer(model)(texts[::-1])) == (langs, scores)
+    one = langid.Scorer(model)
+    assert [one([t]) for t in texts] == [([a], [b]) for a, b in zip(langs, scores, strict=True)]
+    for name, value in (("CACHED_WORDS", 50), ("CACHED_CHARS", 300), ("CACHED_VALUES", 60), ("BLOCK", 7)):
+        with monkeypatch.context() as m:
+            m.setattr(langid, name, value)
+            small = langid.Scorer(model)
+            assert [small([t]) for t in texts * 2] == [([a], [b]) for a, b in zip(langs, scores, strict=True)] * 2
+            assert small(texts) == (langs, scores)  # one slice above the memory's size
+    with monkeypatch.context() as m:
+        m.setattr(langid, "SUMMED", 4)
+        assert langid.Scorer(model)(texts)[0] == langs
+
+
+def test_language_query_against_the_definition(spark):
+    sf = SF
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs.where(langid.fold("doc_id", 3) != 1))
+    p = np.vstack([model.probabilities.astype(float), np.full((1, len(model.languages)), langid.UNSEEN)])
+    pieces = langid.load_pieces(model.vocabulary)
+    longest, memory = max(map(len, pieces)), {}
+
+    def brute(text):
+        words = [w for w in langid.WORD.findall((text or "").lower()) if any(map(str.isalpha, w))]
+        if not words:
+            return "und"
+        for w in words:
+            if w not in memory:
+                memory[w] = langid.forward(langid.edges("▁" + w, pieces, longest), p)
+        return model.languages[int(np.argmax(sum(memory[w] for w in words)))]
+
+    want = {r["doc_id"]: brute(r["text"]) for r in docs.collect()}
+    got = queries.op7_language(spark, sf).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == want and len(got) == len(want)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in got)
+
+
+def test_every_language_keeps_its_words(spark):
+    rows = [("zz", f"zeta{chr(97 + i)} ombra zed") for i in range(20)] + [("aa", " ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "lmnr"))] * 3 + [("unspaced", "ж" * 90)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.train(df, max_types=30)
+    assert model.languages == ["aa", "unspaced", "zz"]
+    got = langid.predict(df, model).select("lang", "lang_pred").distinct().collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+    words = {(r["lang"], r["word"]): r["n"] for r in langid.count_words(df, "text", "lang").collect()}
+    assert words[("unspaced", "ж" * 33)] == 1 and words[("unspaced", "▁" + "ж" * 32)] == 1 and words[("zz", "▁zed")] == 20
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op7_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
