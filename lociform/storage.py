@@ -18,6 +18,8 @@ class Scratch:
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
             base = held.get() if held.isDefined() else None
         if not base:  # only where the session names no folder, as in tests
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="lociform-")
             spark.sparkContext.setCheckpointDir(base)
         self.folder = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
