@@ -87,6 +87,17 @@ def open_uri(uri: str, mode: str):
     return where.open_input_file(path)
 
 
+def remove_uri(uri: str) -> None:
+    """Delete a file of the shared folder; one that is gone is no error."""
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    try:
+        where.delete_file(path)
+    except FileNotFoundError:
+        pass
+
+
 def sort_key(df: DataFrame, *names: str) -> list:
     """Columns that order rows and break ties of the first ones."""
     return [F.col(quoted(n)) for n in names if n in df.columns]

@@ -79,13 +79,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "captures",
     )
-    first = captures.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("first_id"), F.col("own_bytes").alias("first_bytes"))
-    out = captures.join(first, "target", "left")
-    revisit = F.col("record_type") == "revisit"
-    return out.select(
-        "page_id", F.when(revisit, F.col("first_bytes")).otherwise(F.col("own_bytes")).alias("payload_bytes"), "payload_digest", "record_type",
-        F.when(revisit, F.col("first_id")).alias("refers_to"),
-    )
+    first = captures.where("record_type = 'response'")
+    # only revisits are joined; a target of very many of them is one that Spark deals to several tasks, both sides being plain tables
+    again = captures.where("record_type = 'revisit'").drop("own_bytes").join(first.select(F.col("capture_id").alias("target"), F.col("page_id").alias("first_id"), "own_bytes"), "target", "left")
+    return first.select("page_id", F.col("own_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(
+        again.select("page_id", F.col("own_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("first_id").alias("refers_to"))
+    )
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
