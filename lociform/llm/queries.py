@@ -88,7 +88,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sptok.decode(sptok.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = sptok.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"),

@@ -3,7 +3,7 @@
 A slice's texts are normalised and cut where no piece can reach over; the distinct parts are
 concatenated into one text with separators, whose suffixes are sorted. Each piece's
 occurrences are one range of that order, found by two binary searches; all occurrences
-are edges, put in order of position in a table (position, length), and each part's segmentation is
+are edges, sorted by position (a counting sort into a table by position and length), and each part's segmentation is
 relaxed over its own edges: byte-pair models join, again and again, the adjacent pair whose
 edge has the best rank (the leftmost of equals), which gives the ids of the sentencepiece library.
 Characters without a piece become byte pieces.
@@ -189,30 +189,42 @@ class Matcher:
                 del self.memory[p]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Pieces joined, runs of byte pieces read as UTF-8, the dummy space taken off."""
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        """Pieces joined, runs of byte pieces read as UTF-8, the dummy space taken off.
+
+        Control pieces have no text and ids without a piece (or null) read as U+FFFD.
+        """
         if not hasattr(self, "surface"):
             self.surface = {i: p.replace(SPACE, " ").encode() for p, i in self.id_of.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+            self.surface |= {i: b"" for i in range(self.model.get_piece_size()) if self.model.is_control(i)}
+        get, unknown = self.surface.get, "\ufffd".encode()
+        text = b"".join([get(i, unknown) for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
-def encode(df: DataFrame, text_col: str = "text", out: str = "ids", model: str | None = None) -> DataFrame:
-    """df with an array of ids: a map without a shuffle."""
+def encode(df: DataFrame, text_col: str = "text", out: str = "ids", model: str | None = None, decoded: str | None = None) -> DataFrame:
+    """df with an array of ids: a map without a shuffle. With ``decoded`` also the text that these ids give, in the same pass."""
 
     def kernel(texts: pa.Array) -> list[pa.Array]:
-        found = held(Matcher, model).encode(texts.to_pylist())
-        return [pa.array(found, pa.list_(pa.int32()))]
+        m = held(Matcher, model)
+        ids = pa.array(m.encode(texts.to_pylist()), pa.list_(pa.int32()))
+        return [ids] if decoded is None else [ids, decode_array(m, ids)]
 
     fields = [T.StructField(out, T.ArrayType(T.IntegerType()))]
-    return append_columns(df, [F.col(quoted(text_col)).cast("string")], fields, kernel, rows=4096, nbytes=8 << 20)
+    if decoded is not None:
+        fields.append(T.StructField(decoded, T.StringType()))
+    return append_columns(df, [F.col(quoted(text_col)).cast("string")], fields, kernel, nbytes=2 << 20)
+
+
+def decode_array(m: Matcher, ids: pa.Array) -> pa.Array:
+    """The text of each list of ids; the ids of one list at a time become Python numbers."""
+    return pa.array([m.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in ids], pa.string())
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", model: str | None = None) -> DataFrame:
     """df with the text of each array of ids."""
 
     def kernel(ids: pa.Array) -> list[pa.Array]:
-        m = held(Matcher, model)
-        return [pa.array([None if x is None else m.decode(x) for x in ids.to_pylist()], pa.string())]
+        return [decode_array(held(Matcher, model), ids)]
 
-    return append_columns(df, [F.col(quoted(ids_col))], [T.StructField(out, T.StringType())], kernel)
+    return append_columns(df, [F.col(quoted(ids_col))], [T.StructField(out, T.StringType())], kernel, nbytes=2 << 20)
