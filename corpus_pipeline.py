@@ -16,21 +16,32 @@ from lociform.llm.common import Scratch, quoted, table
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str], str]:
+    """docs under names that no operator uses, the way back to its own names, and the name of the text."""
+    names = {f"column_{i}": c for i, c in enumerate(docs.columns)}
+    text = next(n for n, c in names.items() if c.lower() == "text")
+    return docs.select(*(F.col(quoted(c)).alias(n) for n, c in names.items())), names, text
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, then documents that fail; n_chars follows the text."""
-    out = quality_rules.clean_lines(docs).where("kept")
+    """Failing lines go, then documents that fail; n_chars follows the text. Repeated rows are judged
+    alike; columns keep their names and values, also where an operator's own have the same name."""
+    held, names, text = numbered(docs)
+    out = quality_rules.clean_lines(held, text).where("kept")
     fresh = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return out.select(*(fresh[c].alias(c) if c in fresh else F.col(quoted(c)) for c in docs.columns))
+    return out.select(*(fresh.get(c, F.col(n)).alias(c) for n, c in names.items()))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or of no certain language go."""
-    out = langid.predict(docs, langid.train(docs), lang_out="__lang_pred", score_out="__lang_score")
-    return out.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= MIN_LANGUAGE_SCORE)).select(*(F.col(quoted(c)) for c in docs.columns))
+    """Documents without a letter or of no certain language go; equal texts are judged alike. A tie between two languages is below the limit or goes to the first."""
+    held, names, text = numbered(docs)
+    lang = next(n for n, c in names.items() if c.lower() == "lang")
+    out = langid.predict(held, langid.train(held, text, lang), text)
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*(F.col(n).alias(c) for n, c in names.items()))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
+    """Of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays, one row of repeated ones; a null doc_id comes last."""
     return simhash.keep_first(docs)
 
 
