@@ -32,7 +32,8 @@ n AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) AS v
 c AS (
   SELECT w.*, coalesce(n.n, 0) AS n_repeat_words,
          list_filter(l, lambda x: NOT ({_count("x", MARKS)} > 0.08 * {_solid("x")}
-           OR {_count("x", NAVIGATION_MARKS)} >= 3 OR {" OR ".join(f"contains(lower(x), {_quoted(b)})" for b in BOILERPLATE)})) AS good
+           OR ({_count("x", NAVIGATION_MARKS)} >= 3 AND 40 * {_count("x", NAVIGATION_MARKS)} >= {_solid("x")})
+           OR ({_solid("x")} <= 240 AND ({" OR ".join(f"contains(lower(x), {_quoted(b)})" for b in BOILERPLATE)})))) AS good
   FROM w LEFT JOIN n USING (rid)),
 b AS (
   SELECT *, CAST(len(w) AS BIGINT) AS n_words, CAST({_solid("t")} AS BIGINT) AS word_chars,

@@ -4,8 +4,11 @@ Built of DataFrame functions only. Every line of a text meets three rules:
 
 * punctuation: marks ``#*$%&|<>!~^={}`` make up over ``max_mark_share`` of its
   non-space characters,
-* navigation: at least ``min_separators`` items parted by ``|``, ``»``, ``•`` or ``>``,
-* boilerplate: a licence, copyright, cookie, sign-up or script notice.
+* navigation: at least ``min_separators`` separators ``|``, ``»``, ``•`` or ``>``, one for every
+  ``separator_chars`` of its non-space characters or more,
+* boilerplate: a licence, copyright, cookie, sign-up or script notice in a line of at most ``notice_chars`` of them.
+
+A long line that says "cookie" once, or holds a few separators, is prose and stays.
 
 Lines that fail are removed; a document is rejected if it fails a base rule or if
 less than ``min_left_share`` of its non-space characters is left.
@@ -58,6 +61,8 @@ def clean_lines(
     text_col: str = "text",
     max_mark_share: float = 0.08,
     min_separators: int = 3,
+    separator_chars: int = 40,
+    notice_chars: int = 240,
     min_left_share: float = 0.5,
     min_words: int = 50,
     max_repeat_percent: int = 50,
@@ -85,8 +90,8 @@ def clean_lines(
     good = F.filter(
         F.col("__l"),
         lambda x: ~(
-            (F.col("__m") & x.rlike(f"[{MARKS}{NAVIGATION_MARKS}]") & ((_count(x, MARKS) > max_mark_share * _solid(x)) | (_count(x, NAVIGATION_MARKS) >= min_separators)))
-            | (F.col("__n") & _notice(x))
+            (F.col("__m") & x.rlike(f"[{MARKS}{NAVIGATION_MARKS}]") & ((_count(x, MARKS) > max_mark_share * _solid(x)) | ((_count(x, NAVIGATION_MARKS) >= min_separators) & (separator_chars * _count(x, NAVIGATION_MARKS) >= _solid(x)))))
+            | (F.col("__n") & _notice(x) & (_solid(x) <= notice_chars))
         ),
     )
     out = out.withColumns({"__s": F.sort_array(windows), "__g": good, "__c": F.length(F.array_join("__w", "")).cast("long"), "n_words": F.size("__w").cast("long")})
