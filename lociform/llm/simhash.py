@@ -139,13 +139,18 @@ def _keys(fp, max_distance: int) -> list:
     return [F.struct(F.lit(k).alias("t"), fp.bitwiseAND(F.lit(s)).alias("key")) for k, _, _, s in out], {k: bits for k, _, bits, _ in out}
 
 
-def fingerprint_links(fps: DataFrame, max_distance: int = 2) -> DataFrame:
-    """(a, b), a < b: links of the distinct longs ``fp`` whose components are those of all pairs within max_distance (2 or less)."""
+def fingerprint_links(fps: DataFrame, max_distance: int = 2, scratch: Scratch | None = None) -> DataFrame:
+    """(a, b), a < b: links of the distinct longs ``fp`` whose components are those of all pairs within max_distance (2 or less).
+
+    Sizes of buckets, as all aggregated sides of joins here, are written first: a join of two plain tables is
+    one whose hot keys Spark deals to several tasks.
+    """
+    scratch = scratch or Scratch(fps.sparkSession, "links")
     if max_distance > 2:
         raise ValueError("large buckets are linked through common neighbours, which needs max_distance <= 2")
     keys, free = _keys(F.col("fp"), max_distance)
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.key")
-    shared = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.keep(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     rows = rows.join(shared, ["t", "key"])
     few = rows.where(F.col("n") <= SMALL)
     near = (
@@ -179,12 +184,12 @@ def link_components(
     made = fingerprints(df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), "text", width)
     docs = scratch.keep(made.select("id", "fp"), "fingerprints")
     firsts = scratch.keep(docs.groupBy("fp").agg(F.min("id").alias("first")), "firsts")
-    found = components(fingerprint_links(firsts.select("fp"), max_distance), scratch)
+    found = components(fingerprint_links(firsts.select("fp"), max_distance, scratch), scratch)
     found = scratch.keep(found, "components")
     linked = firsts.join(found, firsts["fp"] == found["node"])
     roots = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(roots, "root").select("fp", F.col("least").alias("moved"))
-    label = firsts.join(moved, "fp", "left").select("fp", F.coalesce("moved", "first").alias("component_id"))
+    label = scratch.keep(firsts.join(moved, "fp", "left").select("fp", F.coalesce("moved", "first").alias("component_id")), "labels")
     return docs.join(label, "fp").select("id", "fp", "component_id")
 
 
@@ -202,7 +207,8 @@ def near_duplicates(
 
     Two equally large sets of Jaccard similarity s have the cosine 2s / (1 + s), others a larger one; a
     pair is close if at most the share of bits that belongs to that angle, plus two standard
-    deviations, differ. Blocks widen with the logarithm of the number of rows, so that unrelated
+    deviations, differ; of a candidate pair first one word is compared, with a bound of 4.5 standard deviations
+    (one pair in 10^5 at the threshold is lost by that). Blocks widen with the logarithm of the number of rows, so that unrelated
     texts seldom meet, and are as many as a pair at ``similarity`` needs to share one with
     probability ``recall``; ``words`` is the least length of a fingerprint in 64-bit words.
     ``row`` numbers rows; ``component`` is the ``row`` that a group keeps: of its smallest id.
@@ -249,13 +255,13 @@ def near_duplicates(
     at = firsts.select("node", long_of(F.col("fp"), 0).alias("w"), F.posexplode("keys").alias("t", "key")).select("node", "w", F.xxhash64("t", "key").alias("bucket"))
     links, level = None, 0
     while True:
-        crowded = at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        crowded = scratch.keep(at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"crowded-{level}")
         at = scratch.keep(at.join(crowded, "bucket"), f"buckets-{level}")
         few, many = at.where(F.col("n") <= SMALL), at.where(F.col("n") > SMALL)
         # pivots of a large bucket: the least nodes by a hash that each bucket deals anew, one of each of PIVOTS classes
         order = F.struct(F.xxhash64("node", "bucket"), "node", "w")
         dealt = many.withColumn("c", F.pmod(F.xxhash64("node", "bucket", F.lit(7)), F.lit(PIVOTS)))
-        pivots = dealt.groupBy("bucket", "c").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w")
+        pivots = scratch.keep(dealt.groupBy("bucket", "c").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w"), f"pivots-{level}")
         new = verified(met(few, few, F.expr("x.node < y.node")).unionByName(met(pivots, many, F.expr("x.node <> y.node"))))
         links = scratch.keep(new if links is None else links.unionByName(new), f"links-{2 * level}")
         if many.isEmpty():
@@ -267,7 +273,7 @@ def near_duplicates(
         sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("n"))
         rest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
         rest = rest.select("bucket", F.col("top.c").alias("top"), (F.col("all") - F.col("top.n")).alias("rest")).where("rest > 0")
-        open_ = scratch.keep(named.drop("n").join(rest, "bucket"), f"open-{level}")
+        open_ = scratch.keep(named.drop("n").join(scratch.keep(rest, f"rest-{level}"), "bucket"), f"open-{level}")
         last = SUB_BLOCKS * (level + 1) > 8 * words  # no bits are left to split by
         now = open_ if last else open_.where(F.col("rest") <= SMALL)
         crossed = met(now.where("c <> top"), now, F.expr("x.node <> y.node and x.c <> y.c"))
@@ -284,15 +290,18 @@ def near_duplicates(
     roots = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(roots, "root").select("node", F.col("least.row").alias("moved"))
     label = firsts.select("node", "digest", "first").join(moved, "node", "left").select("digest", F.coalesce("moved", "first.row").alias("component"))
+    label = scratch.keep(label, "labels")
     return rows.select("id", "row", "digest").join(label, "digest").select("id", "row", "component")
 
 
 def keep_first(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """df without near copies: of each group the row with the smallest id stays. All columns of df."""
     scratch = Scratch(df.sparkSession, "dedup")
-    columns = without(df, [])
-    marked = scratch.keep(df.withColumn("__row", F.monotonically_increasing_id()), "input")
-    base = marked.select(F.struct(F.col(quoted(id_col)).isNull().alias("n"), F.col(quoted(id_col)).alias("i"), F.col("__row").alias("r")).alias("key"), F.col(quoted(text_col)).alias("text"))
+    columns, tag = without(df, []), "row"
+    while tag.lower() in {c.lower() for c in columns}:  # a name that df does not use
+        tag += "_"
+    marked = scratch.keep(df.withColumn(tag, F.monotonically_increasing_id()), "input")
+    base = marked.select(F.struct(F.col(quoted(id_col)).isNull().alias("n"), F.col(quoted(id_col)).alias("i"), F.col(tag).alias("r")).alias("key"), F.col(quoted(text_col)).alias("text"))
     groups = near_duplicates(base, "text", "key", scratch=scratch, **options)
-    stay = groups.where("row = component").select(F.col("id.r").alias("__row"))
-    return marked.join(stay, "__row", "left_semi").select(*(F.col(quoted(c)) for c in columns))
+    stay = groups.where("row = component").select(F.col("id.r").alias(tag))
+    return marked.join(stay, tag, "left_semi").select(*(F.col(quoted(c)) for c in columns))
