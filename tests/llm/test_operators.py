@@ -539,6 +539,14 @@ def test_rules_edges(spark):
     assert quality_rules.clean_lines(empty(spark)).count() == 0
 
 
+def test_rules_judge_a_line_by_its_length(spark):
+    prose, more = (" ".join(f"{w}{i}" for i in range(400)) for w in ("word", "more"))
+    texts = [f"{prose} > a > b | c {more}", f"{prose} our cookie jar {more}", f"{prose}\nHome > News > Sport > Help\nThis site uses a cookie to subscribe you"]
+    got = {r["doc_id"]: r for r in quality_rules.clean_lines(frame(spark, [*texts, *TEXTS])).collect()}
+    assert all(got[i]["kept"] and got[i]["n_lines_removed"] == 0 for i in (0, 1))
+    assert got[2]["kept"] and got[2]["n_lines_removed"] == 2 and got[2]["clean_text"] == prose
+
+
 # archives
 
 
@@ -558,14 +566,46 @@ def test_archive_round_trip(spark):
 
 
 def test_assembly_follows_links(spark):
-    rows = [("r1", "response", None), ("q1", "request", "r1"), ("m1", "metadata", "q1"), ("r2", "response", "q2"), ("q2", "request", None), ("m9", "metadata", "lost")]
-    df = spark.createDataFrame(rows, "record_id string, type string, concurrent_to string")
+    rows = [("r1", "response", None), ("q1", "request", ["r1"]), ("m1", "metadata", ["q1"]), ("r2", "response", ["q2"]), ("q2", "request", None), ("m9", "metadata", ["lost"])]
+    rows += [("r3", "revisit", None), ("m3", "metadata", ["r1", "r3", "r3"]), ("q3", "request", ["m3", "lost"]), ("r4", "response", ["q4", "m4"]), ("q4", "request", ["r1"]), ("m4", "metadata", [])]
+    df = spark.createDataFrame(rows, "record_id string, type string, concurrent_to array<string>")
     for c, t in (x.split(" ") for x in warc.RECORD.split(", ")):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(t))
     got = {r["capture_id"]: r for r in warc.assemble(df).collect()}
-    assert [x["record_id"] for x in got["r1"]["requests"]] == ["q1"] and [x["record_id"] for x in got["r1"]["metadata"]] == ["m1"]
-    assert [x["record_id"] for x in got["r2"]["requests"]] == ["q2"] and set(got) == {"r1", "r2"}
+    of = lambda r, kind: [x["record_id"] for x in got[r][kind]]
+    assert of("r1", "requests") == ["q1", "q3", "q4"] and of("r1", "metadata") == ["m1", "m3"]
+    assert of("r2", "requests") == ["q2"] and of("r3", "requests") == ["q3"] and of("r3", "metadata") == ["m3"]
+    assert of("r4", "requests") == ["q4"] and of("r4", "metadata") == ["m4"] and set(got) == {"r1", "r2", "r3", "r4"}
+
+
+def test_files_of_others(spark, tmp_path):
+    """Repeated headers are all kept; a file that ends early gives what it holds and a row that says so."""
+    a = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<r1>"), ("Content-Type", "application/http")], b"HTTP/1.1 200 OK\r\n\r\nbody")
+    b = warc.record([("WARC-Type", "metadata"), ("WARC-Record-ID", "<m1>"), ("WARC-Concurrent-To", "<r1>"), ("WARC-Concurrent-To", "<r2>")], b"page-id: x\r\n")
+    files = {"whole": a + b, "cut": a + b[:-20], "other": b"not gzip", "none": b""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    manifest = spark.createDataFrame([(str(tmp_path / n), 2, 1) for n in files], warc.MANIFEST)
+    rows = warc.read_archive(manifest).collect()
+    assert sorted(r["target_uri"].rsplit("/", 1)[1] for r in rows if r["type"] == "unreadable") == ["cut", "other"]
+    assert [r["concurrent_to"] for r in rows if r["type"] == "metadata"] == [["<r1>", "<r2>"]] and sum(r["type"] == "response" for r in rows) == 2
+
+
+def test_revisits_of_shuffled_pages(spark):
+    """Roles hold whatever the order in which the pages arrive, and every record of a copied file is still there."""
+    rows = [(i, f"u{i}", "x" * (1000 + i % 3) if i % 4 else f"own {i}" * 300) for i in range(200)] + [(7, "u7", "x" * 1001)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = warc.assemble(warc.read_archive(warc.write_archive(df, file_bytes=1500))).collect()
+    assert len(got) == len(rows) and {(r["page_id"], r["response"]["target_uri"]) for r in got} == {(i, u) for i, u, _ in rows}
+    by_id = {r["capture_id"]: r for r in got}
+    for r in got:
+        html = rows[r["page_id"]][2]
+        best = max(i for i, _, h in rows if h == html)
+        if r["response"]["type"] == "response":
+            assert r["page_id"] == best and bytes(r["response"]["payload"]) == html.encode()
+        else:
+            assert by_id[r["response"]["refers_to"]]["page_id"] == best and r["response"]["payload_sha1"] == hashlib.sha1(html.encode()).hexdigest()
 
 
 # sentencepiece
@@ -580,8 +620,29 @@ def test_sentencepiece_matches_the_library(spark):
     for text, ids in zip(texts, m.encode(texts), strict=True):
         assert ids.tolist() == sp.encode(text)
         assert m.decode(ids.tolist()) == sp.decode(ids.tolist()) == text
-    out = sptok.decode(sptok.encode(frame(spark)))
-    assert all(r["decoded"] == r["text"] for r in out.collect()) and sptok.encode(empty(spark)).count() == 0
+    some = sp.encode("to be")
+    assert m.decode([sp.bos_id(), *some, sp.eos_id()]) == sp.decode([sp.bos_id(), *some, sp.eos_id()])
+    assert m.decode([*some, 10**7]).endswith("\ufffd") and m.decode([]) == ""
+    out = sptok.decode(sptok.encode(frame(spark), decoded="once"))
+    assert all(r["decoded"] == r["once"] == r["text"] for r in out.collect()) and sptok.encode(empty(spark)).count() == 0
+    nulls = spark.createDataFrame([([None, 5],), (None,), ([],)], "ids array<int>")
+    assert [r["decoded"] is None for r in sptok.decode(nulls).collect()] == [False, True, False]
+
+
+def test_sentencepiece_forgets_parts(monkeypatch):
+    """Ids stay those of the library when the memory is full, a text is one long part, or an index holds few characters."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokens.path_of("piece_bpe_32k.model"))
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)) for _ in range(12)] + ["ab" * 4000, "the cat " * 50]
+    for name, value in (("HELD_PARTS", 40), ("INDEX_CHARS", 100), ("SHORT", 4), ("HELD_CHARS", 3)):
+        with monkeypatch.context() as c:
+            c.setattr(sptok, name, value)
+            m = sptok.Matcher()
+            for _ in range(2):
+                for i in range(0, len(texts), 3):
+                    assert [x.tolist() for x in m.encode(texts[i : i + 3])] == [sp.encode(t) for t in texts[i : i + 3]]
 
 
 # pipeline
@@ -601,6 +662,25 @@ def test_pipeline(spark):
         assert none.columns == documents(spark).columns and none.count() == 0
 
 
+def test_pipeline_stages_keep_columns(spark):
+    """Nulls in any column, repeated rows, and columns named like those that operators add."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    words = "the quick brown fox jumps over some lazy dogs while many birds sing their morning songs near old trees".split()
+    long = [" ".join(rng.choice(words, 90)) for _ in range(6)]
+    rows = [(i, t, "en", "s", 1, "mine", 7, "w", "p", 0.5, 3) for i, t in enumerate(long)]
+    rows += [rows[0], (None, long[1], None, None, None, None, None, None, None, None, None), (9, None, None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words int, clean_text string, lang_pred string, score double, row int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns and out.drop("text", "n_chars").dtypes == df.drop("text", "n_chars").dtypes
+        got = out.toPandas()
+        assert set(got["kept"].dropna()) == {"mine"} and set(got["clean_text"].dropna()) == {"w"} and set(got["row"].dropna()) == {3}
+        assert sorted(x for x in got["doc_id"].dropna()) == ([0, 1, 2, 3, 4, 5] if name == "near copies" else [0, 0, 1, 2, 3, 4, 5]) + ([9] if name == "near copies" else [])
+    assert corpus_pipeline.packed(spark, df, SF).count() >= len(rows)
+
+
 def test_fold_is_crc32(spark):
     got = spark.range(50).select("id", langid.fold("id", 5).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in got)
