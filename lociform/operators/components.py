@@ -7,46 +7,45 @@ from pyspark.sql import functions as F
 
 from ..storage import Scratch
 
-#: A node with over this share of all rows is joined by broadcast; there are fewer than HOT such nodes.
-HOT = 1024
-
-
-def with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """rows (u, v) with ``m`` of their u, from ``least`` (u, m, n): n is the number of rows of u at most, ``total`` that of all.
-
-    The few nodes of very many links are broadcast, so that none of them is dealt to one task.
-    """
-    hot = least.where(F.col("n") * HOT > F.lit(total)).select("u", "m")
-    cold = least.where(F.col("n") * HOT <= F.lit(total)).select("u", "m")
-    spread = rows.join(F.broadcast(hot), "u")
-    return spread.unionByName(rows.join(F.broadcast(hot.select("u")), "u", "left_anti").join(cold, "u"))
-
 
 def components(links: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each linked node's component, for all nodes with a link.
 
     Alternating large-star and small-star rounds: each node's greater neighbours, then its
-    lesser ones, are linked to the least of its neighbourhood, until nothing changes. Each is a
-    join with one aggregated row a node, so no neighbourhood is ever collected; rounds are
-    written to the shared folder, and the driver sees three numbers of each.
+    lesser ones, are linked to the least of its neighbourhood, until all that is left are stars around
+    lesser nodes. Each is a join with one aggregated row a node, so no neighbourhood is ever collected. The
+    aggregated rows of a large star are written first, so that the join is one of two plain tables, in which Spark
+    deals a node of very many links to several tasks. The driver sees two numbers of each round.
     """
     scratch = scratch or Scratch(links.sparkSession, "components")
     edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges-0")
-    state, total = None, edges.count()
     for i in range(1, max_rounds + 1):
-        if not total:
-            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = with_least(both.where("v > u"), least, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = with_least(large, least, total).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"least-{i}")
+        large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = scratch.keep(small.where("u <> v").distinct(), f"edges-{i}")
         scratch.drop(f"edges-{i - 1}")
-        row = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if row == state:
+        scratch.drop(f"least-{i}")
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("down"))
+        if not ends.where("up > 1 or (up = 1 and down = 0)").agg(F.count("*")).first()[0]:
             break
-        state, total = row, row[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def joined(found: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, root) of the components of more links, given those of the links so far (or None): only roots are searched."""
+    if found is None:
+        return scratch.keep(components(links, scratch), name)
+    for end in ("a", "b"):
+        links = links.join(found.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    links = scratch.keep(links.where("a <> b").distinct(), f"{name}-links")
+    if links.isEmpty():
+        return found
+    new = scratch.keep(components(links, scratch), f"{name}-new")
+    old = found.join(new.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return scratch.keep(old.unionByName(new.join(found.select("node"), "node", "left_anti")), name)
