@@ -136,10 +136,13 @@ def smoothness(t):
     return graph.smoothness(edges(t), t("v_score").select(F.col("gene").alias("node"), F.col("score").alias("x")))
 
 
-COMPONENTS = f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGE.format(agg='sum')}) WHERE weight >= 120),
-n AS (SELECT gene_id AS node FROM v_gene), b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e),
-r AS (SELECT node AS x, node AS root FROM n UNION SELECT b.y, r.root FROM r JOIN b ON b.x = r.x),
-c AS (SELECT x AS node, min(root) AS root FROM r GROUP BY x), s AS (SELECT root, count(*) AS n_nodes FROM c GROUP BY root),
+#: The least node within so many steps of each node; more than the graph's diameter at any scale of the tables.
+LABEL_ROUNDS = 8
+_LABELS = ", ".join(f"r{i + 1} AS MATERIALIZED (SELECT r.node, least(r.root, coalesce(min(o.root), r.root)) AS root FROM r{i} r LEFT JOIN b ON b.x = r.node LEFT JOIN r{i} o ON o.node = b.y GROUP BY r.node, r.root)" for i in range(LABEL_ROUNDS))
+COMPONENTS = f"""WITH e AS MATERIALIZED (SELECT src, dst FROM ({EDGE.format(agg='sum')})),
+b AS MATERIALIZED (SELECT src AS x, dst AS y FROM e UNION ALL SELECT dst, src FROM e),
+r0 AS (SELECT gene_id AS node, gene_id AS root FROM v_gene), {_LABELS},
+c AS (SELECT node, root FROM r{LABEL_ROUNDS}), s AS (SELECT root, count(*) AS n_nodes FROM c GROUP BY root),
 l AS (SELECT root, count(*) AS n_edges FROM e JOIN c ON c.node = e.src GROUP BY root),
 k AS (SELECT s.root, n_nodes, coalesce(n_edges, 0) AS n_edges, row_number() OVER (ORDER BY n_nodes DESC, s.root) AS component_id FROM s LEFT JOIN l ON l.root = s.root)
 SELECT node, component_id, n_nodes, n_edges, component_id = 1 AS is_largest FROM c JOIN k ON k.root = c.root"""
@@ -187,7 +190,7 @@ def locus_background(t):
     return modules.locus_background(modules.pseudo_loci(scored_genes(t), 4000))
 
 
-@register("WITH b AS (SELECT CAST(chrom AS VARCHAR) || '-' || CAST(k AS VARCHAR) AS block_id, chrom, k * 150000 AS b_start, k * 150000 + 140000 AS b_end FROM (SELECT DISTINCT chrom FROM v_gene), (SELECT unnest(range(0, 20)) AS k)), h AS (SELECT g.gene_id, b.block_id, row_number() OVER (PARTITION BY g.gene_id ORDER BY CASE WHEN (g.g_start + g.g_end) / 2.0 BETWEEN b_start AND b_end THEN 0 ELSE 1 END, least(g.g_end, b_end) - greatest(g.g_start, b_start) DESC, b_start) AS n FROM v_gene g JOIN b ON b.chrom = g.chrom AND g.g_start <= b_end AND b_start <= g.g_end) SELECT g.gene_id, coalesce(h.block_id, 'UNBLOCKED') AS block_id FROM v_gene g LEFT JOIN h ON h.gene_id = g.gene_id AND n = 1")
+@register("WITH b AS (SELECT CAST(chrom AS VARCHAR) || '-' || CAST(k AS VARCHAR) AS block_id, chrom, k * 150000 AS b_start, k * 150000 + 140000 AS b_end FROM (SELECT DISTINCT chrom FROM v_gene), (SELECT unnest(range(0, (SELECT max(g_end) FROM v_gene) // 150000 + 1)) AS k)), h AS (SELECT g.gene_id, b.block_id, row_number() OVER (PARTITION BY g.gene_id ORDER BY CASE WHEN (g.g_start + g.g_end) / 2.0 BETWEEN b_start AND b_end THEN 0 ELSE 1 END, least(g.g_end, b_end) - greatest(g.g_start, b_start) DESC, b_start) AS n FROM v_gene g JOIN b ON b.chrom = g.chrom AND g.g_start <= b_end AND b_start <= g.g_end) SELECT g.gene_id, coalesce(h.block_id, 'UNBLOCKED') AS block_id FROM v_gene g LEFT JOIN h ON h.gene_id = g.gene_id AND n = 1")
 def ld_block_assign(t):
     b = t("v_gene").groupBy("chrom").agg(F.max("g_end").alias("end")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / 150000))))
     b = b.select("chrom", F.concat_ws("-", "chrom", F.col("k").cast("string")).alias("block_id"), (F.col("k") * 150000).alias("b_start"), (F.col("k") * 150000 + 140000).alias("b_end"))
@@ -295,7 +298,7 @@ def pearson_spearman(t):
     return r.agg(F.corr("score", "degree").alias("pearson"), F.corr("rs", "rd").alias("spearman"))
 
 
-GENO = "g AS (SELECT vec_id AS sample, CAST(unnest(range(0, 12)) AS INT) AS snp, embedding FROM embeddings), x AS (SELECT sample, snp, CAST(embedding[snp + 1] AS DOUBLE) AS v FROM g)"
+GENO = "g AS (SELECT vec_id AS sample, CAST(unnest(range(0, 64)) AS INT) AS snp, embedding FROM embeddings), x AS (SELECT sample, snp, CAST(embedding[snp + 1] AS DOUBLE) AS v FROM g)"
 
 
 def genotypes(t) -> DataFrame:
@@ -387,7 +390,7 @@ def library(t) -> DataFrame:
 
 
 HASH = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT)"
-PROFILE = "bins AS (SELECT gene, score, CAST(degree % 4 AS INT) AS bin FROM v_score), lib AS (SELECT DISTINCT module, gene FROM v_module WHERE module LIKE 'Brand%'), prof AS (SELECT module, bin, count(*) AS n FROM lib JOIN bins USING (gene) GROUP BY module, bin), reps AS (SELECT unnest(range(0, {n}))::INT AS replicate), sizes AS (SELECT bin, count(*) AS size FROM bins GROUP BY bin)"
+PROFILE = "bins AS (SELECT gene, score, CAST(degree % 4 AS INT) AS bin FROM v_score), lib AS (SELECT DISTINCT module, gene FROM v_module), prof AS (SELECT module, bin, count(*) AS n FROM lib JOIN bins USING (gene) GROUP BY module, bin), reps AS (SELECT unnest(range(0, {n}))::INT AS replicate), sizes AS (SELECT bin, count(*) AS size FROM bins GROUP BY bin)"
 SAMPLED = (
     PROFILE.format(n=4)
     + f", placed AS (SELECT replicate, bin, gene, score, row_number() OVER (PARTITION BY replicate, bin ORDER BY {HASH.format('concat_ws(chr(45), 1, replicate, gene)')}, gene) - 1 AS place FROM bins, reps), "
@@ -417,8 +420,8 @@ def matched_draws_with_replacement(t):
     return nulls.matched_draws(degree_bin(t), library(t).join(degree_bin(t), "gene"), 3)
 
 
-HEAVY = f"e AS (SELECT src, dst, weight FROM ({EDGE.format(agg='sum')}) WHERE weight >= 60), both_ways AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e)"
-BALLS = HEAVY + ", s AS (SELECT DISTINCT x AS seed FROM both_ways WHERE x % 25 = 0), b AS (SELECT seed, seed AS node, 0 AS distance FROM s UNION ALL SELECT seed, y, 1 FROM s JOIN both_ways ON x = seed UNION ALL SELECT seed, w.y, 2 FROM s JOIN both_ways v ON v.x = seed JOIN both_ways w ON w.x = v.y), ball AS (SELECT seed, node, min(distance) AS distance FROM b GROUP BY seed, node)"
+HEAVY = f"e AS (SELECT src, dst, weight FROM ({EDGE.format(agg='sum')})), both_ways AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e)"
+BALLS = HEAVY + ", s AS (SELECT DISTINCT x AS seed FROM both_ways), b AS (SELECT seed, seed AS node, 0 AS distance FROM s UNION ALL SELECT seed, y, 1 FROM s JOIN both_ways ON x = seed UNION ALL SELECT seed, w.y, 2 FROM s JOIN both_ways v ON v.x = seed JOIN both_ways w ON w.x = v.y), ball AS (SELECT seed, node, min(distance) AS distance FROM b GROUP BY seed, node)"
 
 
 def all_seeds(t) -> DataFrame:
@@ -455,7 +458,7 @@ def annulus_contrast(t):
     return communities.annulus_contrast(edges(t, "sum"), node_scores(t), all_seeds(t))
 
 
-@register("WITH " + HEAVY + """, lib AS (SELECT DISTINCT module, gene AS node FROM v_module WHERE module LIKE 'Brand%'),
+@register("WITH " + HEAVY + """, lib AS (SELECT DISTINCT module, gene AS node FROM v_module),
 i AS (SELECT a.module, e.src, e.dst FROM e JOIN lib a ON a.node = e.src JOIN lib b ON b.node = e.dst AND b.module = a.module), d AS (SELECT module, node, count(*) AS d FROM (SELECT module, src AS node FROM i UNION ALL SELECT module, dst FROM i) GROUP BY module, node),
 f AS (SELECT l.module, l.node, score, coalesce(d, 0) AS d FROM lib l JOIN v_score ON gene = l.node LEFT JOIN d ON d.module = l.module AND d.node = l.node),
 r AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY score DESC, d DESC, node DESC) AS r, count(*) OVER (PARTITION BY module) AS n, median(d) OVER (PARTITION BY module) AS cut FROM f),
