@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import claims, communities, graph, ld, mapping, modules, nulls, percolation, qc
+from ..operators import claims, communities, distributed, graph, ld, mapping, modules, nulls, percolation, qc
 from ..operators import relational as R
 from .views import view, with_views
 
@@ -538,3 +538,83 @@ def greedy_dense_modules(t):
 def pruned_gene_sets(t):
     sizes = t("v_module").distinct().groupBy("module").agg(F.count("*").alias("n"))
     return communities.prune(t("v_module").distinct().join(sizes, "module"), [F.desc("n")], 0.02)
+
+
+#: Scores of the tables lie around ten; less ten, the cap and the moderate range hold some of them.
+DISTRIBUTED = LOCI.replace("score, degree, greatest", "round(score - 10, 6) AS score, degree, greatest") + """,
+k AS (SELECT locus_id, max(least(score, 3)) AS locus_score FROM l GROUP BY locus_id),
+o AS (SELECT *, rank_n / n_loci AS rank_fraction FROM (SELECT *, row_number() OVER (ORDER BY locus_score DESC, locus_id) AS rank_n, count(*) OVER () AS n_loci FROM k)),
+x AS (SELECT module, locus_id, max(least(score, 3)) AS value, max(CASE WHEN score > 2 AND score < 4 THEN 1 ELSE 0 END) AS moderate FROM (SELECT DISTINCT module, gene FROM v_module) JOIN l USING (gene) GROUP BY module, locus_id),
+v AS (SELECT value, (SELECT count(*) FROM k WHERE locus_score >= value) / (SELECT count(*) FROM k) AS value_rank FROM (SELECT DISTINCT value FROM x)),
+y AS (SELECT x.module, x.locus_id, x.value, moderate, rank_fraction, value_rank, greatest(x.value, 0) AS p, row_number() OVER (PARTITION BY module ORDER BY x.value DESC, x.locus_id) AS r FROM x JOIN o USING (locus_id) JOIN v ON v.value = x.value),
+a AS (SELECT module, count(*) AS n_loci, sum(value) AS s, sum(p) AS p, sum(p * p) AS p2, sum(p) FILTER (r <= 1) AS p1, sum(p) FILTER (r <= 5) AS p5, 1 - avg(rank_fraction) AS membership_rank, 1 - avg(value_rank) AS specific_rank, sum(moderate) AS moderate,
+  sum(value) FILTER (r > 1) AS l1, sum(value) FILTER (r > 3) AS l3, sum(value) FILTER (r > 5) AS l5 FROM y GROUP BY module),
+b AS (SELECT *, CASE WHEN p > 0 THEN p * p / p2 ELSE 0 END AS n_effective, CASE WHEN p > 0 THEN p1 / p ELSE 1 END AS top1, CASE WHEN p > 0 THEN p5 / p ELSE 1 END AS top5, s / sqrt(n_loci) AS locus_robust FROM a),
+c AS (SELECT *, locus_robust * least(1, n_effective / 5) * CASE WHEN top1 > 0 THEN least(1, 0.35 / top1) ELSE 1 END AS penalised FROM b)"""
+
+
+def distributed_genes(t) -> DataFrame:
+    return modules.pseudo_loci(scored_genes(t).withColumn("score", F.round(F.col("score") - 10, 6)), 4000)
+
+
+@register(f"WITH {DISTRIBUTED} SELECT module, n_loci, round(n_effective, 6) AS n_effective, round(top1, 6) AS top1, round(top5, 6) AS top5, round(locus_robust, 6) AS locus_robust, round(p / sqrt(n_loci), 6) AS positive_locus, round(penalised, 6) AS penalised, round(penalised * CASE WHEN top5 > 0 THEN least(1, 0.7 / top5) ELSE 1 END, 6) AS penalised_top5, round(membership_rank, 6) AS membership_rank, round(specific_rank, 6) AS specific_rank, CAST(moderate AS DOUBLE) AS moderate, round(CASE WHEN n_loci > 1 THEN l1 / sqrt(n_loci - 1) END, 6) AS leave_top1, round(CASE WHEN n_loci > 3 THEN l3 / sqrt(n_loci - 3) END, 6) AS leave_top3, round(CASE WHEN n_loci > 5 THEN l5 / sqrt(n_loci - 5) END, 6) AS leave_top5 FROM c")
+def module_locus_statistics(t):
+    genes, sets = distributed_genes(t), t("v_module").distinct()
+    background = distributed.match_background(genes, sets)
+    loci = distributed.set_loci(genes, sets).join(background.select("locus_id", "rank_fraction"), "locus_id")
+    return distributed.locus_statistics(distributed.share_at_least(loci, background))
+
+
+def _bin(column: str, q: int) -> str:
+    n = f"least({q}, n_loci)" if q > 10 else str(q)
+    return f"CASE WHEN min({column}) OVER () = max({column}) OVER () THEN 0 ELSE greatest(0, ceil((row_number() OVER (ORDER BY {column}, locus_id) - 1) * {n} / (n_loci - 1)) - 1) END"
+
+
+@register(f"""WITH {LOCI}, q AS (SELECT gene, count(*) AS n FROM (SELECT DISTINCT module, gene FROM v_module) GROUP BY gene),
+a AS (SELECT locus_id, count(DISTINCT l.gene) AS n_genes, avg(degree) AS mean_degree, avg(coalesce(q.n, 0)) AS mean_sets FROM l LEFT JOIN q ON q.gene = l.gene GROUP BY locus_id), n AS (SELECT *, count(*) OVER () AS n_loci FROM a)
+SELECT locus_id, n_genes, CAST({_bin("mean_degree", 10)} AS INT) AS degree_bin, CAST({_bin("mean_degree", 10)} AS INT) || '|' || CAST({_bin("n_genes", 4)} AS INT) || '|' || CAST({_bin("mean_sets", 4)} AS INT) || '|0|0' AS match_bin FROM n""")
+def locus_match_bins(t):
+    return distributed.match_background(distributed_genes(t), t("v_module")).select("locus_id", "n_genes", "degree_bin", "match_bin")
+
+
+@register(f"""WITH {LOCI}, a AS (SELECT locus_id, min(chrom) AS chrom, count(DISTINCT gene) AS n, max(g_end) - min(g_start) AS span FROM l GROUP BY locus_id),
+g AS (SELECT 'overall' AS audit_level, 'all' AS "group", n, span FROM a UNION ALL SELECT 'chromosome', chrom, n, span FROM a)
+SELECT audit_level, "group", count(*) AS n_loci, round(quantile_cont(n, 0.5), 6) AS median_genes, round(quantile_cont(n, 0.9), 6) AS p90_genes, round(quantile_cont(n, 0.95), 6) AS p95_genes, max(n) AS max_genes, round(quantile_cont(span, 0.5), 6) AS median_span, round(quantile_cont(span, 0.95), 6) AS p95_span, max(span) AS max_span FROM g GROUP BY ALL""")
+def locus_background_audit(t):
+    return distributed.background_audit(distributed.match_background(distributed_genes(t), t("v_module")))
+
+
+@register()
+def distributed_module_tests(t):
+    return distributed.distributed_tests(distributed_genes(t), t("v_module").distinct(), 10)[0]
+
+
+FIXED = f"""bins AS (SELECT gene, score, degree, CAST(greatest(0, ceil((r - 1) * 10 / (n - 1)) - 1) AS INT) AS bin, row_number() OVER (ORDER BY score DESC, gene) / n AS rank_fraction FROM (SELECT *, row_number() OVER (ORDER BY degree, gene) AS r, count(*) OVER () AS n FROM v_score)),
+lib AS (SELECT module, gene FROM (SELECT module, gene, count(*) OVER (PARTITION BY module) AS n FROM (SELECT DISTINCT module, gene FROM v_module) JOIN (SELECT gene FROM v_score) USING (gene)) WHERE n >= 5), reps AS (SELECT unnest(range(0, 10))::INT AS replicate),
+q AS (SELECT module, count(*) AS n_query, count(s.gene) AS n_present FROM (SELECT DISTINCT module, gene FROM v_module) m LEFT JOIN v_score s ON s.gene = m.gene GROUP BY module),
+own AS (SELECT module, round(sum(score) / sqrt(count(*)), 9) AS observed, avg(score) AS mean_score, avg(rank_fraction) AS mean_rank_fraction, avg(degree) AS mean_degree FROM lib JOIN bins USING (gene) GROUP BY module),
+top AS (SELECT module, avg(score) AS top20_mean FROM (SELECT module, score, row_number() OVER (PARTITION BY module ORDER BY score DESC, gene) AS r, count(*) OVER (PARTITION BY module) AS n FROM lib JOIN bins USING (gene)) WHERE r <= greatest(1, ceil(n * 0.2)) GROUP BY module),
+e AS ({EDGE.format(agg='max')}), inner_e AS (SELECT a.module, count(*) AS m FROM e JOIN lib a ON a.gene = e.src JOIN lib b ON b.gene = e.dst AND b.module = a.module GROUP BY 1),
+sizes AS (SELECT bin, count(*) AS size FROM bins GROUP BY bin), prof AS (SELECT module, bin, count(*) AS n FROM lib JOIN bins USING (gene) GROUP BY module, bin),
+placed AS (SELECT replicate, bin, gene, row_number() OVER (PARTITION BY replicate, bin ORDER BY {HASH.format('concat_ws(chr(45), 1, replicate, gene)')}, gene) - 1 AS place FROM bins, reps),
+wanted AS (SELECT replicate, module, bin, size, unnest(range(0, n)) AS j FROM prof JOIN sizes USING (bin), reps),
+smp AS (SELECT w.replicate, w.module, p.gene FROM wanted w JOIN placed p ON p.replicate = w.replicate AND p.bin = w.bin AND p.place = ({HASH.format('concat_ws(chr(45), 1, w.replicate, w.module, w.bin)')} + w.j) % w.size),
+mn AS (SELECT replicate, module, round(sum(score) / sqrt(count(*)), 9) AS value, round(avg(rank_fraction), 9) AS rnk FROM smp JOIN bins USING (gene) GROUP BY replicate, module),
+h AS (SELECT replicate, gene, bin, row_number() OVER (PARTITION BY replicate, bin ORDER BY gene) AS k FROM bins, reps), v AS (SELECT replicate, bin, score, row_number() OVER (PARTITION BY replicate, bin ORDER BY md5('1-' || replicate || '-' || gene), gene) AS k FROM bins, reps),
+pn AS (SELECT replicate, module, round(sum(v.score) / sqrt(count(*)), 9) AS value FROM h JOIN v USING (replicate, bin, k) JOIN lib USING (gene) GROUP BY replicate, module), fam AS (SELECT replicate, max(value) AS top FROM pn GROUP BY replicate),
+m1 AS (SELECT module, (count(*) FILTER (value >= observed) + 1) / (count(*) + 1) AS matched_p, (any_value(observed) - avg(value)) / stddev_samp(value) AS matched_z, (count(*) FILTER (rnk <= round(mean_rank_fraction, 9)) + 1) / (count(*) + 1) AS rank_p, -(any_value(round(mean_rank_fraction, 9)) - avg(rnk)) / stddev_samp(rnk) AS rank_z FROM mn JOIN own USING (module) GROUP BY module),
+m2 AS (SELECT module, (count(*) FILTER (value >= observed) + 1) / (count(*) + 1) AS permuted_p, (any_value(observed) - avg(value)) / stddev_samp(value) AS permuted_z FROM pn JOIN own USING (module) GROUP BY module),
+m3 AS (SELECT module, (count(*) FILTER (top >= observed) + 1) / (count(*) + 1) AS family_p FROM own, fam GROUP BY module)"""
+
+
+FIXED += ", ranked AS (SELECT *, count(*) OVER () AS n_all, " + ", ".join(f"count(*) OVER (ORDER BY {c}_p RANGE UNBOUNDED PRECEDING) AS {c}_k" for c in ("matched", "permuted", "family"))
+FIXED += " FROM own JOIN top USING (module) LEFT JOIN inner_e USING (module) JOIN m1 USING (module) JOIN m2 USING (module) JOIN m3 USING (module)), "
+FIXED += "fdr AS (SELECT module, " + ", ".join(f"round(least(1, min({c}_p * n_all / {c}_k) OVER (ORDER BY {c}_p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS {c}_fdr" for c in ("matched", "permuted", "family")) + " FROM ranked)"
+
+
+@register(f"""WITH {FIXED} SELECT module, n_query, n_present, round(observed, 6) AS observed, round(mean_score, 6) AS mean_score, round(mean_rank_fraction, 6) AS mean_rank_fraction, round(mean_degree, 6) AS mean_degree, round(top20_mean, 6) AS top20_mean,
+CASE WHEN observed IS NOT NULL THEN coalesce(m, 0) END AS n_edges, CASE WHEN observed IS NOT NULL THEN round(2.0 * coalesce(m, 0) / (n_present * (n_present - 1)), 6) END AS density, round(matched_p, 6) AS matched_p, round(matched_z, 6) AS matched_z, round(rank_p, 6) AS rank_p, round(rank_z, 6) AS rank_z,
+round(permuted_p, 6) AS permuted_p, round(permuted_z, 6) AS permuted_z, round(family_p, 6) AS family_p, matched_fdr, permuted_fdr, family_fdr,
+CASE WHEN observed IS NULL THEN 'not_tested_low_overlap' WHEN matched_p <= 0.05 AND family_p <= 0.05 THEN 'familywise_supported' WHEN matched_p <= 0.05 THEN 'degree_supported' ELSE 'negative' END AS status FROM q LEFT JOIN ranked USING (module) LEFT JOIN fdr USING (module)""")
+def fixed_library_tests(t):
+    return distributed.library_tests(t("v_module"), t("v_score"), edges(t), 10)
