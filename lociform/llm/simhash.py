@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.components import components
+from ..operators.components import components, joined
 from .common import Scratch, append_columns, quoted, text_or_empty, without
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -243,7 +243,7 @@ def near_duplicates(
     small = firsts.select("node", F.array(*(long_of(F.col("fp"), i) for i in range(words))).alias("f"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.distinct()
         pairs = pairs.join(small.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(small.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
         gap = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return pairs.where(gap <= within).select("a", "b")
@@ -253,31 +253,49 @@ def near_duplicates(
         return x.alias("x").join(y.alias("y"), "bucket").where(different & (F.bit_count(F.expr("x.w ^ y.w")) <= first_within)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     at = firsts.select("node", long_of(F.col("fp"), 0).alias("w"), F.posexplode("keys").alias("t", "key")).select("node", "w", F.xxhash64("t", "key").alias("bucket"))
-    links, level = None, 0
+    def forget(level: int) -> None:
+        """Delete a level's tables, which later ones no longer read."""
+        for name in ("buckets", "named", "rest", "open"):
+            scratch.drop(f"{name}-{level}")
+        for k in (2 * level, 2 * level + 1):
+            scratch.drop(f"links-{k}")
+            scratch.drop(f"found-{k}-links")
+
+    found, level = None, 0
     while True:
         crowded = scratch.keep(at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"crowded-{level}")
         at = scratch.keep(at.join(crowded, "bucket"), f"buckets-{level}")
+        forget(level - 1)
+        scratch.drop(f"crowded-{level}")
         few, many = at.where(F.col("n") <= SMALL), at.where(F.col("n") > SMALL)
         # pivots of a large bucket: the least nodes by a hash that each bucket deals anew, one of each of PIVOTS classes
         order = F.struct(F.xxhash64("node", "bucket"), "node", "w")
         dealt = many.withColumn("c", F.pmod(F.xxhash64("node", "bucket", F.lit(7)), F.lit(PIVOTS)))
         pivots = scratch.keep(dealt.groupBy("bucket", "c").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w"), f"pivots-{level}")
-        new = verified(met(few, few, F.expr("x.node < y.node")).unionByName(met(pivots, many, F.expr("x.node <> y.node"))))
-        links = scratch.keep(new if links is None else links.unionByName(new), f"links-{2 * level}")
+        # a node is close to a bounded number of pivots and of others in small buckets: it is linked to the least, and these to each other through it
+        near = verified(met(few, few, F.expr("x.node < y.node")).unionByName(met(pivots, many, F.expr("x.node <> y.node"))))
+        near = near.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("s"))
+        near = near.select(F.explode(F.concat(F.array(F.struct("m", "b")), F.transform("s", lambda x: F.struct(F.col("m"), x.alias("b"))))).alias("e"))
+        new = scratch.keep(near.select(F.col("e.m").alias("a"), "e.b").where("a <> b").distinct(), f"links-{2 * level}")
+        found = joined(found, new, scratch, f"found-{2 * level}")
+        scratch.drop(f"pivots-{level}")
         if many.isEmpty():
             break
         # a large bucket of one component is done; in others, all outside the largest component are verified against all
-        found = scratch.keep(components(links, scratch), f"found-{level}")
         named = many.join(found.withColumnRenamed("root", "c"), "node", "left")
         named = scratch.keep(named.withColumn("c", F.coalesce("c", "node")), f"named-{level}")
+        scratch.drop(f"buckets-{level}")
         sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("n"))
         rest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
         rest = rest.select("bucket", F.col("top.c").alias("top"), (F.col("all") - F.col("top.n")).alias("rest")).where("rest > 0")
         open_ = scratch.keep(named.drop("n").join(scratch.keep(rest, f"rest-{level}"), "bucket"), f"open-{level}")
+        scratch.drop(f"named-{level}")
+        if open_.isEmpty():
+            break
         last = SUB_BLOCKS * (level + 1) > 8 * words  # no bits are left to split by
         now = open_ if last else open_.where(F.col("rest") <= SMALL)
-        crossed = met(now.where("c <> top"), now, F.expr("x.node <> y.node and x.c <> y.c"))
-        links = scratch.keep(links.unionByName(verified(crossed)), f"links-{2 * level + 1}")
+        crossed = scratch.keep(verified(met(now.where("c <> top"), now, F.expr("x.node <> y.node and x.c <> y.c"))), f"links-{2 * level + 1}")
+        found = joined(found, crossed, scratch, f"found-{2 * level + 1}")
         left = open_.where(F.col("rest") > SMALL)
         if last or left.isEmpty():
             break
@@ -285,7 +303,7 @@ def near_duplicates(
         left = left.select("node", "w", "bucket").join(firsts.select("node", "fp"), "node")
         left = left.select("node", "w", "bucket", "fp", F.explode(F.sequence(F.lit(0), F.lit(SUB_BLOCKS - 1))).alias("j"))
         at, level = left.select("node", "w", F.xxhash64("bucket", "j", F.expr(f"substring(fp, {SUB_BLOCKS * level} + j + 1, 1)")).alias("bucket")), level + 1
-    found = scratch.keep(components(links, scratch), "components")
+    forget(level)
     linked = firsts.select("node", "first").join(found, "node")
     roots = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(roots, "root").select("node", F.col("least.row").alias("moved"))

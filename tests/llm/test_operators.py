@@ -352,6 +352,37 @@ def test_near_copies_in_large_buckets(spark):
     assert len(kept - want) <= 0.05 * len(want) and not want - kept
 
 
+def test_more_links_join_components(spark):
+    rng = np.random.default_rng(6)
+    scratch, found, root = simhash.Scratch(spark, "test"), None, list(range(120))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for k in range(3):
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (30, 2))]
+        for a, b in pairs:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        found = simhash.joined(found, spark.createDataFrame(pairs, "a long, b long"), scratch, f"found-{k}")
+        got = {r["node"]: r["root"] for r in found.collect()}
+        assert [got.get(i, i) for i in range(120)] == [find(i) for i in range(120)] and found.count() == len(got)
+
+
+def test_recall_of_near_copies(spark):
+    """Pairs planted at a known similarity of their sets of five-word shingles, by replacing the last words."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijkl"), 7))
+    rows, want = [], {}
+    for k, s in enumerate(np.repeat([0.82, 0.85, 0.9], 60)):
+        n = 240
+        changed = round(n * (1 - s) / (1 + s))  # of n shingles each, n - changed are shared
+        base = [word() for _ in range(n + 4)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: n + 4 - changed] + [word() for _ in range(changed)]))]
+        want.setdefault(float(s), []).append(2 * k + 1)
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {s: sum(i not in kept for i in ids) / len(ids) for s, ids in want.items()}
+    print("recall by similarity", found)
+    assert found[0.82] >= 0.9 and found[0.85] >= 0.95 and found[0.9] >= 0.98 and not any(2 * k not in kept for k in range(180))
+
+
 # shards
 
 
