@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,35 +42,52 @@ def harmonize_table(df: DataFrame, order: str) -> DataFrame:
     return dedupe_first(out, ["snp_id"], [order])
 
 
-def harmonize_to_reference(df: DataFrame, reference: DataFrame, min_maf: float = 0.01, min_info: float = 0.6) -> DataFrame:
-    """Left join to a reference of unique ids; alignment, flips, flags and the ordered list of failed checks."""
+def harmonize_to_reference(df: DataFrame, reference: DataFrame, min_maf: float = 0.01, min_info: float = 0.8) -> DataFrame:
+    """Left join to a reference of unique ids; alignment, flips, flags and the ordered list of failed checks.
+
+    Alleles and position become those of the reference (null without one), the table's own stay as ``source_*``; effect and frequency of
+    a flipped variant are those of the reference's effect allele. ``info`` is judged if any row of the table has it.
+    """
     ref = assert_unique(reference.select("snp_id", "chrom_ref", "pos_ref", "ref_a1", "ref_a2"), ["snp_id"])
-    j = df.join(ref, "snp_id", "left")
+    j = df.withColumn("repeated_id", F.count("*").over(Window.partitionBy("snp_id")) > 1).join(ref, "snp_id", "left")
     a, b = S.allele(F.col("effect_allele")), S.allele(F.col("other_allele"))
-    j = j.withColumns({"effect_allele": a, "other_allele": b, "p": F.when(F.col("p") < 1e-300, 1e-300).otherwise(F.col("p"))})
+    j = j.withColumns({"source_effect_allele": a, "source_other_allele": b, "p_was_clipped": F.coalesce(F.col("p") < 1e-300, F.lit(False)), "p": F.when(F.col("p") < 1e-300, 1e-300).otherwise(F.col("p"))})
+    own = F.col("source_effect_allele"), F.col("source_other_allele")
     j = j.withColumns({
-        "alignment": S.allele_case(F.col("effect_allele"), F.col("other_allele"), F.col("ref_a1"), F.col("ref_a2")),
-        "palindromic": F.coalesce(S.palindromic(F.col("effect_allele"), F.col("other_allele")), F.lit(False)),
+        "alignment": S.allele_case(*own, F.col("ref_a1"), F.col("ref_a2")),
+        "palindromic": F.coalesce(S.palindromic(*own), F.lit(False)),
+        "indel": ~S.single_base(*own),
         "maf": S.maf(F.col("eaf")),
     })
+    info = F.lit(False)
+    if "info" in df.columns:
+        any_info = df.agg(F.coalesce(F.max(F.col("info").isNotNull()), F.lit(False)).alias("__any_info"))
+        j = j.crossJoin(F.broadcast(any_info))
+        info = F.col("__any_info") & (F.col("info").isNull() | (F.col("info") < min_info))
     flip = F.coalesce(F.col("alignment").isin("flip", "strand_flip"), F.lit(False))
+    mapped = F.col("chrom_ref").isNotNull()
     checks = [
-        ("not_in_reference", F.col("ref_a1").isNull()),
-        ("not_single_base", ~S.single_base(F.col("effect_allele"), F.col("other_allele"))),
-        ("invalid_p", F.col("p").isNull() | (F.col("p") <= 0) | (F.col("p") > 1)),
-        ("invalid_beta_se", ~S.finite(F.col("beta")) | ~S.finite(F.col("se")) | (F.col("se") <= 0)),
-        ("allele_mismatch", F.col("ref_a1").isNotNull() & F.col("alignment").isNull()),
+        ("not_in_reference", ~mapped),
+        ("invalid_p", F.col("p").isNull() | (F.col("p") > 1)),
+        ("invalid_se", ~S.finite(F.col("se")) | (F.col("se") <= 0)),
+        ("invalid_beta", ~S.finite(F.col("beta"))),
+        ("invalid_eaf", ~S.finite(F.col("eaf")) | ~F.col("eaf").between(0, 1)),
+        ("non_snp_or_non_acgt", F.col("indel")),
+        ("allele_mismatch", mapped & ~F.col("indel") & F.col("alignment").isNull()),
         ("ambiguous_palindrome", F.col("palindromic") & F.col("maf").between(0.42, 0.58)),
-        ("low_maf", F.col("maf") < min_maf),
-        ("low_info", F.col("info") < min_info if "info" in df.columns else F.lit(False)),
+        ("low_maf", F.col("maf").isNull() | (F.col("maf") < min_maf)),
+        ("low_or_missing_info", info),
+        ("non_autosome", mapped & ~F.col("chrom_ref").isin([str(c) for c in range(1, 23)])),
     ]
     out = j.withColumns({
         "qc_fail_reason": S.fail_reasons(checks),
+        "effect_allele": F.col("ref_a1"),
+        "other_allele": F.col("ref_a2"),
         "beta": F.when(flip, -F.col("beta")).otherwise(F.col("beta")),
         "eaf": F.when(flip, 1 - F.col("eaf")).otherwise(F.col("eaf")),
         "in_mhc": S.in_region(F.col("chrom_ref"), F.col("pos_ref"), "MHC"),
         "in_apoe": S.in_region(F.col("chrom_ref"), F.col("pos_ref"), "APOE"),
-    })
+    }).drop("__any_info")
     return out.withColumns({"maf": S.maf(F.col("eaf")), "z": F.col("beta") / F.nullif(F.col("se"), F.lit(0.0)), "qc_pass": F.col("qc_fail_reason") == ""})
 
 

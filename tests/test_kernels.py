@@ -77,6 +77,15 @@ def test_harmonize(spark):
     got = {r["snp_id"]: r for r in qc.harmonize_to_reference(df, ref).collect()}
     assert got["rs1"]["qc_pass"] and got["rs1"]["in_mhc"] and got["rs1"]["z"] == pytest.approx(2)
     assert got["rs2"]["beta"] == -0.2 and got["rs2"]["eaf"] == pytest.approx(0.8)
+    assert (got["rs2"]["effect_allele"], got["rs2"]["other_allele"], got["rs2"]["source_effect_allele"]) == ("A", "G", "G")
+    odd = [("b1", "A", "G", 0.1, 0.1, 0.5, 1.5, 0.9), ("b2", "A", "G", 0.1, 0.0, 2.0, 0.2, None), ("b2", "AT", "G", None, 0.1, 0.0, 0.2, 0.9), ("x1", "A", "G", 0.1, 0.1, 0.5, None, 0.9)]
+    odd = spark.createDataFrame(odd, "snp_id string, effect_allele string, other_allele string, beta double, se double, p double, eaf double, info double")
+    at = spark.createDataFrame([(i, c, 1, "A", "G") for i, c in (("b1", "1"), ("b2", "2"), ("x1", "X"))], "snp_id string, chrom_ref string, pos_ref long, ref_a1 string, ref_a2 string")
+    made = [(r["qc_fail_reason"], r["repeated_id"], r["p_was_clipped"]) for r in qc.harmonize_to_reference(odd, at).orderBy("snp_id", F.desc("p")).collect()]
+    assert made == [
+        ("invalid_eaf;low_maf", False, False), ("invalid_p;invalid_se;low_or_missing_info", True, False),
+        ("invalid_beta;non_snp_or_non_acgt", True, True), ("invalid_eaf;low_maf;non_autosome", False, False),
+    ]
     assert got["rs3"]["qc_fail_reason"] == "ambiguous_palindrome" and got["rs9"]["qc_fail_reason"] == "not_in_reference"
 
 
