@@ -14,7 +14,7 @@ proportional to the number of fingerprints, whatever the size of a group.
 ``near_duplicates`` (long fingerprints of several 64-bit words) serves
 similarity thresholds such as 0.8, where dozens of bits differ. A pair of the threshold
 similarity shares a block with a stated probability. In small buckets all pairs are
-verified. In large ones each fingerprint is verified against a few pivots; then
+verified. In larger ones each fingerprint is verified against one pivot; then
 those outside the bucket's largest component are verified against the whole bucket, which leaves no
 link between components unseen; buckets with many such are first split by further bytes.
 
@@ -46,7 +46,9 @@ UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SEED = 42
 #: Buckets up to this size are joined with themselves.
 SMALL = 32
-#: A large bucket's members are first verified against so many of them.
+#: ``near_duplicates`` verifies all pairs of buckets up to this size.
+PAIRED = 8
+#: Members outside a larger bucket's largest component are verified against so many of that component.
 PIVOTS = 4
 #: A bucket of many components is split by so many further bytes of the fingerprint, each on its own.
 SUB_BLOCKS = 32
@@ -255,23 +257,36 @@ def near_duplicates(
     at = firsts.select("node", long_of(F.col("fp"), 0).alias("w"), F.posexplode("keys").alias("t", "key")).select("node", "w", F.xxhash64("t", "key").alias("bucket"))
     def forget(level: int) -> None:
         """Delete a level's tables, which later ones no longer read."""
-        for name in ("buckets", "named", "rest", "open"):
-            scratch.drop(f"{name}-{level}")
-        for k in (2 * level, 2 * level + 1):
+        scratch.drop(f"buckets-{level}")
+        for k in (f"{level}-a", f"{level}-b"):
+            scratch.drop(f"open-{k}")
+        for k in (2 * level, f"{level}-a", 2 * level + 1):
             scratch.drop(f"links-{k}")
             scratch.drop(f"found-{k}-links")
 
+    def opened(rows: DataFrame, name: str) -> DataFrame:
+        """Rows of the buckets of several components, with their component, the bucket's largest and the number outside it."""
+        named = rows.join(found.withColumnRenamed("root", "c"), "node", "left")
+        named = scratch.keep(named.withColumn("c", F.coalesce("c", "node")), f"named-{name}")
+        sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+        rest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
+        rest = rest.select("bucket", F.col("top.c").alias("top"), (F.col("all") - F.col("top.n")).alias("rest")).where("rest > 0")
+        out = scratch.keep(named.select("node", "w", "bucket", "c").join(scratch.keep(rest, f"rest-{name}"), "bucket"), f"open-{name}")
+        scratch.drop(f"named-{name}")
+        scratch.drop(f"rest-{name}")
+        return out
+
     found, level = None, 0
     while True:
         crowded = scratch.keep(at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"crowded-{level}")
         at = scratch.keep(at.join(crowded, "bucket"), f"buckets-{level}")
         forget(level - 1)
         scratch.drop(f"crowded-{level}")
-        few, many = at.where(F.col("n") <= SMALL), at.where(F.col("n") > SMALL)
-        # pivots of a large bucket: the least nodes by a hash that each bucket deals anew, one of each of PIVOTS classes
-        order = F.struct(F.xxhash64("node", "bucket"), "node", "w")
-        dealt = many.withColumn("c", F.pmod(F.xxhash64("node", "bucket", F.lit(7)), F.lit(PIVOTS)))
-        pivots = scratch.keep(dealt.groupBy("bucket", "c").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w"), f"pivots-{level}")
+        few, many = at.where(F.col("n") <= PAIRED), at.where(F.col("n") > PAIRED)
+        # the pivot of a larger bucket is its least node by a hash. The hash is the same in all buckets, so those of one
+        # group of copies mostly share their pivots, and a member meets a few of them in all
+        order = F.struct(F.xxhash64("node"), "node", "w")
+        pivots = scratch.keep(many.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w"), f"pivots-{level}")
         # a node is close to a bounded number of pivots and of others in small buckets: it is linked to the least, and these to each other through it
         near = verified(met(few, few, F.expr("x.node < y.node")).unionByName(met(pivots, many, F.expr("x.node <> y.node"))))
         near = near.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("s"))
@@ -281,15 +296,20 @@ def near_duplicates(
         scratch.drop(f"pivots-{level}")
         if many.isEmpty():
             break
-        # a large bucket of one component is done; in others, all outside the largest component are verified against all
-        named = many.join(found.withColumnRenamed("root", "c"), "node", "left")
-        named = scratch.keep(named.withColumn("c", F.coalesce("c", "node")), f"named-{level}")
+        # a larger bucket of one component is done; in others, all outside the largest component are verified against some of that
+        # one, and those that are still outside against all
+        open_ = opened(many, f"{level}-a")
         scratch.drop(f"buckets-{level}")
-        sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-        rest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
-        rest = rest.select("bucket", F.col("top.c").alias("top"), (F.col("all") - F.col("top.n")).alias("rest")).where("rest > 0")
-        open_ = scratch.keep(named.drop("n").join(scratch.keep(rest, f"rest-{level}"), "bucket"), f"open-{level}")
-        scratch.drop(f"named-{level}")
+        if open_.isEmpty():
+            break
+        order = F.struct(F.xxhash64("node", "bucket"), "node", "w")
+        dealt = open_.where("c = top").withColumn("d", F.pmod(F.xxhash64("node", "bucket", F.lit(7)), F.lit(PIVOTS)))
+        pivots = scratch.keep(dealt.groupBy("bucket", "d").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w"), f"pivots-{level}-a")
+        again = scratch.keep(verified(met(pivots, open_.where("c <> top"), F.lit(True))), f"links-{level}-a")
+        found = joined(found, again, scratch, f"found-{level}-a")
+        scratch.drop(f"pivots-{level}-a")
+        open_ = opened(open_.select("node", "w", "bucket"), f"{level}-b")
+        scratch.drop(f"open-{level}-a")
         if open_.isEmpty():
             break
         last = SUB_BLOCKS * (level + 1) > 8 * words  # no bits are left to split by
