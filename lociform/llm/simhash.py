@@ -50,7 +50,9 @@ SMALL = 32
 PAIRED = 8
 #: Members outside a larger bucket's largest component are verified against so many of that component.
 PIVOTS = 4
-#: A bucket of many components is split by so many further bytes of the fingerprint, each on its own.
+#: Buckets with up to so many members outside their largest component are settled by comparing those with the whole bucket.
+CROSSED = 256
+#: A bucket with more of them is split by so many further bytes of the fingerprint, each on its own.
 SUB_BLOCKS = 32
 
 
@@ -244,15 +246,25 @@ def near_duplicates(
     long_of = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
     small = firsts.select("node", F.array(*(long_of(F.col("fp"), i) for i in range(words))).alias("f"))
 
+    def gap(x: str, y: str):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, p: s + p)
+
+    first_words = F.bit_count(F.expr("x.w ^ y.w")) <= first_within
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
         pairs = pairs.join(small.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(small.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
-        gap = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return pairs.where(gap <= within).select("a", "b")
+        return pairs.where(gap("fa", "fb") <= within).select("a", "b")
 
     def met(x: DataFrame, y: DataFrame, different) -> DataFrame:
         """Pairs in a bucket whose first words are close enough for the whole fingerprints to be."""
-        return x.alias("x").join(y.alias("y"), "bucket").where(different & (F.bit_count(F.expr("x.w ^ y.w")) <= first_within)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        return x.alias("x").join(y.alias("y"), "bucket").where(different & first_words).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    def close(x: DataFrame, y: DataFrame, different, a: str = "node") -> DataFrame:
+        """Close pairs in a bucket, named by the column a: few rows carry their whole fingerprints, so only links leave the join."""
+        x, y = (d.join(small, "node") for d in (x, y))
+        both = x.alias("x").join(y.alias("y"), "bucket").where(different & first_words & (gap("x.f", "y.f") <= within))
+        return both.select(F.col(f"x.{a}").alias("a"), F.col(f"y.{a}").alias("b")).distinct()
 
     at = firsts.select("node", long_of(F.col("fp"), 0).alias("w"), F.posexplode("keys").alias("t", "key")).select("node", "w", F.xxhash64("t", "key").alias("bucket"))
     def forget(level: int) -> None:
@@ -260,7 +272,7 @@ def near_duplicates(
         scratch.drop(f"buckets-{level}")
         for k in (f"{level}-a", f"{level}-b"):
             scratch.drop(f"open-{k}")
-        for k in (2 * level, f"{level}-a", 2 * level + 1):
+        for k in (f"{level}", f"{level}-a", f"{level}-b"):
             scratch.drop(f"links-{k}")
             scratch.drop(f"found-{k}-links")
 
@@ -288,36 +300,34 @@ def near_duplicates(
         order = F.struct(F.xxhash64("node"), "node", "w")
         pivots = scratch.keep(many.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w"), f"pivots-{level}")
         # a node is close to a bounded number of pivots and of others in small buckets: it is linked to the least, and these to each other through it
-        near = verified(met(few, few, F.expr("x.node < y.node")).unionByName(met(pivots, many, F.expr("x.node <> y.node"))))
+        paired = (close if level else lambda x, y, d: verified(met(x, y, d)))(few, few, F.expr("x.node < y.node"))
+        near = paired.unionByName(close(pivots, many, F.expr("x.node <> y.node")))
         near = near.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("s"))
         near = near.select(F.explode(F.concat(F.array(F.struct("m", "b")), F.transform("s", lambda x: F.struct(F.col("m"), x.alias("b"))))).alias("e"))
-        new = scratch.keep(near.select(F.col("e.m").alias("a"), "e.b").where("a <> b").distinct(), f"links-{2 * level}")
-        found = joined(found, new, scratch, f"found-{2 * level}")
+        new = scratch.keep(near.select(F.col("e.m").alias("a"), "e.b").where("a <> b").distinct(), f"links-{level}")
+        found = joined(found, new, scratch, f"found-{level}")
         scratch.drop(f"pivots-{level}")
         if many.isEmpty():
             break
-        # a larger bucket of one component is done; in others, all outside the largest component are verified against some of that
-        # one, and those that are still outside against all
+        # a larger bucket of one component is done; in others all outside the largest component are compared with the whole
+        # bucket. Where these are many, they are first compared with some of that component
         open_ = opened(many, f"{level}-a")
         scratch.drop(f"buckets-{level}")
-        if open_.isEmpty():
-            break
-        order = F.struct(F.xxhash64("node", "bucket"), "node", "w")
-        dealt = open_.where("c = top").withColumn("d", F.pmod(F.xxhash64("node", "bucket", F.lit(7)), F.lit(PIVOTS)))
-        pivots = scratch.keep(dealt.groupBy("bucket", "d").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w"), f"pivots-{level}-a")
-        again = scratch.keep(verified(met(pivots, open_.where("c <> top"), F.lit(True))), f"links-{level}-a")
-        found = joined(found, again, scratch, f"found-{level}-a")
-        scratch.drop(f"pivots-{level}-a")
-        open_ = opened(open_.select("node", "w", "bucket"), f"{level}-b")
-        scratch.drop(f"open-{level}-a")
-        if open_.isEmpty():
-            break
-        last = SUB_BLOCKS * (level + 1) > 8 * words  # no bits are left to split by
-        now = open_ if last else open_.where(F.col("rest") <= SMALL)
-        crossed = scratch.keep(verified(met(now.where("c <> top"), now, F.expr("x.node <> y.node and x.c <> y.c"))), f"links-{2 * level + 1}")
-        found = joined(found, crossed, scratch, f"found-{2 * level + 1}")
-        left = open_.where(F.col("rest") > SMALL)
-        if last or left.isEmpty():
+        now, left, last = open_.where(F.col("rest") <= CROSSED), open_.where(F.col("rest") > CROSSED), SUB_BLOCKS * (level + 1) > 8 * words
+        if not left.isEmpty():
+            order = F.struct(F.xxhash64("node", "bucket"), "node", "w")
+            dealt = left.where("c = top").withColumn("d", F.pmod(F.xxhash64("node", "bucket", F.lit(7)), F.lit(PIVOTS)))
+            pivots = scratch.keep(dealt.groupBy("bucket", "d").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w"), f"pivots-{level}-a")
+            again = scratch.keep(close(pivots, left.where("c <> top"), F.lit(True)), f"links-{level}-a")
+            found = joined(found, again, scratch, f"found-{level}-a")
+            scratch.drop(f"pivots-{level}-a")
+            left = opened(left.select("node", "w", "bucket"), f"{level}-b")
+            fewer = F.lit(True) if last else F.col("rest") <= CROSSED  # last: no bits are left to split by
+            now, left = now.unionByName(left.where(fewer)), left.where(~fewer)
+        # links of components, whatever the number of close pairs between two
+        crossed = scratch.keep(close(now.where("c <> top"), now, F.expr("x.c <> y.c"), "c"), f"links-{level}-b")
+        found = joined(found, crossed, scratch, f"found-{level}-b")
+        if left.isEmpty():
             break
         # buckets of many components are split by each of SUB_BLOCKS further bytes: a close pair shares one of them
         left = left.select("node", "w", "bucket").join(firsts.select("node", "fp"), "node")

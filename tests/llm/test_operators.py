@@ -320,8 +320,10 @@ def test_near_copies_stay_once(spark):
     assert len({r["fp"] for r in simhash.link_components(frame(spark)).collect() if r["id"] in (0, 1, 2)}) == 1
 
 
-def test_near_copies_in_large_buckets(spark):
-    """A text with many copies that resemble it but not each other, and pairs just above the threshold."""
+@pytest.mark.parametrize("crossed", [simhash.CROSSED, 2])
+def test_near_copies_in_large_buckets(spark, monkeypatch, crossed):
+    """A text with many copies that resemble it but not each other, and pairs just above the threshold; with a low limit buckets are split."""
+    monkeypatch.setattr(simhash, "CROSSED", crossed)
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
 
