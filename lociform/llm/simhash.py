@@ -261,8 +261,7 @@ def near_duplicates(
         return x.alias("x").join(y.alias("y"), "bucket").where(different & first_words).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     def close(x: DataFrame, y: DataFrame, different, a: str = "node") -> DataFrame:
-        """Close pairs in a bucket, named by the column a: few rows carry their whole fingerprints, so only links leave the join."""
-        x, y = (d.join(small, "node") for d in (x, y))
+        """Close pairs in a bucket, named by the column a, of rows with their whole fingerprints f, so that only links leave the join."""
         both = x.alias("x").join(y.alias("y"), "bucket").where(different & first_words & (gap("x.f", "y.f") <= within))
         return both.select(F.col(f"x.{a}").alias("a"), F.col(f"y.{a}").alias("b")).distinct()
 
@@ -270,6 +269,7 @@ def near_duplicates(
     def forget(level: int) -> None:
         """Delete a level's tables, which later ones no longer read."""
         scratch.drop(f"buckets-{level}")
+        scratch.drop(f"many-{level}")
         for k in (f"{level}-a", f"{level}-b"):
             scratch.drop(f"open-{k}")
         for k in (f"{level}", f"{level}-a", f"{level}-b"):
@@ -283,7 +283,7 @@ def near_duplicates(
         sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("n"))
         rest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
         rest = rest.select("bucket", F.col("top.c").alias("top"), (F.col("all") - F.col("top.n")).alias("rest")).where("rest > 0")
-        out = scratch.keep(named.select("node", "w", "bucket", "c").join(scratch.keep(rest, f"rest-{name}"), "bucket"), f"open-{name}")
+        out = scratch.keep(named.select("node", "w", "bucket", "c", "f").join(scratch.keep(rest, f"rest-{name}"), "bucket"), f"open-{name}")
         scratch.drop(f"named-{name}")
         scratch.drop(f"rest-{name}")
         return out
@@ -294,14 +294,14 @@ def near_duplicates(
         at = scratch.keep(at.join(crowded, "bucket"), f"buckets-{level}")
         forget(level - 1)
         scratch.drop(f"crowded-{level}")
-        few, many = at.where(F.col("n") <= PAIRED), at.where(F.col("n") > PAIRED)
+        few = at.where(F.col("n") <= PAIRED)
+        many = scratch.keep(at.where(F.col("n") > PAIRED).join(small, "node"), f"many-{level}")
         # the pivot of a larger bucket is its least node by a hash. The hash is the same in all buckets, so those of one
         # group of copies mostly share their pivots, and a member meets a few of them in all
         order = F.struct(F.xxhash64("node"), "node", "w")
-        pivots = scratch.keep(many.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w"), f"pivots-{level}")
+        pivots = scratch.keep(many.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w").join(small, "node"), f"pivots-{level}")
         # a node is close to a bounded number of pivots and of others in small buckets: it is linked to the least, and these to each other through it
-        paired = (close if level else lambda x, y, d: verified(met(x, y, d)))(few, few, F.expr("x.node < y.node"))
-        near = paired.unionByName(close(pivots, many, F.expr("x.node <> y.node")))
+        near = verified(met(few, few, F.expr("x.node < y.node"))).unionByName(close(pivots, many, F.expr("x.node <> y.node")))
         near = near.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("s"))
         near = near.select(F.explode(F.concat(F.array(F.struct("m", "b")), F.transform("s", lambda x: F.struct(F.col("m"), x.alias("b"))))).alias("e"))
         new = scratch.keep(near.select(F.col("e.m").alias("a"), "e.b").where("a <> b").distinct(), f"links-{level}")
@@ -313,15 +313,16 @@ def near_duplicates(
         # bucket. Where these are many, they are first compared with some of that component
         open_ = opened(many, f"{level}-a")
         scratch.drop(f"buckets-{level}")
+        scratch.drop(f"many-{level}")
         now, left, last = open_.where(F.col("rest") <= CROSSED), open_.where(F.col("rest") > CROSSED), SUB_BLOCKS * (level + 1) > 8 * words
         if not left.isEmpty():
             order = F.struct(F.xxhash64("node", "bucket"), "node", "w")
             dealt = left.where("c = top").withColumn("d", F.pmod(F.xxhash64("node", "bucket", F.lit(7)), F.lit(PIVOTS)))
-            pivots = scratch.keep(dealt.groupBy("bucket", "d").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w"), f"pivots-{level}-a")
+            pivots = scratch.keep(dealt.groupBy("bucket", "d").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w").join(small, "node"), f"pivots-{level}-a")
             again = scratch.keep(close(pivots, left.where("c <> top"), F.lit(True)), f"links-{level}-a")
             found = joined(found, again, scratch, f"found-{level}-a")
             scratch.drop(f"pivots-{level}-a")
-            left = opened(left.select("node", "w", "bucket"), f"{level}-b")
+            left = opened(left.select("node", "w", "bucket", "f"), f"{level}-b")
             fewer = F.lit(True) if last else F.col("rest") <= CROSSED  # last: no bits are left to split by
             now, left = now.unionByName(left.where(fewer)), left.where(~fewer)
         # links of components, whatever the number of close pairs between two
