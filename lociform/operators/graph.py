@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
 from .components import components
 
 
@@ -62,3 +63,35 @@ def edge_density(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.agg(F.countDistinct("node").alias("n"))
     e = induced(edges, nodes.select("node").distinct()).agg(F.count("*").alias("e"))
     return n.crossJoin(e).select("n", "e", F.when(F.col("n") > 1, 2 * F.col("e") / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0))).otherwise(0.0).alias("density"))
+
+
+def protein_genes(info: DataFrame, protein: str = "string_protein_id", gene: str = "preferred_name") -> DataFrame:
+    """(protein, gene): one name a protein, the least of several; rows without either go."""
+    held = info.where(F.col(protein).isNotNull() & F.col(gene).isNotNull())
+    return held.groupBy(F.col(protein).alias("protein")).agg(F.min(gene).alias("gene"))
+
+
+def gene_links(links: DataFrame, genes: DataFrame, how: str = "max") -> DataFrame:
+    """Canonical edges between genes of links between proteins; links with an unnamed protein go."""
+    a, b = genes.select(F.col("protein").alias("protein1"), F.col("gene").alias("a")), genes.select(F.col("protein").alias("protein2"), F.col("gene").alias("b"))
+    named = links.join(a, "protein1").join(b, "protein2")
+    return canonical_edges(named.select("a", "b", F.col("combined_score").cast("double").alias("weight")), how=how)
+
+
+def descendants(terms: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(term, descendant) over the is_a links of (term, parents), a term itself only within a cycle.
+
+    Paths double in length each round and end when no pair is new, so rounds grow with the logarithm of the depth.
+    """
+    scratch = scratch or Scratch(terms.sparkSession, "descendants")
+    pairs = scratch.keep(terms.select(F.explode("parents").alias("term"), F.col("term").alias("descendant")).distinct(), "pairs-0")
+    n, i = pairs.count(), 0
+    while True:
+        i += 1
+        longer = pairs.join(pairs.select(F.col("term").alias("descendant"), F.col("descendant").alias("further")), "descendant").select("term", F.col("further").alias("descendant"))
+        pairs = scratch.keep(pairs.unionByName(longer).distinct(), f"pairs-{i}")
+        scratch.drop(f"pairs-{i - 1}")
+        before, n = n, pairs.count()
+        if n == before:
+            # parents that the table lacks are no terms of it
+            return pairs.join(terms.select("term").distinct(), "term", "left_semi")

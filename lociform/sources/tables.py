@@ -66,6 +66,25 @@ def read_gene_annotations(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(~F.array_contains(F.split("q", r"\|"), "NOT")).select("term", "gene").distinct()
 
 
+def read_protein_links(spark: SparkSession, path: str, min_score: int | None = None) -> DataFrame:
+    """(protein1, protein2, combined_score) of a space-separated link file; the least score is pushed to the scan."""
+    links = spark.read.option("header", True).option("sep", " ").schema("protein1 string, protein2 string, combined_score int").option("enforceSchema", False)
+    df = links.csv(path)
+    return df if min_score is None else df.where(F.col("combined_score") >= min_score)
+
+
+def read_protein_info(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of a protein table; the leading # of its first name goes."""
+    df = read_delimited(spark, path, "\t")
+    return df.withColumnsRenamed({c: c.lstrip("#") for c in df.columns if c.startswith("#")})
+
+
+def read_protein_aliases(spark: SparkSession, path: str, sources: list[str] | None = None) -> DataFrame:
+    """Aliases of proteins, of all sources or of the named ones."""
+    df = read_protein_info(spark, path)
+    return df if sources is None else df.where(F.col("source").isin(*sources))
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = "\t") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 

@@ -137,6 +137,22 @@ def test_sources(spark, tmp_path):
     assert got == {"GO:1": [], "GO:2": ["GO:1"]}
 
 
+def test_protein_links(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("protein1 protein2 combined_score\nP1 P2 700\nP2 P1 900\nP1 P3 300\nP2 P4 950\nP1 P5 800\n")
+    (tmp_path / "i.tsv").write_text("#string_protein_id\tpreferred_name\nP1\tA\nP2\tB\nP3\tC\nP5\tA\n")
+    (tmp_path / "a.tsv").write_text("#string_protein_id\talias\tsource\nP1\tx\tS\nP1\ty\tT\n")
+    genes = graph.protein_genes(tables.read_protein_info(spark, str(tmp_path / "i.tsv")))
+    edges = lambda least: {tuple(r) for r in graph.gene_links(tables.read_protein_links(spark, str(tmp_path / "l.txt"), least), genes).collect()}
+    assert edges(400) == {("A", "B", 900.0)} and edges(None) == {("A", "B", 900.0), ("A", "C", 300.0)}
+    assert [r["alias"] for r in tables.read_protein_aliases(spark, str(tmp_path / "a.tsv"), ["T"]).collect()] == ["y"]
+
+
+def test_descendants(spark):
+    terms = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", ["b", "z"]), ("d", ["c", "a"]), ("e", ["d"])], "term string, parents array<string>")
+    got = {tuple(r) for r in graph.descendants(terms).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("a", "d"), ("a", "e"), ("b", "c"), ("b", "d"), ("b", "e"), ("c", "d"), ("c", "e"), ("d", "e")}
+
+
 def test_spectrum_energy(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0)], "src long, dst long, weight double")
     s = spark.createDataFrame([(1, 1.0), (2, 0.0), (3, -1.0)], "node long, score double")
