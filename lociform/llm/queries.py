@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, langid, media, packing, quality_rules, simhash, sptok, warc, wavelet
+from . import chat, classifier, embedding_dedup, langid, media, packing, quality_rules, simhash, sptok, warc, wavelet
 from .common import Scratch, table
 
 CONTROL = "\\### Assistant: </turn> ok"
@@ -95,6 +95,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embedding_dedup.similar_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), threshold=0.93)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def queries() -> dict:
-    made = (op1_chat_format, op2_media, op3_quality, op4_packing, op5_simhash, op6_wavelet, op7_language, op8_quality_rules, op9_warc, op10_sentencepiece)
+    made = (op1_chat_format, op2_media, op3_quality, op4_packing, op5_simhash, op6_wavelet, op7_language, op8_quality_rules, op9_warc, op10_sentencepiece,
+            op11_embeddings)
     return {f.__name__: f for f in made}
