@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -24,6 +25,24 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def lowered(text: str) -> str:
+    """text with A-Z in lower case and all else as it is."""
+    return text.lower() if text.isascii() else text.translate(UPPER)
+
+
+def stretches(text: str, cut: re.Pattern, size: int = 4_000_000) -> Iterator[str]:
+    """text in parts of ``size`` characters and up to the next match of cut, which begins the next part."""
+    at = 0
+    while len(text) - at > size and (found := cut.search(text, at + size)):
+        yield text[at : found.start()]
+        at = found.start()
+    if at < len(text):
+        yield text[at:]
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

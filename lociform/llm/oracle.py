@@ -70,5 +70,34 @@ FROM f
 """
 
 
+COLLOCATIONS = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w[i] AS x, CASE WHEN i + 1 <= len(w) THEN w[i + 1] END AS y, CASE WHEN i + 2 <= len(w) THEN w[i + 2] END AS z FROM i),
+n AS (SELECT lang, count(*) AS n FROM g GROUP BY lang),
+c1 AS (SELECT lang, x, count(*) AS f FROM g GROUP BY ALL),
+c2 AS (SELECT lang, x, y, count(*) AS f FROM g WHERE y IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT lang, x, y, z, count(*) AS f FROM g WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+inner_pairs AS (SELECT lang, x, y, max(f) AS longer FROM (SELECT lang, x, y, f FROM c3 UNION ALL SELECT lang, y, z, f FROM c3) GROUP BY ALL),
+cuts AS (
+  SELECT p.lang, p.x || ' ' || p.y AS phrase, p.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM c2 p JOIN c1 l ON l.lang = p.lang AND l.x = p.x JOIN c1 r ON r.lang = p.lang AND r.x = p.y
+  LEFT JOIN inner_pairs o ON o.lang = p.lang AND o.x = p.x AND o.y = p.y
+  WHERE p.f >= 10 AND (o.longer IS NULL OR 100 * o.longer < 50 * p.f)
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, l.f, r.f
+  FROM c3 t JOIN c1 l ON l.lang = t.lang AND l.x = t.x JOIN c2 r ON r.lang = t.lang AND r.x = t.y AND r.y = t.z
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, l.f, r.f
+  FROM c3 t JOIN c2 l ON l.lang = t.lang AND l.x = t.x AND l.y = t.y JOIN c1 r ON r.lang = t.lang AND r.x = t.z),
+s AS (SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": CHAT, "op8_quality_rules": RULES, "op9_warc": ARCHIVE}
+    return {"op1_chat_format": CHAT, "op8_quality_rules": RULES, "op9_warc": ARCHIVE, "op12_collocations": COLLOCATIONS}
