@@ -99,5 +99,45 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE ra
 """
 
 
+DIVERGENCE = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(list_filter(string_split_regex(t, '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT AS n_lang FROM k GROUP BY lang),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT x.lang, x.source, coalesce(sum(c.n), 0)::HUGEINT AS n_group FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n_group + l.v) AS p,
+         1 + (1000000000::HUGEINT * (k.total + 1)) // (l.n_lang + l.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+EMBEDDINGS = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (
+  SELECT *, len(e) AS dim FROM d
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+half AS (
+  SELECT a.rid AS x, b.rid AS y FROM ok a JOIN ok b ON a.label = b.label AND a.dim = b.dim AND a.rid < b.rid
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.93),
+links AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+reach AS (SELECT rid AS x, rid AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+c AS (SELECT r.x AS rid, min(d.vec_id) AS component_id FROM reach r JOIN d ON d.rid = r.y GROUP BY r.x),
+n AS (SELECT x AS rid, count(*) AS n FROM links GROUP BY x)
+SELECT d.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, coalesce(d.vec_id = c.component_id, FALSE) AS kept
+FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": CHAT, "op8_quality_rules": RULES, "op9_warc": ARCHIVE, "op12_collocations": COLLOCATIONS}
+    return {"op1_chat_format": CHAT, "op8_quality_rules": RULES, "op9_warc": ARCHIVE, "op11_embeddings": EMBEDDINGS, "op12_collocations": COLLOCATIONS, "op13_divergence": DIVERGENCE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, collocations, embedding_dedup, langid, media, packing, quality_rules, simhash, sptok, warc, wavelet
+from . import chat, classifier, collocations, divergence, embedding_dedup, langid, media, packing, quality_rules, simhash, sptok, warc, wavelet
 from .common import Scratch, table
 
 CONTROL = "\\### Assistant: </turn> ok"
@@ -104,7 +104,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(table(spark, sf_dir, "documents").select("text", "lang"), min_count=10, limit=2000, covered=50)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"), min_docs=3, limit=200)
+
+
 def queries() -> dict:
     made = (op1_chat_format, op2_media, op3_quality, op4_packing, op5_simhash, op6_wavelet, op7_language, op8_quality_rules, op9_warc, op10_sentencepiece,
-            op11_embeddings, op12_collocations)
+            op11_embeddings, op12_collocations, op13_divergence)
     return {f.__name__: f for f in made}
