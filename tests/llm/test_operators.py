@@ -33,7 +33,7 @@ def documents(spark):
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.queries()[name](spark, SF).toPandas(), con.sql(oracle.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
