@@ -17,6 +17,8 @@ similarity shares a block with a stated probability. In small buckets all pairs
 verified. In larger ones each fingerprint is verified against one pivot; then
 those outside the bucket's largest component are verified against the whole bucket, which leaves no
 link between components unseen; buckets with many such are first split by further bytes.
+A pair whose fingerprints differ so little that its similarity is above the threshold by five standard deviations, whatever the sizes of the sets, is a link; of all others within
+the bound the sets of shingles themselves are compared, unless links have joined them before. So no pair below the threshold is linked.
 
 Defined results: null and empty texts have no words and the fingerprint zero, which is
 linked like any other in ``link_components`` and makes one group of copies in
@@ -39,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components, joined
+from ..shipping import map_arrow
 from .common import Scratch, append_columns, quoted, text_or_empty, without
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -210,9 +213,9 @@ def near_duplicates(
     """(id, row, component): the near-duplicate group of each row at a similarity of its sets of shingles.
 
     Two equally large sets of Jaccard similarity s have the cosine 2s / (1 + s), others a larger one; a
-    pair is close if at most the share of bits that belongs to that angle, plus two standard
-    deviations, differ; of a candidate pair first one word is compared, with a bound of 4.5 standard deviations
-    (one pair in 10^5 at the threshold is lost by that). Blocks widen with the logarithm of the number of rows, so that unrelated
+    pair is a candidate if at most the share of bits that belongs to that angle, plus three standard
+    deviations, differ, and is then compared exactly (one pair in 700 at the threshold is lost by that); of a candidate pair first one word is compared, with a bound of 4.5 standard deviations
+    (one pair in 10^5 at the threshold is lost by that). Sets have a cosine of the root of s at least at similarity s, so pairs five deviations within that angle need no exact comparison. Blocks widen with the logarithm of the number of rows, so that unrelated
     texts seldom meet, and are as many as a pair at ``similarity`` needs to share one with
     probability ``recall``; ``words`` is the least length of a fingerprint in 64-bit words.
     ``row`` numbers rows; ``component`` is the ``row`` that a group keeps: of its smallest id.
@@ -224,7 +227,9 @@ def near_duplicates(
     n_blocks = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** block_bits))
     words = max(words, -(-n_blocks * block_bits // 64))
     bits = 64 * words
-    within = int(bits * share + 2 * (bits * share * (1 - share)) ** 0.5)
+    within = int(bits * share + 3 * (bits * share * (1 - share)) ** 0.5)
+    least_share = float(np.arccos(similarity**0.5) / np.pi)
+    sure = int(bits * least_share - 5 * (bits * least_share * (1 - least_share)) ** 0.5)
     first_within = int(64 * share + 4.5 * (64 * share * (1 - share)) ** 0.5)
 
     def kernel(texts: pa.Array) -> list[pa.Array]:
@@ -254,16 +259,58 @@ def near_duplicates(
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
         pairs = pairs.join(small.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(small.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
-        return pairs.where(gap("fa", "fb") <= within).select("a", "b")
+        return pairs.withColumn("gap", gap("fa", "fb")).where(F.col("gap") <= within).select("a", "b", "gap")
 
     def met(x: DataFrame, y: DataFrame, different) -> DataFrame:
         """Pairs in a bucket whose first words are close enough for the whole fingerprints to be."""
         return x.alias("x").join(y.alias("y"), "bucket").where(different & first_words).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
-    def close(x: DataFrame, y: DataFrame, different, a: str = "node") -> DataFrame:
-        """Close pairs in a bucket, named by the column a, of rows with their whole fingerprints f, so that only links leave the join."""
-        both = x.alias("x").join(y.alias("y"), "bucket").where(different & first_words & (gap("x.f", "y.f") <= within))
-        return both.select(F.col(f"x.{a}").alias("a"), F.col(f"y.{a}").alias("b")).distinct()
+    def close(x: DataFrame, y: DataFrame, different, most: int = within) -> DataFrame:
+        """Close pairs (a, b, gap) in a bucket of rows with their whole fingerprints f, so that only those leave the join."""
+        both = x.alias("x").join(y.alias("y"), "bucket").where(different & first_words & (gap("x.f", "y.f") <= most))
+        return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), gap("x.f", "y.f").alias("gap")).distinct()
+
+    def alike(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b) whose sets of shingles have the similarity."""
+        needed = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts.select("node", "digest"), "node"), f"needed-{name}")
+        texts = df.select(text_or_empty(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+        texts = texts.join(needed, "digest").groupBy("node").agg(F.first("text").alias("text"))
+
+        def sets_kernel(values: pa.Array) -> list[pa.Array]:
+            return [pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in values.to_pylist()], pa.binary())]
+
+        sets = scratch.keep(append_columns(texts, [F.col("text")], [T.StructField("set", T.BinaryType())], sets_kernel, keep=["node"]), f"sets-{name}")
+
+        def compare(batches):
+            for batch in batches:
+                kept = []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    kept.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+                yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+        out = scratch.keep(map_arrow(both.select("a", "b", "sa", "sb"), compare, "a long, b long"), f"alike-{name}")
+        scratch.drop(f"needed-{name}")
+        scratch.drop(f"sets-{name}")
+        return out
+
+    def settled(found: DataFrame | None, pairs: DataFrame, name: str) -> DataFrame:
+        """found with the links among close pairs: the sure ones first, then those that the sets confirm."""
+        links = pairs.where(F.col("gap") <= sure).groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("s"))
+        # a node is close to a bounded number of pivots and of others in small buckets: it is linked to the least, and these to each other through it
+        links = links.select(F.explode(F.concat(F.array(F.struct("m", "b")), F.transform("s", lambda x: F.struct(F.col("m"), x.alias("b"))))).alias("e"))
+        links = scratch.keep(links.select(F.col("e.m").alias("a"), "e.b").where("a <> b").distinct(), f"sure-{name}")
+        found = joined(found, links, scratch, f"found-{name}-sure")
+        root = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        open_ = pairs.where(F.col("gap") > sure).join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        open_ = scratch.keep(open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"doubtful-{name}")
+        if not open_.isEmpty():
+            found = joined(found, alike(open_, name), scratch, f"found-{name}")
+        for k in ("sure", "doubtful", "alike"):
+            scratch.drop(f"{k}-{name}")
+        return found
 
     at = firsts.select("node", long_of(F.col("fp"), 0).alias("w"), F.posexplode("keys").alias("t", "key")).select("node", "w", F.xxhash64("t", "key").alias("bucket"))
     def forget(level: int) -> None:
@@ -272,9 +319,10 @@ def near_duplicates(
         scratch.drop(f"many-{level}")
         for k in (f"{level}-a", f"{level}-b"):
             scratch.drop(f"open-{k}")
-        for k in (f"{level}", f"{level}-a", f"{level}-b"):
+        for k in (f"{level}", f"{level}-a", f"{level}-b", f"{level}-c"):
             scratch.drop(f"links-{k}")
             scratch.drop(f"found-{k}-links")
+            scratch.drop(f"found-{k}-sure-links")
 
     def opened(rows: DataFrame, name: str) -> DataFrame:
         """Rows of the buckets of several components, with their component, the bucket's largest and the number outside it."""
@@ -300,12 +348,8 @@ def near_duplicates(
         # group of copies mostly share their pivots, and a member meets a few of them in all
         order = F.struct(F.xxhash64("node"), "node", "w")
         pivots = scratch.keep(many.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w").join(small, "node"), f"pivots-{level}")
-        # a node is close to a bounded number of pivots and of others in small buckets: it is linked to the least, and these to each other through it
         near = verified(met(few, few, F.expr("x.node < y.node"))).unionByName(close(pivots, many, F.expr("x.node <> y.node")))
-        near = near.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("s"))
-        near = near.select(F.explode(F.concat(F.array(F.struct("m", "b")), F.transform("s", lambda x: F.struct(F.col("m"), x.alias("b"))))).alias("e"))
-        new = scratch.keep(near.select(F.col("e.m").alias("a"), "e.b").where("a <> b").distinct(), f"links-{level}")
-        found = joined(found, new, scratch, f"found-{level}")
+        found = settled(found, scratch.keep(near, f"links-{level}"), f"{level}")
         scratch.drop(f"pivots-{level}")
         if many.isEmpty():
             break
@@ -320,14 +364,21 @@ def near_duplicates(
             dealt = left.where("c = top").withColumn("d", F.pmod(F.xxhash64("node", "bucket", F.lit(7)), F.lit(PIVOTS)))
             pivots = scratch.keep(dealt.groupBy("bucket", "d").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w").join(small, "node"), f"pivots-{level}-a")
             again = scratch.keep(close(pivots, left.where("c <> top"), F.lit(True)), f"links-{level}-a")
-            found = joined(found, again, scratch, f"found-{level}-a")
+            found = settled(found, again, f"{level}-a")
             scratch.drop(f"pivots-{level}-a")
             left = opened(left.select("node", "w", "bucket", "f"), f"{level}-b")
             fewer = F.lit(True) if last else F.col("rest") <= CROSSED  # last: no bits are left to split by
             now, left = now.unionByName(left.where(fewer)), left.where(~fewer)
-        # links of components, whatever the number of close pairs between two
-        crossed = scratch.keep(close(now.where("c <> top"), now, F.expr("x.c <> y.c"), "c"), f"links-{level}-b")
+        # sure links join components, whatever their number between two; doubtful pairs are looked for between what is still apart
+        now = scratch.keep(now, f"now-{level}")
+        both = now.where("c <> top").alias("x").join(now.alias("y"), "bucket").where(F.expr("x.c <> y.c") & first_words & (gap("x.f", "y.f") <= sure))
+        crossed = scratch.keep(both.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), f"links-{level}-b")
         found = joined(found, crossed, scratch, f"found-{level}-b")
+        again = now.drop("c").join(found.withColumnRenamed("root", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        outside = again.join(found.select(F.col("node").alias("top"), F.col("root").alias("t")), "top", "left").where(F.col("c") != F.coalesce("t", "top"))
+        doubtful = scratch.keep(close(outside, again, F.expr("x.c <> y.c")), f"links-{level}-c")
+        found = settled(found, doubtful, f"{level}-c")
+        scratch.drop(f"now-{level}")
         if left.isEmpty():
             break
         # buckets of many components are split by each of SUB_BLOCKS further bytes: a close pair shares one of them
