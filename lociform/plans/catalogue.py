@@ -30,6 +30,11 @@ def register(oracle: str | None = None):
     return add
 
 
+def give_sql(name: str, oracle: str) -> None:
+    """The DuckDB text of a query that is registered without one."""
+    _ORACLES[name] = with_views(oracle)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
@@ -618,3 +623,6 @@ round(permuted_p, 6) AS permuted_p, round(permuted_z, 6) AS permuted_z, round(fa
 CASE WHEN observed IS NULL THEN 'not_tested_low_overlap' WHEN matched_p <= 0.05 AND family_p <= 0.05 THEN 'familywise_supported' WHEN matched_p <= 0.05 THEN 'degree_supported' ELSE 'negative' END AS status FROM q LEFT JOIN ranked USING (module) LEFT JOIN fdr USING (module)""")
 def fixed_library_tests(t):
     return distributed.library_tests(t("v_module"), t("v_score"), edges(t), 10)
+
+
+from . import searches  # noqa: E402, F401  registers its queries

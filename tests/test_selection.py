@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociform.operators import backbone, merge_tree
+from lociform.operators import backbone, growth, merge_tree
 
 
 def parts(nodes, links):
@@ -151,3 +151,129 @@ def test_empty_universe(spark):
     assert got.count() == 0 and report["n_added"] == 0
 
 
+
+
+# connected growth
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    rng = np.random.default_rng(21)
+    links = sorted({tuple(sorted(map(int, rng.choice(50, 2, replace=False)))) for _ in range(85)} | {(50, 51), (51, 52), (52, 53), (53, 54), (54, 55)})
+    near = {v: set() for v in range(56)}
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    score = {v: float(np.round(rng.normal(), 2)) for v in range(56)}
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in links], "src long, dst long, weight double")
+    scores = spark.createDataFrame([(v, score[v], len(near[v])) for v in range(56)], "node long, score double, degree long")
+    return edges, scores, near, score
+
+
+def ball_by_hand(near, seed, radius):
+    dist, todo = {seed: 0}, [seed]
+    for d in range(1, radius + 1):
+        todo = [u for v in todo for u in near[v] if u not in dist and dist.setdefault(u, d) == d]
+    return dist
+
+
+def grow_by_hand(near, seed, allowed, key, size):
+    have, links = [seed], {u: 1 for u in near[seed] if u in allowed}
+    while links and len(have) < size:
+        u = max(links, key=lambda x: key(x, links[x]))
+        have.append(u)
+        del links[u]
+        for v in near[u]:
+            if v in allowed and v not in have:
+                links[v] = links.get(v, 0) + 1
+    return have
+
+
+def orders(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: r["step"]):
+        out.setdefault(r["seed"], []).append(r["node"])
+    return out
+
+
+@pytest.mark.parametrize("deltas", [False, True])
+def test_adaptive(spark, field, deltas):
+    edges, scores, near, score = field
+    sizes = (5, 8, 12)
+    results, order = growth.adaptive_neighbourhoods(edges, scores, 9, 2, sizes, 5, 4, deltas)
+    got, stats = orders(order.collect()), {(r["seed"], r["size"]): (r["stat"], r["is_best"]) for r in results.collect()}
+    seeds = [v for v in sorted(score, key=lambda v: (-score[v], v)) if not deltas or score[v] > 0][:9]
+    want, best = {}, None
+    for seed in seeds:
+        ball = ball_by_hand(near, seed, 2)
+        if len(ball) < 5:
+            assert seed not in got
+            continue
+        hand = grow_by_hand(near, seed, ball, lambda x, _: (score[x], -len(near[x]), -x), 12)
+        assert got[seed] == hand
+        for s in sizes:
+            if s <= len(hand):
+                inside, rest = [score[v] for v in hand[:s]], [score[v] for v in ball if v not in hand[:s]]
+                stat = sum(max(x, 0) for x in inside) / s**0.5 if deltas else (np.mean(inside) - np.mean(rest)) * s**0.5 / np.std(rest, ddof=1) if len(rest) >= 4 else None
+                want[seed, s] = stat
+                if stat is not None and (best is None or round(stat, 9) > round(want[best], 9)):
+                    best = (seed, s)
+    assert set(stats) == set(want)
+    assert all(stats[k][0] is None if v is None else stats[k][0] == pytest.approx(v) for k, v in want.items())
+    assert [k for k, (_, b) in stats.items() if b] == [best]
+
+
+def test_contrast(spark, field):
+    edges, scores, near, score = field
+    sizes = (5, 7)
+    results, order = growth.contrast_neighbourhoods(edges, scores, 6, 1, 2, 6, sizes, 4, 0.3, 0.2, pool_size=30, degree_bins=4)
+    got, rows = orders(order.collect()), results.collect()
+    by_degree = sorted(score, key=lambda v: (len(near[v]), v))
+    bins = {v: max(0, math.ceil(i * 4 / 55) - 1) for i, v in enumerate(by_degree)}
+    local = {v: np.mean(sorted((score[u] for u in {v} | near[v]), reverse=True)[:4]) for v in score}
+    pool = sorted(score, key=lambda v: (-round(local[v], 12), v))[:30]
+    held = []
+    for seed in pool:
+        dist = ball_by_hand(near, seed, 2)
+        inside, around, source = {v for v, d in dist.items() if d <= 1}, [v for v, d in dist.items() if d == 2], "annulus"
+        if len(around) < 6:
+            around, source = [v for v in score if bins[v] == bins[seed] and v not in inside], "degree_bin"
+        if len(around) < 6:
+            around, source = [v for v in score if v not in inside], "global"
+        if len(inside) < 4:
+            continue
+        x = np.array([score[v] for v in around])
+        mid = np.median(x)
+        scale = 1.4826 * np.median(np.abs(x - mid))
+        scale = (scale if scale > 1e-6 else np.std(x, ddof=1) if np.std(x, ddof=1) > 1e-6 else 1e-6) + 1e-6
+        top = sorted((score[v] for v in inside), reverse=True)[:4]
+        held.append((-round((np.mean(top) - mid) * 2 / scale, 9), len(near[seed]), seed, inside, mid, scale, source, len(around)))
+    held.sort(key=lambda h: h[:3])
+    seen = {}
+    for _, _, seed, inside, mid, scale, source, n in held[:6]:
+        z = {v: (score[v] - mid) / scale for v in inside}
+        value = lambda x, k, z=z: (round(z[x] + 0.3 * math.log1p(k) - 0.2 * math.log1p(len(near[x])), 12), z[x], k, -x)
+        hand = grow_by_hand(near, seed, inside, value, 7)
+        assert got[seed] == hand
+        seen |= {(seed, s): (np.mean([z[v] for v in hand[:s]]) * s**0.5, source, n) for s in sizes if s <= len(hand)}
+    assert {(r["seed"], r["size"]): (pytest.approx(r["stat"]), r["source"], r["n_background"]) for r in rows} == seen and len(seen) > 4
+    best = max(rows, key=lambda r: (round(r["stat"], 9), -r["seed_rank"], -r["size"]))
+    assert [(r["seed"], r["size"]) for r in rows if r["is_best"]] == [(best["seed"], best["size"])]
+
+
+@pytest.mark.parametrize("hubs", [False, True])
+def test_compact(spark, field, hubs):
+    edges, _, near, _ = field
+    seeds = spark.createDataFrame([(v,) for v in (0, 7, 19, 52, 55)], "seed long")
+    got = orders(growth.compact_sets(edges, seeds, 7, hubs).collect())
+    d = {v: len(n) for v, n in near.items()}
+    for seed in (0, 7, 19):
+        key = (lambda x, _, s=seed: (d[x], -abs(d[x] - d[s]), x)) if hubs else (lambda x, _, s=seed: (-abs(d[x] - d[s]), -d[x], -x))
+        assert got[seed] == grow_by_hand(near, seed, set(near), key, 7)
+    assert set(got) == {0, 7, 19}  # the chain of six is too short
+
+
+def test_growth_of_nothing(spark):
+    none = spark.createDataFrame([], "src long, dst long, weight double")
+    results, order = growth.adaptive_neighbourhoods(none, spark.createDataFrame([(1, 1.0, 0)], "node long, score double, degree long"), 3)
+    assert results.count() == 0 and order.count() == 0
