@@ -625,4 +625,4 @@ def fixed_library_tests(t):
     return distributed.library_tests(t("v_module"), t("v_score"), edges(t), 10)
 
 
-from . import searches  # noqa: E402, F401  registers its queries
+from . import scores, searches  # noqa: E402, F401  register their queries
