@@ -534,11 +534,6 @@ def louvain_communities(t):
     return communities.louvain(edges(t, "sum"), min_size=2)
 
 
-@register()
-def greedy_dense_modules(t):
-    return communities.greedy_modules(edges(t, "sum"), node_scores(t), all_seeds(t), max_size=20)
-
-
 @register()
 def pruned_gene_sets(t):
     sizes = t("v_module").distinct().groupBy("module").agg(F.count("*").alias("n"))
