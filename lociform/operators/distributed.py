@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..storage import Scratch
 from . import claims
+from .components import components
 from .modules import familywise, module_statistics, penalties, top_fraction_mean
 from .nulls import bin_profile, density_curve, hashed, matched_draws, matched_sample
 from .relational import average_rank, bh_fdr, empirical, hash_permute, quantile_bins
@@ -141,18 +142,18 @@ def tail_diagnostics(loci: DataFrame, raw: DataFrame, config: DistributedConfig
     )
 
 
-def draw_level(wanted: DataFrame, pool: DataFrame, used: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+def draw_level(wanted: DataFrame, pool: DataFrame, used: DataFrame, key: str, seed: int) -> DataFrame:
     """(replicate, module, slot, drawn, pool_size): for each wanted (replicate, module, slot, need, key) a locus of its bin with ``need`` genes or more.
 
     A set takes, from its hashed offset in the replicate's order of the bin on, as many places as it wants and has used
     there, leaves out the used ones, and deals the others to its slots; slots for which none is left stay out. Two needs of one bin that
-    meet in a locus: the first slot has it.
+    meet in a locus: the first slot has it. Only pools that a replicate wants are put in order.
     """
     needs = wanted.select(key, "need").distinct()
     pool = pool.join(needs, key).where(F.col("n_genes") >= F.col("need")).select(key, "need", F.col("locus_id").alias("drawn"))
     sizes = pool.groupBy(key, "need").agg(F.count("*").alias("size"))
     order = Window.partitionBy("replicate", key, "need").orderBy(hashed(F.lit(seed), "replicate", "drawn"), "drawn")
-    placed = pool.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("place", F.row_number().over(order) - 1)
+    placed = wanted.select("replicate", key, "need").distinct().join(pool, [key, "need"]).withColumn("place", F.row_number().over(order) - 1)
     group = ["replicate", "module", key, "need"]
     slots = wanted.withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy("slot")))
     n_used = used.join(pool, "drawn").groupBy(*group).agg(F.count("*").alias("n_used"))
@@ -169,7 +170,8 @@ def draw_level(wanted: DataFrame, pool: DataFrame, used: DataFrame, key: str, re
 def matched_loci(slots: DataFrame, pool: DataFrame, replicates: int, scratch: Scratch, name: str, used: DataFrame | None = None, seed: int = 1) -> DataFrame:
     """(replicate, module, slot, need, drawn, level, pool_size): for each observed locus (module, slot, need, match_bin, degree_bin) another one.
 
-    First from its match bin, then from its degree bin, then from all; a set has no locus twice and none of its own, unless all are used up, when any
+    First from its match bin, then from its degree bin, then from all; on each level from the loci with genes enough, and if none of these is free from the other free ones, whose
+    genes are then drawn with replacement. A set has no locus twice and none of its own, unless all are used up, when any
     is drawn again. ``used``: further (replicate, module, drawn) that are taken.
     """
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
@@ -178,11 +180,13 @@ def matched_loci(slots: DataFrame, pool: DataFrame, replicates: int, scratch: Sc
     taken = taken if used is None else taken.unionByName(used.select("replicate", "module", "drawn")).distinct()
     pool, made = pool.withColumn("all", F.lit(0)), None
     for i, (level, key) in enumerate((("exact", "match_bin"), ("degree", "degree_bin"), ("global", "all"))):
-        got = draw_level(wanted.select("replicate", "module", "slot", "need", key), pool.select("locus_id", "n_genes", key), taken, key, replicates, seed + i)
-        got = scratch.keep(got.withColumn("level", F.lit(level)), f"{name}-{level}")
-        made = got if made is None else made.unionByName(got)
-        taken = taken.unionByName(got.select("replicate", "module", "drawn"))
-        wanted = wanted.join(got.select("replicate", "module", "slot"), ["replicate", "module", "slot"], "left_anti")
+        for need, kind in (F.col("need"), "enough"), (F.lit(1).cast("long"), "any"):
+            slots_left = wanted.select("replicate", "module", "slot", need.alias("need"), key)
+            got = draw_level(slots_left, pool.select("locus_id", "n_genes", key), taken, key, seed + i)
+            got = scratch.keep(got.withColumn("level", F.lit(level)), f"{name}-{level}-{kind}")
+            made = got if made is None else made.unionByName(got)
+            taken = taken.unionByName(got.select("replicate", "module", "drawn"))
+            wanted = scratch.keep(wanted.join(got.select("replicate", "module", "slot"), ["replicate", "module", "slot"], "left_anti"), f"{name}-{level}-{kind}-left")
     numbered = pool.select(F.col("locus_id").alias("drawn"), (F.row_number().over(Window.orderBy("locus_id")) - 1).alias("place"))
     size = pool.agg(F.count("*").alias("pool_size"))
     again = wanted.crossJoin(F.broadcast(size)).withColumn("place", (hashed(F.lit(seed + 3), "replicate", "module", "slot") % F.col("pool_size")).cast("int")).join(numbered, "place")
@@ -191,13 +195,20 @@ def matched_loci(slots: DataFrame, pool: DataFrame, replicates: int, scratch: Sc
 
 
 def subset_scores(draws: DataFrame, genes: DataFrame, config: DistributedConfig, seed: int = 1) -> DataFrame:
-    """Each drawn locus scored on as many of its genes as the observed one has in the set, from a hashed gene on; around again if it has fewer."""
-    by_gene = Window.partitionBy("locus_id").orderBy("gene")
-    placed = genes.select(F.col("locus_id").alias("drawn"), "score", (F.row_number().over(by_gene) - 1).alias("place"))
-    sizes = genes.groupBy(F.col("locus_id").alias("drawn")).agg(F.count("*").alias("size"))
-    d = draws.join(sizes, "drawn").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1)))
-    d = d.withColumn("place", ((hashed(F.lit(seed + 7), "replicate", "module", "slot") + F.col("j")) % F.col("size")).cast("int")).join(placed, ["drawn", "place"])
-    return d.groupBy("replicate", "module", "slot", "drawn", "level", "pool_size", "need", "size").agg(
+    """Each drawn locus scored on as many of its genes as the observed one has in the set.
+
+    The genes are the first in an order by hash of the draw and the gene, a uniform sample without replacement; a locus with too few gives each of them by a hash of its own, with replacement.
+    """
+    held = genes.select(F.col("locus_id").alias("drawn"), "gene", "score")
+    sizes = held.groupBy("drawn").agg(F.count("*").alias("size"))
+    d = draws.join(sizes, "drawn")
+    slot = ["replicate", "module", "slot"]
+    order = Window.partitionBy(*slot).orderBy(hashed(F.lit(seed + 7), *slot, "gene"), "gene")
+    enough = d.where(F.col("need") <= F.col("size")).join(held, "drawn").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("need")).drop("r", "gene")
+    placed = held.withColumn("place", F.row_number().over(Window.partitionBy("drawn").orderBy("gene")) - 1).drop("gene")
+    few = d.where(F.col("need") > F.col("size")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1)))
+    few = few.withColumn("place", (hashed(F.lit(seed + 8), *slot, "j") % F.col("size")).cast("int")).join(placed, ["drawn", "place"]).drop("j", "place")
+    return enough.unionByName(few).groupBy(*slot, "drawn", "level", "pool_size", "need", "size").agg(
         F.max(S.cap_upper(F.col("score"), config.score_cap)).alias("value"), F.max(is_moderate(F.col("score"), config)).alias("moderate")
     )
 
@@ -257,7 +268,7 @@ def distributed_tests(genes: DataFrame, sets: DataFrame, replicates: int, config
     plain = lambda n, c: f"{n.split(':')[1] if n.startswith(('matched', 'random')) else n.replace(':', '_')}_{c}"
     wide = wide.select("module", *(F.col(f"`{n}_{c}`").alias(plain(n, c)) for n in names for c in "pz"))
     rate = lambda level: F.avg((F.col("level") == level).cast("int")).alias(f"{level}_rate")
-    audit = drawn.groupBy("module").agg(*map(rate, ("exact", "degree", "global", "reuse")), F.min("pool_size").alias("min_pool"), F.avg((F.col("need") > F.col("size")).cast("int")).alias("replacement_rate"))
+    audit = drawn.groupBy("module").agg(*map(rate, ("exact", "degree", "global", "reuse")), F.min("pool_size").alias("min_pool"), F.median("pool_size").alias("median_pool"), F.avg((F.col("need") > F.col("size")).cast("int")).alias("replacement_rate"), F.avg(F.greatest(F.col("need") - F.col("size"), F.lit(0))).alias("replacement_draws"))
     out = observed.join(wide, "module", "left").join(audit, "module", "left").withColumn("degraded", F.coalesce(F.col("replacement_rate") > config.max_replacement, F.lit(False)))
     p = {"locus": "locus_robust_p", "penalised": "penalised_p", "positive": "positive_locus_p", "rank": "specific_rank_p", "moderate": "moderate_p", "leave_top1": "leave_top1_p", "raw": "raw_p"}
     out = out.withColumn("label", claims.distributed_class(F.col("degraded"), {k: F.col(c) for k, c in p.items()}, F.col("n_effective"), F.col("top1"), F.col("top5")))
@@ -270,9 +281,13 @@ def distributed_tests(genes: DataFrame, sets: DataFrame, replicates: int, config
 def library_tests(sets: DataFrame, scores: DataFrame, edges: DataFrame, replicates: int, min_present: int = 5, degree_bins: int = 10, seed: int = 1) -> DataFrame:
     """Fixed sets (module, gene) against two nulls: genes drawn with the set's degree profile, and scores dealt anew within degree bins.
 
-    scores: gene, score, degree. A row a set: statistics, p and z of each null, the family-wise p over the library, three
+    scores: gene, score, degree; the background is the graph's nodes that have a score, and a set's other genes are not present. A row a set: statistics, its largest component in the
+    graph, p, z, mean and deviation of each null, the family-wise p over the library, three
     FDRs, and the status; a set with fewer than ``min_present`` genes is ``not_tested_low_overlap``.
     """
+    scratch = Scratch(scores.sparkSession, "library")
+    edges = scratch.keep(edges.select("src", "dst"), "edges")
+    scores = scratch.keep(scores.join(edges.select(F.explode(F.array("src", "dst")).alias("gene")).distinct(), "gene", "left_semi"), "scores")
     binned = quantile_bins(scores.select("gene", "score", "degree"), "degree", degree_bins, "gene")
     n = scores.agg(F.count("*").alias("n"))
     ranks = binned.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("score"), "gene"))).crossJoin(F.broadcast(n)).select("gene", (F.col("__r") / F.col("n")).alias("rank_fraction"))
@@ -283,13 +298,20 @@ def library_tests(sets: DataFrame, scores: DataFrame, edges: DataFrame, replicat
     own = held.join(binned, "gene").join(ranks, "gene").groupBy("module").agg(stat.alias("observed"), F.avg("score").alias("mean_score"), F.avg("rank_fraction").alias("mean_rank_fraction"), F.avg("degree").alias("mean_degree"))
     own = own.join(top_fraction_mean(held, scores).select("module", F.col("top_mean").alias("top20_mean")), "module")
     inner = density_curve(edges, held.withColumnRenamed("gene", "node"), ("module",)).select("module", "n_edges", "density")
+    key = lambda c: F.concat_ws("|", "module", F.col(c).cast("string"))
+    links = edges.select("src", "dst").join(held.withColumnRenamed("gene", "src"), "src").join(held.withColumnRenamed("gene", "dst"), ["dst", "module"])
+    roots = components(links.select(key("src").alias("a"), key("dst").alias("b")), scratch).withColumnRenamed("node", "key")
+    parts = held.withColumn("key", key("gene")).join(roots, "key", "left").groupBy("module", F.coalesce("root", "key").alias("root")).agg(F.count("*").alias("n"))
+    inner = inner.join(parts.groupBy("module").agg(F.max("n").alias("largest_component")), "module")
     drawn = matched_sample(binned, bin_profile(held, binned), replicates, seed=seed).join(binned.select("gene", "score"), "gene").join(ranks, "gene")
-    drawn = drawn.groupBy("replicate", "module").agg(stat.alias("value"), F.round(F.avg("rank_fraction"), 9).alias("rank"))
+    drawn = scratch.keep(drawn.groupBy("replicate", "module").agg(stat.alias("value"), F.round(F.avg("rank_fraction"), 9).alias("rank")), "drawn")
     dealt = hash_permute(binned.select("gene", "score", "bin"), "score", "gene", ["bin"], replicates, seed).join(held, "gene").groupBy("replicate", "module").agg(stat.alias("value"))
+    dealt = scratch.keep(dealt, "dealt")
     seen = own.select("module", "observed")
-    matched = empirical(drawn, seen, ["module"]).select("module", F.col("p_upper").alias("matched_p"), F.col("z").alias("matched_z"))
+    moments = lambda name: (F.col("z").alias(f"{name}_z"), F.col("null_mean").alias(f"{name}_mean"), F.col("null_sd").alias(f"{name}_sd"))
+    matched = empirical(drawn, seen, ["module"]).select("module", F.col("p_upper").alias("matched_p"), *moments("matched"))
     ranked = empirical(drawn.withColumn("value", F.col("rank")), own.select("module", F.round("mean_rank_fraction", 9).alias("observed")), ["module"]).select("module", F.col("p_lower").alias("rank_p"), (-F.col("z")).alias("rank_z"))
-    permuted = empirical(dealt, seen, ["module"]).select("module", F.col("p_upper").alias("permuted_p"), F.col("z").alias("permuted_z"))
+    permuted = empirical(dealt, seen, ["module"]).select("module", F.col("p_upper").alias("permuted_p"), *moments("permuted"))
     family = familywise(dealt, seen).select("module", F.col("p_family").alias("family_p"))
     out = own.join(inner, "module").join(matched, "module").join(ranked, "module").join(permuted, "module").join(family, "module")
     for c in ("matched", "permuted", "family"):

@@ -589,12 +589,14 @@ def distributed_module_tests(t):
     return distributed.distributed_tests(distributed_genes(t), t("v_module").distinct(), 10)[0]
 
 
-FIXED = f"""bins AS (SELECT gene, score, degree, CAST(greatest(0, ceil((r - 1) * 10 / (n - 1)) - 1) AS INT) AS bin, row_number() OVER (ORDER BY score DESC, gene) / n AS rank_fraction FROM (SELECT *, row_number() OVER (ORDER BY degree, gene) AS r, count(*) OVER () AS n FROM v_score)),
-lib AS (SELECT module, gene FROM (SELECT module, gene, count(*) OVER (PARTITION BY module) AS n FROM (SELECT DISTINCT module, gene FROM v_module) JOIN (SELECT gene FROM v_score) USING (gene)) WHERE n >= 5), reps AS (SELECT unnest(range(0, 10))::INT AS replicate),
-q AS (SELECT module, count(*) AS n_query, count(s.gene) AS n_present FROM (SELECT DISTINCT module, gene FROM v_module) m LEFT JOIN v_score s ON s.gene = m.gene GROUP BY module),
+FIXED = f"""e AS MATERIALIZED ({EDGE.format(agg='max')}), known AS (SELECT * FROM v_score WHERE gene IN (SELECT unnest([src, dst]) FROM e)), bins AS (SELECT gene, score, degree, CAST(greatest(0, ceil((r - 1) * 10 / (n - 1)) - 1) AS INT) AS bin, row_number() OVER (ORDER BY score DESC, gene) / n AS rank_fraction FROM (SELECT *, row_number() OVER (ORDER BY degree, gene) AS r, count(*) OVER () AS n FROM known)),
+lib AS (SELECT module, gene FROM (SELECT module, gene, count(*) OVER (PARTITION BY module) AS n FROM (SELECT DISTINCT module, gene FROM v_module) JOIN (SELECT gene FROM known) USING (gene)) WHERE n >= 5), reps AS (SELECT unnest(range(0, 10))::INT AS replicate),
+q AS (SELECT module, count(*) AS n_query, count(s.gene) AS n_present FROM (SELECT DISTINCT module, gene FROM v_module) m LEFT JOIN known s ON s.gene = m.gene GROUP BY module),
 own AS (SELECT module, round(sum(score) / sqrt(count(*)), 9) AS observed, avg(score) AS mean_score, avg(rank_fraction) AS mean_rank_fraction, avg(degree) AS mean_degree FROM lib JOIN bins USING (gene) GROUP BY module),
 top AS (SELECT module, avg(score) AS top20_mean FROM (SELECT module, score, row_number() OVER (PARTITION BY module ORDER BY score DESC, gene) AS r, count(*) OVER (PARTITION BY module) AS n FROM lib JOIN bins USING (gene)) WHERE r <= greatest(1, ceil(n * 0.2)) GROUP BY module),
-e AS ({EDGE.format(agg='max')}), inner_e AS (SELECT a.module, count(*) AS m FROM e JOIN lib a ON a.gene = e.src JOIN lib b ON b.gene = e.dst AND b.module = a.module GROUP BY 1),
+near_m AS MATERIALIZED (SELECT a.module, e.src AS x, e.dst AS y FROM e JOIN lib a ON a.gene = e.src JOIN lib b ON b.gene = e.dst AND b.module = a.module UNION ALL SELECT a.module, e.dst, e.src FROM e JOIN lib a ON a.gene = e.src JOIN lib b ON b.gene = e.dst AND b.module = a.module),
+lab_m(module, gene, root) USING KEY (module, gene) AS (SELECT module, gene, gene FROM lib UNION SELECT c.module, c.gene, c.root FROM (SELECT n.module, n.y AS gene, min(l.root) AS root FROM lab_m l JOIN near_m n ON n.module = l.module AND n.x = l.gene GROUP BY ALL) c JOIN recurring.lab_m o ON o.module = c.module AND o.gene = c.gene WHERE c.root < o.root),
+big AS (SELECT module, max(n) AS largest_component FROM (SELECT module, root, count(*) AS n FROM lab_m GROUP BY ALL) GROUP BY module), inner_e AS (SELECT a.module, count(*) AS m FROM e JOIN lib a ON a.gene = e.src JOIN lib b ON b.gene = e.dst AND b.module = a.module GROUP BY 1),
 sizes AS (SELECT bin, count(*) AS size FROM bins GROUP BY bin), prof AS (SELECT module, bin, count(*) AS n FROM lib JOIN bins USING (gene) GROUP BY module, bin),
 placed AS (SELECT replicate, bin, gene, row_number() OVER (PARTITION BY replicate, bin ORDER BY {HASH.format('concat_ws(chr(45), 1, replicate, gene)')}, gene) - 1 AS place FROM bins, reps),
 wanted AS (SELECT replicate, module, bin, size, unnest(range(0, n)) AS j FROM prof JOIN sizes USING (bin), reps),
@@ -602,19 +604,19 @@ smp AS (SELECT w.replicate, w.module, p.gene FROM wanted w JOIN placed p ON p.re
 mn AS (SELECT replicate, module, round(sum(score) / sqrt(count(*)), 9) AS value, round(avg(rank_fraction), 9) AS rnk FROM smp JOIN bins USING (gene) GROUP BY replicate, module),
 h AS (SELECT replicate, gene, bin, row_number() OVER (PARTITION BY replicate, bin ORDER BY gene) AS k FROM bins, reps), v AS (SELECT replicate, bin, score, row_number() OVER (PARTITION BY replicate, bin ORDER BY md5('1-' || replicate || '-' || gene), gene) AS k FROM bins, reps),
 pn AS (SELECT replicate, module, round(sum(v.score) / sqrt(count(*)), 9) AS value FROM h JOIN v USING (replicate, bin, k) JOIN lib USING (gene) GROUP BY replicate, module), fam AS (SELECT replicate, max(value) AS top FROM pn GROUP BY replicate),
-m1 AS (SELECT module, (count(*) FILTER (value >= observed) + 1) / (count(*) + 1) AS matched_p, (any_value(observed) - avg(value)) / stddev_samp(value) AS matched_z, (count(*) FILTER (rnk <= round(mean_rank_fraction, 9)) + 1) / (count(*) + 1) AS rank_p, -(any_value(round(mean_rank_fraction, 9)) - avg(rnk)) / stddev_samp(rnk) AS rank_z FROM mn JOIN own USING (module) GROUP BY module),
-m2 AS (SELECT module, (count(*) FILTER (value >= observed) + 1) / (count(*) + 1) AS permuted_p, (any_value(observed) - avg(value)) / stddev_samp(value) AS permuted_z FROM pn JOIN own USING (module) GROUP BY module),
+m1 AS (SELECT module, (count(*) FILTER (value >= observed) + 1) / (count(*) + 1) AS matched_p, (any_value(observed) - avg(value)) / stddev_samp(value) AS matched_z, avg(value) AS matched_mean, stddev_samp(value) AS matched_sd, (count(*) FILTER (rnk <= round(mean_rank_fraction, 9)) + 1) / (count(*) + 1) AS rank_p, -(any_value(round(mean_rank_fraction, 9)) - avg(rnk)) / stddev_samp(rnk) AS rank_z FROM mn JOIN own USING (module) GROUP BY module),
+m2 AS (SELECT module, (count(*) FILTER (value >= observed) + 1) / (count(*) + 1) AS permuted_p, (any_value(observed) - avg(value)) / stddev_samp(value) AS permuted_z, avg(value) AS permuted_mean, stddev_samp(value) AS permuted_sd FROM pn JOIN own USING (module) GROUP BY module),
 m3 AS (SELECT module, (count(*) FILTER (top >= observed) + 1) / (count(*) + 1) AS family_p FROM own, fam GROUP BY module)"""
 
 
 FIXED += ", ranked AS (SELECT *, count(*) OVER () AS n_all, " + ", ".join(f"count(*) OVER (ORDER BY {c}_p RANGE UNBOUNDED PRECEDING) AS {c}_k" for c in ("matched", "permuted", "family"))
-FIXED += " FROM own JOIN top USING (module) LEFT JOIN inner_e USING (module) JOIN m1 USING (module) JOIN m2 USING (module) JOIN m3 USING (module)), "
+FIXED += " FROM own JOIN top USING (module) LEFT JOIN inner_e USING (module) JOIN big USING (module) JOIN m1 USING (module) JOIN m2 USING (module) JOIN m3 USING (module)), "
 FIXED += "fdr AS (SELECT module, " + ", ".join(f"round(least(1, min({c}_p * n_all / {c}_k) OVER (ORDER BY {c}_p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS {c}_fdr" for c in ("matched", "permuted", "family")) + " FROM ranked)"
 
 
-@register(f"""WITH {FIXED} SELECT module, n_query, n_present, round(observed, 6) AS observed, round(mean_score, 6) AS mean_score, round(mean_rank_fraction, 6) AS mean_rank_fraction, round(mean_degree, 6) AS mean_degree, round(top20_mean, 6) AS top20_mean,
-CASE WHEN observed IS NOT NULL THEN coalesce(m, 0) END AS n_edges, CASE WHEN observed IS NOT NULL THEN round(2.0 * coalesce(m, 0) / (n_present * (n_present - 1)), 6) END AS density, round(matched_p, 6) AS matched_p, round(matched_z, 6) AS matched_z, round(rank_p, 6) AS rank_p, round(rank_z, 6) AS rank_z,
-round(permuted_p, 6) AS permuted_p, round(permuted_z, 6) AS permuted_z, round(family_p, 6) AS family_p, matched_fdr, permuted_fdr, family_fdr,
+@register(f"""WITH RECURSIVE {FIXED} SELECT module, n_query, n_present, round(observed, 6) AS observed, round(mean_score, 6) AS mean_score, round(mean_rank_fraction, 6) AS mean_rank_fraction, round(mean_degree, 6) AS mean_degree, round(top20_mean, 6) AS top20_mean,
+CASE WHEN observed IS NOT NULL THEN coalesce(m, 0) END AS n_edges, CASE WHEN observed IS NOT NULL THEN round(2.0 * coalesce(m, 0) / (n_present * (n_present - 1)), 6) END AS density, round(matched_p, 6) AS matched_p, round(matched_z, 6) AS matched_z, round(matched_mean, 6) AS matched_mean, round(matched_sd, 6) AS matched_sd, largest_component, round(rank_p, 6) AS rank_p, round(rank_z, 6) AS rank_z,
+round(permuted_p, 6) AS permuted_p, round(permuted_z, 6) AS permuted_z, round(permuted_mean, 6) AS permuted_mean, round(permuted_sd, 6) AS permuted_sd, round(family_p, 6) AS family_p, matched_fdr, permuted_fdr, family_fdr,
 CASE WHEN observed IS NULL THEN 'not_tested_low_overlap' WHEN matched_p <= 0.05 AND family_p <= 0.05 THEN 'familywise_supported' WHEN matched_p <= 0.05 THEN 'degree_supported' ELSE 'negative' END AS status FROM q LEFT JOIN ranked USING (module) LEFT JOIN fdr USING (module)""")
 def fixed_library_tests(t):
     return distributed.library_tests(t("v_module"), t("v_score"), edges(t), 10)

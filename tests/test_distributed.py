@@ -52,3 +52,39 @@ def test_small_tables(spark, case):
     assert D.match_background(few, spark.createDataFrame([], "module string, gene string")).count() == 0
     ranked = {r["gene"]: r for r in D.score_columns(genes).collect()}
     assert ranked["G081"]["capped"] == 3.0 and ranked["G081"]["rank_fraction"] == pytest.approx(1 / 160)
+
+
+def test_draws_stay_in_their_bin(spark):
+    """A locus of three genes whose match bin holds two-gene loci draws there, and says that genes are drawn with replacement."""
+    pool = [(f"A{i}", 2, "near", 0) for i in range(10)] + [(f"B{i}", 4, "far", 0) for i in range(10)] + [("own", 3, "near", 0)]
+    pool = spark.createDataFrame(pool, "locus_id string, n_genes long, match_bin string, degree_bin int")
+    slots = spark.createDataFrame([("m", "own", 3, "near", 0)], "module string, slot string, need long, match_bin string, degree_bin int")
+    draws = D.matched_loci(slots, pool, 20, Scratch(spark, "test"), "t").toPandas()
+    assert len(draws) == 20 and set(draws["level"]) == {"exact"} and all(x.startswith("A") for x in draws["drawn"]) and set(draws["need"]) == {3}
+    # with only two free loci in the bin, three slots take them both and one of the degree bin
+    few = pool.where("locus_id in ('A0', 'A1', 'own', 'B0', 'B1')")
+    slots = spark.createDataFrame([("m", f"own{i}", 3, "near", 0) for i in range(3)], slots.schema)
+    levels = D.matched_loci(slots, few.where("locus_id <> 'own'"), 5, Scratch(spark, "test"), "u").toPandas()
+    assert (levels.groupby("replicate")["level"].apply(sorted).apply(tuple) == ("degree", "exact", "exact")).all()
+
+
+def test_genes_of_a_locus_are_drawn_uniformly(spark):
+    genes = spark.createDataFrame([("L4", g, s) for g, s in zip("abcd", (0.0, 0.0, 2.0, 2.0), strict=True)] + [("L2", "e", 0.0), ("L2", "f", 2.0)], "locus_id string, gene string, score double")
+    draws = spark.range(3000).select(F.col("id").alias("replicate"), F.lit("m").alias("module"), F.lit("s").alias("slot"), F.lit("exact").alias("level"), F.lit(1).alias("pool_size"))
+    share = lambda locus, need: D.subset_scores(draws.withColumns({"drawn": F.lit(locus), "need": F.lit(need).cast("long")}), genes, D.DistributedConfig()).agg(F.avg((F.col("value") == 2).cast("int")), F.count("*")).first()
+    two, three = share("L4", 2), share("L2", 3)
+    assert two[1] == three[1] == 3000 and two[0] == pytest.approx(5 / 6, abs=0.03) and three[0] == pytest.approx(7 / 8, abs=0.03)
+    assert share("L4", 4)[0] == 1.0 and share("L4", 1)[0] == pytest.approx(0.5, abs=0.03)
+
+
+def test_library_keeps_to_the_graph(spark):
+    """A set of genes outside the graph is not tested, and others do not take them into their background."""
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{(i + 1) % 30:02d}", 1.0) for i in range(30)], "src string, dst string, weight double")
+    edges = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
+    rng = np.random.default_rng(5)
+    scores = spark.createDataFrame([(f"n{i:02d}", float(rng.normal()), 2) for i in range(30)] + [(f"x{i}", 9.0, 0) for i in range(10)], "gene string, score double, degree int")
+    sets = [("outside", f"x{i}") for i in range(10)] + [("inside", f"n{i:02d}") for i in (0, 1, 2, 9, 10, 20)] + [("inside", "x1")]
+    got = {r["module"]: r for r in D.library_tests(spark.createDataFrame(sets, "module string, gene string"), scores, edges, 8).collect()}
+    assert got["outside"]["n_present"] == 0 and got["outside"]["status"] == "not_tested_low_overlap" and got["outside"]["observed"] is None
+    assert got["inside"]["n_present"] == 6 and got["inside"]["n_query"] == 7 and got["inside"]["largest_component"] == 3 and got["inside"]["n_edges"] == 3
+    assert abs(got["inside"]["matched_mean"]) < 3 and got["inside"]["matched_sd"] > 0  # scores of nine are in no draw
