@@ -53,7 +53,7 @@ def test_percolation_counts(spark):
     assert (got[0.75]["n_components"], got[0.75]["n_selected"]) == (2, 4)
 
 
-def test_heat_statistics_match_eigenvectors():
+def test_heat_diffusion_matches_eigenvectors(spark):
     rng = np.random.default_rng(3)
     i, j = np.array([0, 1, 2, 3, 0]), np.array([1, 2, 3, 4, 2])
     w, s = rng.random(5) + 0.5, rng.normal(size=6)  # node 5 is isolated
@@ -63,9 +63,15 @@ def test_heat_statistics_match_eigenvectors():
     inv = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0)
     lap = np.diag((d > 0).astype(float)) - inv[:, None] * a * inv
     values, vectors = np.linalg.eigh(lap)
-    for tau, got in zip((0.25, 4.0), percolation.heat_statistics(6, i, j, w, s, (0.25, 4.0)), strict=True):
-        want = (vectors.T @ s) ** 2 @ np.exp(-tau * values) / (s @ s)
-        assert got == pytest.approx(want, rel=1e-8)
+    edges = spark.createDataFrame([(int(a), int(b), float(x)) for a, b, x in zip(i, j, w, strict=True)], "src long, dst long, weight double")
+    vs = [s, s**2 - 1, np.ones(6)]
+    rows = [(r, v, float(x[v])) for r, x in enumerate(vs) for v in range(6) if not (r == 1 and v == 4)]
+    got = {(r["replicate"], r["tau"]): r["value"] for r in percolation.heat_diffusion(edges, spark.createDataFrame(rows, "replicate int, node long, score double"), (0.25, 4.0), block=2).collect()}
+    for r, x in enumerate(vs):
+        x = np.where(np.arange(6) == 5, 0, x)  # the isolated node is outside the graph
+        x = np.where((r == 1) & (np.arange(6) == 4), 0, x)
+        for tau in (0.25, 4.0):
+            assert got[r, tau] == pytest.approx((vectors.T @ x) ** 2 @ np.exp(-tau * values) / (x @ x), rel=1e-8)
 
 
 def test_harmonize(spark):
