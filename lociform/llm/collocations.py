@@ -36,9 +36,9 @@ BREAKS = ".,;:!?\n\x0b\x0c\r"
 TOKEN = re.compile(r"[.,;:!?\x0A-\x0D]+|[^\x20\x09.,;:!?\x0A-\x0D]+")
 CUT = re.compile(r"[\x20\x09.,;:!?\x0A-\x0D]")
 #: A shard's trie is written when it has counted so many words, or holds so many different ones.
-SHARD_WORDS, SHARD_TYPES = 4_000_000, 1_000_000
+SHARD_WORDS, SHARD_TYPES = 2_500_000, 1_000_000
 #: Nodes that a merge holds before it merges them.
-MERGED_NODES = 6_000_000
+MERGED_NODES = 4_000_000
 BOUND_DOCS, BOUND_PAIRS, BOUND_CHARS = 1000, 64, 32
 #: Bytes of text that one range stands for.
 RANGE_BYTES = 32 << 20
