@@ -233,21 +233,28 @@ def near_duplicates(
     first_within = int(64 * share + 4.5 * (64 * share * (1 - share)) ** 0.5)
 
     def kernel(texts: pa.Array) -> list[pa.Array]:
-        made, keys = [], []
-        weights = 1 << np.arange(block_bits, dtype=np.int64)
-        for t in texts.to_pylist():
-            fp = set_fingerprint(t, width, words)
-            b = np.unpackbits(fp.view(np.uint8), bitorder="little")[: n_blocks * block_bits].reshape(n_blocks, block_bits)
-            keys.append(b @ weights)
-            made.append(fp.tobytes())
-        return [pa.array(made, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-
-    fields = [T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+        return [pa.array([set_fingerprint(t, width, words).tobytes() for t in texts.to_pylist()], pa.binary())]
+
     # exact copies first: one row for each text, whatever their number
     base = base.withColumns({"row": F.monotonically_increasing_id(), "digest": F.unhex(F.sha2(F.col("text").cast("binary"), 256))})
-    rows = scratch.keep(append_columns(base, [F.col("text")], fields, kernel, keep=["id", "row", "digest"]), "rows")
-    firsts = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    firsts = scratch.keep(firsts.select(F.xxhash64("digest").alias("node"), "digest", "first", "fp", "keys"), "texts")
+    rows = scratch.keep(append_columns(base, [F.col("text")], [T.StructField("fp", T.BinaryType())], kernel, keep=["id", "row", "digest"]), "rows")
+    firsts = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"), F.first("fp").alias("fp"))
+    firsts = scratch.keep(firsts.select(F.xxhash64("digest").alias("node"), "digest", "first", "fp"), "texts")
+
+    def blocks(low: int, high: int, found: DataFrame | None) -> DataFrame:
+        """(node, w, c, bucket) of the blocks from low on: a text's first word, its component so far, and a bucket for each block."""
+
+        def keys(fps: pa.Array) -> list[pa.Array]:
+            held = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(len(fps), 8 * words)
+            bits_ = np.unpackbits(held, axis=1, bitorder="little")[:, low * block_bits : high * block_bits].reshape(len(fps), high - low, block_bits)
+            made = bits_ @ (1 << np.arange(block_bits, dtype=np.int64))
+            return [pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * (high - low), pa.int32()), pa.array(made.ravel()))]
+
+        held = firsts.select("node", long_of(F.col("fp"), 0).alias("w"), "fp")
+        held = held.withColumn("c", F.col("node")) if found is None else held.join(found.select("node", F.col("root").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        made = append_columns(held, [F.col("fp")], [T.StructField("keys", T.ArrayType(T.LongType()))], keys, keep=["node", "w", "c"])
+        return made.select("node", "w", "c", F.posexplode("keys").alias("t", "key")).select("node", "w", "c", F.xxhash64(F.col("t") + low, "key").alias("bucket"))
+
     long_of = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
     small = firsts.select("node", F.array(*(long_of(F.col("fp"), i) for i in range(words))).alias("f"))
 
@@ -312,7 +319,6 @@ def near_duplicates(
             scratch.drop(f"{k}-{name}")
         return found
 
-    at = firsts.select("node", long_of(F.col("fp"), 0).alias("w"), F.posexplode("keys").alias("t", "key")).select("node", "w", F.xxhash64("t", "key").alias("bucket"))
     def forget(level: int) -> None:
         """Delete a level's tables, which later ones no longer read."""
         scratch.drop(f"buckets-{level}")
@@ -336,55 +342,68 @@ def near_duplicates(
         scratch.drop(f"rest-{name}")
         return out
 
-    found, level = None, 0
-    while True:
-        crowded = scratch.keep(at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"crowded-{level}")
-        at = scratch.keep(at.join(crowded, "bucket"), f"buckets-{level}")
-        forget(level - 1)
-        scratch.drop(f"crowded-{level}")
-        few = at.where(F.col("n") <= PAIRED)
-        many = scratch.keep(at.where(F.col("n") > PAIRED).join(small, "node"), f"many-{level}")
-        # the pivot of a larger bucket is its least node by a hash. The hash is the same in all buckets, so those of one
-        # group of copies mostly share their pivots, and a member meets a few of them in all
-        order = F.struct(F.xxhash64("node"), "node", "w")
-        pivots = scratch.keep(many.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w").join(small, "node"), f"pivots-{level}")
-        near = verified(met(few, few, F.expr("x.node < y.node"))).unionByName(close(pivots, many, F.expr("x.node <> y.node")))
-        found = settled(found, scratch.keep(near, f"links-{level}"), f"{level}")
-        scratch.drop(f"pivots-{level}")
-        if many.isEmpty():
-            break
-        # a larger bucket of one component is done; in others all outside the largest component are compared with the whole
-        # bucket. Where these are many, they are first compared with some of that component
-        open_ = opened(many, f"{level}-a")
-        scratch.drop(f"buckets-{level}")
-        scratch.drop(f"many-{level}")
-        now, left, last = open_.where(F.col("rest") <= CROSSED), open_.where(F.col("rest") > CROSSED), SUB_BLOCKS * (level + 1) > 8 * words
-        if not left.isEmpty():
-            order = F.struct(F.xxhash64("node", "bucket"), "node", "w")
-            dealt = left.where("c = top").withColumn("d", F.pmod(F.xxhash64("node", "bucket", F.lit(7)), F.lit(PIVOTS)))
-            pivots = scratch.keep(dealt.groupBy("bucket", "d").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w").join(small, "node"), f"pivots-{level}-a")
-            again = scratch.keep(close(pivots, left.where("c <> top"), F.lit(True)), f"links-{level}-a")
-            found = settled(found, again, f"{level}-a")
-            scratch.drop(f"pivots-{level}-a")
-            left = opened(left.select("node", "w", "bucket", "f"), f"{level}-b")
-            fewer = F.lit(True) if last else F.col("rest") <= CROSSED  # last: no bits are left to split by
-            now, left = now.unionByName(left.where(fewer)), left.where(~fewer)
-        # sure links join components, whatever their number between two; doubtful pairs are looked for between what is still apart
-        now = scratch.keep(now, f"now-{level}")
-        both = now.where("c <> top").alias("x").join(now.alias("y"), "bucket").where(F.expr("x.c <> y.c") & first_words & (gap("x.f", "y.f") <= sure))
-        crossed = scratch.keep(both.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), f"links-{level}-b")
-        found = joined(found, crossed, scratch, f"found-{level}-b")
-        again = now.drop("c").join(found.withColumnRenamed("root", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        outside = again.join(found.select(F.col("node").alias("top"), F.col("root").alias("t")), "top", "left").where(F.col("c") != F.coalesce("t", "top"))
-        doubtful = scratch.keep(close(outside, again, F.expr("x.c <> y.c")), f"links-{level}-c")
-        found = settled(found, doubtful, f"{level}-c")
-        scratch.drop(f"now-{level}")
-        if left.isEmpty():
+    # a few blocks join most of each large group. Of the others only buckets of several components are opened then, so that a group of copies meets again
+    # only where something else lies in its bucket
+    some = max(8, n_blocks // 8)
+    found, level = None, -1
+    for low, high in ((0, some), (some, n_blocks)):
+        if low >= n_blocks:
             break
-        # buckets of many components are split by each of SUB_BLOCKS further bytes: a close pair shares one of them
-        left = left.select("node", "w", "bucket").join(firsts.select("node", "fp"), "node")
-        left = left.select("node", "w", "bucket", "fp", F.explode(F.sequence(F.lit(0), F.lit(SUB_BLOCKS - 1))).alias("j"))
-        at, level = left.select("node", "w", F.xxhash64("bucket", "j", F.expr(f"substring(fp, {SUB_BLOCKS * level} + j + 1, 1)")).alias("bucket")), level + 1
+        at, depth = blocks(low, min(high, n_blocks), found), 0
+        while True:
+            level += 1
+            crowded = at.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("bucket", "n")
+            at = scratch.keep(at.join(scratch.keep(crowded, f"crowded-{level}"), "bucket"), f"buckets-{level}")
+            forget(level - 1)
+            scratch.drop(f"crowded-{level}")
+            few = at.where(F.col("n") <= PAIRED)
+            many = scratch.keep(at.where(F.col("n") > PAIRED).join(small, "node"), f"many-{level}")
+            # the pivot of a larger bucket is its least node by a hash. The hash is the same in all buckets, so those of one
+            # group of copies mostly share their pivots, and a member meets a few of them in all
+            order = F.struct(F.xxhash64("node"), "node", "w", "c")
+            pivots = scratch.keep(many.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w", "p.c").join(small, "node"), f"pivots-{level}")
+            apart = F.expr("x.c <> y.c")
+            near = verified(met(few, few, F.expr("x.node < y.node") & apart)).unionByName(close(pivots, many, apart))
+            found = settled(found, scratch.keep(near, f"links-{level}"), f"{level}")
+            scratch.drop(f"pivots-{level}")
+            if many.isEmpty():
+                break
+            # a larger bucket of one component is done; in others all outside the largest component are compared with the whole
+            # bucket. Where these are many, they are first compared with some of that component
+            open_ = opened(many.drop("c"), f"{level}-a")
+            scratch.drop(f"buckets-{level}")
+            scratch.drop(f"many-{level}")
+            now, left, last = open_.where(F.col("rest") <= CROSSED), open_.where(F.col("rest") > CROSSED), SUB_BLOCKS * (depth + 1) > 8 * words
+            if not left.isEmpty():
+                order = F.struct(F.xxhash64("node", "bucket"), "node", "w")
+                dealt = left.where("c = top").withColumn("d", F.pmod(F.xxhash64("node", "bucket", F.lit(7)), F.lit(PIVOTS)))
+                pivots = scratch.keep(dealt.groupBy("bucket", "d").agg(F.min(order).alias("p")).select("bucket", "p.node", "p.w").join(small, "node"), f"pivots-{level}-a")
+                again = scratch.keep(close(pivots, left.where("c <> top"), F.lit(True)), f"links-{level}-a")
+                found = settled(found, again, f"{level}-a")
+                scratch.drop(f"pivots-{level}-a")
+                left = opened(left.select("node", "w", "bucket", "f"), f"{level}-b")
+                fewer = F.lit(True) if last else F.col("rest") <= CROSSED  # last: no bits are left to split by
+                now, left = now.unionByName(left.where(fewer)), left.where(~fewer)
+            # sure links join components, whatever their number between two; doubtful pairs are looked for between what is still apart
+            both = now.where("c <> top").alias("x").join(now.alias("y"), "bucket").where(apart & first_words & (gap("x.f", "y.f") <= sure))
+            crossed = scratch.keep(both.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), f"links-{level}-b")
+            found = joined(found, crossed, scratch, f"found-{level}-b")
+            # a bucket's components are few rows: their roots now show which are still apart
+            parts = now.select("bucket", "c", "top").distinct()
+            for c in ("c", "top"):
+                parts = parts.join(found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+            parts = scratch.keep(parts.select("bucket", "c", "c_root", (F.col("c_root") != F.col("top_root")).alias("outside")), f"parts-{level}")
+            still = parts.join(parts.where("outside").select("bucket").distinct(), "bucket", "left_semi")
+            again = now.join(still, ["bucket", "c"]).drop("c").withColumnRenamed("c_root", "c")
+            doubtful = scratch.keep(close(again.where("outside"), again, apart), f"links-{level}-c")
+            scratch.drop(f"parts-{level}")
+            found = settled(found, doubtful, f"{level}-c")
+            if left.isEmpty():
+                break
+            # buckets of many components are split by each of SUB_BLOCKS further bytes: a close pair shares one of them
+            left = left.select("node", "w", "c", "bucket").join(firsts.select("node", "fp"), "node")
+            left = left.select("node", "w", "c", "bucket", "fp", F.explode(F.sequence(F.lit(0), F.lit(SUB_BLOCKS - 1))).alias("j"))
+            at, depth = left.select("node", "w", "c", F.xxhash64("bucket", "j", F.expr(f"substring(fp, {SUB_BLOCKS * depth} + j + 1, 1)")).alias("bucket")), depth + 1
     forget(level)
     linked = firsts.select("node", "first").join(found, "node")
     roots = linked.groupBy("root").agg(F.min("first").alias("least"))
