@@ -622,4 +622,4 @@ def fixed_library_tests(t):
     return distributed.library_tests(t("v_module"), t("v_score"), edges(t), 10)
 
 
-from . import scores, searches  # noqa: E402, F401  register their queries
+from . import formats, scores, searches  # noqa: E402, F401  register their queries
