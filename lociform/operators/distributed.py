@@ -100,10 +100,10 @@ def share_at_least(values: DataFrame, background: DataFrame, value: str = "value
 
 
 def set_loci(genes: DataFrame, sets: DataFrame, config: DistributedConfig = DistributedConfig()) -> DataFrame:
-    """(module, locus_id, value, moderate, n_genes): each locus of a set by the set's own genes in it, with the highest capped score."""
+    """(module, locus_id, value, moderate, n_genes, raw): each locus of a set by the set's own genes in it, with the highest capped and uncapped score."""
     j = sets.select("module", "gene").distinct().join(genes.select("gene", "locus_id", "score"), "gene")
     value = F.max(S.cap_upper(F.col("score"), config.score_cap))
-    return j.groupBy("module", "locus_id").agg(value.alias("value"), F.max(is_moderate(F.col("score"), config)).alias("moderate"), F.countDistinct("gene").alias("n_genes"))
+    return j.groupBy("module", "locus_id").agg(value.alias("value"), F.max(is_moderate(F.col("score"), config)).alias("moderate"), F.countDistinct("gene").alias("n_genes"), F.max("score").alias("raw"))
 
 
 def locus_statistics(loci: DataFrame, by: tuple[str, ...] = ("module",)) -> DataFrame:
@@ -129,9 +129,9 @@ def locus_statistics(loci: DataFrame, by: tuple[str, ...] = ("module",)) -> Data
     return a.withColumns({"penalised": once, "penalised_top5": once * cut["top5_penalty"]}).select(*by, "n_loci", "n_effective", "top1", "top5", *STATISTICS)
 
 
-def tail_diagnostics(loci: DataFrame, raw: DataFrame, config: DistributedConfig = DistributedConfig()) -> DataFrame:
-    """Per set how much of its signal comes from its strongest loci. raw: (module, locus_id, raw) with the uncapped score."""
-    d = loci.join(raw, ["module", "locus_id"]).withColumn("p", F.greatest("value", F.lit(0.0)))
+def tail_diagnostics(loci: DataFrame, config: DistributedConfig = DistributedConfig()) -> DataFrame:
+    """Per set how much of its signal comes from its strongest loci. loci: as of ``set_loci``, with the rank_fraction of each locus."""
+    d = loci.withColumn("p", F.greatest("value", F.lit(0.0)))
     strong = F.col("raw") > config.score_cap
     n = F.count("*").cast("double")
     return d.groupBy("module").agg(
@@ -142,6 +142,24 @@ def tail_diagnostics(loci: DataFrame, raw: DataFrame, config: DistributedConfig
     )
 
 
+def module_summary(genes: DataFrame, sets: DataFrame, background: DataFrame, config: DistributedConfig = DistributedConfig()) -> DataFrame:
+    """A row a set: its genes' and loci's statistics, its first gene and locus, and how much its strongest ones carry. Ties go to the lesser name."""
+    by = Window.partitionBy("module")
+    g = sets.select("module", "gene").distinct().join(genes.select("gene", "score"), "gene").withColumn("capped", S.cap_upper(F.col("score"), config.score_cap))
+    g = g.withColumns({"r": F.row_number().over(by.orderBy(F.desc("capped"), "gene")), "n": F.count("*").over(by)})
+    left = lambda k: F.sum(F.when(F.col("r") > k, F.col("capped"))) / F.sqrt(F.nullif(F.max("n") - k, F.lit(0)).cast("double"))
+    root = F.sqrt(F.count("*").cast("double"))
+    first = F.min(F.struct((-F.col("score")).alias("s"), "gene"))
+    per_gene = g.groupBy("module").agg(
+        F.count("*").alias("n_present"), (F.sum("score") / root).alias("raw_gene_stat"), (F.sum("capped") / root).alias("capped_gene_stat"),
+        *(F.when(F.max("n") > k, left(k)).alias(f"leave_top{k}_gene") for k in (1, 5, 10)), first.alias("f"),
+    ).select("*", F.col("f.gene").alias("top_gene"), (-F.col("f.s")).alias("top_gene_score")).drop("f")
+    loci = set_loci(genes, sets, config).join(background.select("locus_id", "rank_fraction"), "locus_id")
+    top = loci.groupBy("module").agg(F.min(F.struct((-F.col("value")).alias("s"), "locus_id")).alias("f")).select("module", F.col("f.locus_id").alias("top_locus"), (-F.col("f.s")).alias("top_locus_score"))
+    shape = locus_statistics(share_at_least(loci, background))
+    return per_gene.join(shape, "module").join(top, "module").join(tail_diagnostics(loci, config), "module")
+
+
 def draw_level(wanted: DataFrame, pool: DataFrame, used: DataFrame, key: str, seed: int) -> DataFrame:
     """(replicate, module, slot, drawn, pool_size): for each wanted (replicate, module, slot, need, key) a locus of its bin with ``need`` genes or more.
 
@@ -269,7 +287,8 @@ def distributed_tests(genes: DataFrame, sets: DataFrame, replicates: int, config
     wide = wide.select("module", *(F.col(f"`{n}_{c}`").alias(plain(n, c)) for n in names for c in "pz"))
     rate = lambda level: F.avg((F.col("level") == level).cast("int")).alias(f"{level}_rate")
     audit = drawn.groupBy("module").agg(*map(rate, ("exact", "degree", "global", "reuse")), F.min("pool_size").alias("min_pool"), F.median("pool_size").alias("median_pool"), F.avg((F.col("need") > F.col("size")).cast("int")).alias("replacement_rate"), F.avg(F.greatest(F.col("need") - F.col("size"), F.lit(0))).alias("replacement_draws"))
-    out = observed.join(wide, "module", "left").join(audit, "module", "left").withColumn("degraded", F.coalesce(F.col("replacement_rate") > config.max_replacement, F.lit(False)))
+    tails = tail_diagnostics(own, config).withColumnsRenamed({"moderate_share": "moderate_locus_share"})
+    out = observed.join(tails, "module").join(wide, "module", "left").join(audit, "module", "left").withColumn("degraded", F.coalesce(F.col("replacement_rate") > config.max_replacement, F.lit(False)))
     p = {"locus": "locus_robust_p", "penalised": "penalised_p", "positive": "positive_locus_p", "rank": "specific_rank_p", "moderate": "moderate_p", "leave_top1": "leave_top1_p", "raw": "raw_p"}
     out = out.withColumn("label", claims.distributed_class(F.col("degraded"), {k: F.col(c) for k, c in p.items()}, F.col("n_effective"), F.col("top1"), F.col("top5")))
     for c in ("locus_robust", "positive_locus", "penalised", "penalised_top5", "membership_rank", "specific_rank"):
