@@ -47,13 +47,15 @@ def read_id_set(spark: SparkSession, path: str) -> DataFrame:
 def read_gene_sets(spark: SparkSession, path: str) -> DataFrame:
     """(module, description, gene) of a GMT file."""
     f = F.split("value", "\t")
-    rows = spark.read.text(path).where(F.size(f) >= 3)
-    return rows.select(F.get(f, F.lit(0)).alias("module"), F.get(f, F.lit(1)).alias("description"), F.explode(F.slice(f, 3, F.size(f))).alias("gene")).where("gene <> ''").distinct()
+    # fields are taken before the explode: above it, Spark would split a set's line again for each of its genes
+    rows = spark.read.text(path).where(F.size(f) >= 3).select(F.get(f, F.lit(0)).alias("module"), F.get(f, F.lit(1)).alias("description"), F.slice(f, 3, F.size(f)).alias("genes"))
+    return rows.select("module", "description", F.explode("genes").alias("gene")).where("gene <> ''").distinct()
 
 
 def read_ontology(spark: SparkSession, path: str) -> DataFrame:
     """(term, name, namespace, parents) of an OBO file's live terms."""
-    blocks = spark.read.option("lineSep", "\n[").text(path).where(F.col("value").startswith("Term]"))
+    # a file's first block has no line break before its bracket
+    blocks = spark.read.option("lineSep", "\n[").text(path).where(F.col("value").rlike(r"^\[?Term\]"))
     line = lambda k: F.regexp_extract("value", rf"(?m)^{k}: (.*)$", 1)
     parents = F.regexp_extract_all("value", F.lit(r"(?m)^is_a: (\S+)"), F.lit(1))
     return blocks.where(~F.col("value").rlike(r"(?m)^is_obsolete: true")).select(line("id").alias("term"), line("name").alias("name"), line("namespace").alias("namespace"), parents.alias("parents"))
