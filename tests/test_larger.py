@@ -1,7 +1,10 @@
 """Faults that only larger tables show: several files of a format, long sets, large batches."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lociform.operators import scoring
 from lociform.sources import tables
 
 
@@ -19,3 +22,28 @@ def test_gene_sets_split_a_line_once(spark, tmp_path):
     assert sorted(map(tuple, read.collect())) == [("m", "about", "a"), ("m", "about", "b")]
     above = read._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert "split(" not in above
+
+
+def test_payload_kernels_hold_few_genes(spark):
+    batch = pa.RecordBatch.from_pydict({"gene_id": list(range(1000))})
+    assert max(b.num_rows for b in scoring._slices([batch])) <= 16
+    assert sum(b.num_rows for b in scoring._slices([batch])) == 1000
+
+
+def test_panel_payloads_equal_those_of_pairs(spark):
+    rng = np.random.default_rng(3)
+    mapping = spark.createDataFrame([(int(g), int(s), float(rng.uniform(-1, 1))) for g in range(6) for s in rng.choice(40, 1 + 4 * g, replace=False)], "gene_id long, snp_id long, weight double")
+    table = np.corrcoef(rng.normal(size=(4, 30)))
+    panel = spark.createDataFrame([(i, j, float(table[i, j])) for i in range(4) for j in range(i, 4)], "snp_i int, snp_j int, r double")
+    snps = mapping.select("snp_id").distinct()
+    pairs = spark.createDataFrame([(a, b, 1.0 if a % 4 == b % 4 else float(table[a % 4, b % 4])) for a in range(40) for b in range(a + 1, 40)], "snp_i long, snp_j long, r double")
+    known = mapping.where("gene_id % 2 = 0")
+    want = {r.gene_id: r for r in scoring.ld_payloads(mapping, scoring.ld_entries(pairs, known, max_snps=9), snps).collect()}
+    got = {r.gene_id: r for r in scoring.panel_payloads(mapping, panel, F.col("gene_id") % 2 == 0, 4, max_snps=9).collect()}
+    assert got.keys() == want.keys()
+    for g, x in got.items():
+        y = want[g]
+        assert (x.snp_ids, x.weights, x.ld_status) == (y.snp_ids, y.weights, y.ld_status)
+        assert np.allclose([x.denominator_variance, x.m_eff, x.local_ld_score, *x.lambdas], [y.denominator_variance, y.m_eff, y.local_ld_score, *y.lambdas])
+    plan = scoring.panel_payloads(mapping, panel, F.lit(True), 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
