@@ -47,3 +47,21 @@ def test_panel_payloads_equal_those_of_pairs(spark):
         assert np.allclose([x.denominator_variance, x.m_eff, x.local_ld_score, *x.lambdas], [y.denominator_variance, y.m_eff, y.local_ld_score, *y.lambdas])
     plan = scoring.panel_payloads(mapping, panel, F.lit(True), 4)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_residuals_run_their_inputs_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(g, float(g % 3), float(g * g % 7)) for g in range(20)], "gene_id long, x double, score double").coalesce(1)
+    once = rows.mapInArrow(count, rows.schema)
+    want = scoring.residual_from_scores(rows, ["x"]).orderBy("gene_id").collect()
+    assert scoring.residual_from_scores(once, ["x"]).orderBy("gene_id").collect() == want and runs.value == 20
+    nulls = spark.range(3).selectExpr("cast(id as int) as replicate").crossJoin(rows).selectExpr("replicate", "gene_id", "score + replicate * x as score").coalesce(1)
+    runs.value = 0
+    scoring.residual_from_null(rows, nulls.mapInArrow(count, nulls.schema), ["x"]).collect()
+    assert runs.value == 60
