@@ -88,3 +88,13 @@ def test_library_keeps_to_the_graph(spark):
     assert got["outside"]["n_present"] == 0 and got["outside"]["status"] == "not_tested_low_overlap" and got["outside"]["observed"] is None
     assert got["inside"]["n_present"] == 6 and got["inside"]["n_query"] == 7 and got["inside"]["largest_component"] == 3 and got["inside"]["n_edges"] == 3
     assert abs(got["inside"]["matched_mean"]) < 3 and got["inside"]["matched_sd"] > 0  # scores of nine are in no draw
+
+
+def test_each_fdr_does_not_repeat_the_tests(spark):
+    """The plan of the library's result reads the written tests, not all that led to them once for each use."""
+    edges = spark.createDataFrame([(v, (v * 7 + 3) % 60) for v in range(60) if v != (v * 7 + 3) % 60], "src long, dst long")
+    scores = spark.range(60).select(F.col("id").alias("gene"), (F.col("id") % 11).cast("double").alias("score"), (F.col("id") % 5).alias("degree"))
+    sets = spark.range(60).select(F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("module"), F.col("id").alias("gene"))
+    out = D.library_tests(sets, scores, edges, 3)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 10
+    assert out.count() == 3
