@@ -36,9 +36,9 @@ BREAKS = ".,;:!?\n\x0b\x0c\r"
 TOKEN = re.compile(r"[.,;:!?\x0A-\x0D]+|[^\x20\x09.,;:!?\x0A-\x0D]+")
 CUT = re.compile(r"[\x20\x09.,;:!?\x0A-\x0D]")
 #: A shard's trie is written when it has counted so many words, or holds so many different ones.
-SHARD_WORDS, SHARD_TYPES = 2_500_000, 1_000_000
-#: Nodes that a merge holds before it merges them.
-MERGED_NODES = 4_000_000
+SHARD_WORDS, SHARD_TYPES = 1_500_000, 600_000
+#: Nodes that wait before they are merged.
+MERGED_NODES = 1_500_000
 BOUND_DOCS, BOUND_PAIRS, BOUND_CHARS = 1000, 64, 32
 #: Bytes of text that one range stands for.
 RANGE_BYTES = 32 << 20
@@ -169,10 +169,10 @@ class _Shard:
         return self.size >= self.limit or len(self.index) >= SHARD_TYPES
 
     def flush(self) -> list[tuple]:
-        order = sorted((w, i) for w, i in self.index.items() if w[0] not in BREAKS)
-        words = [w for w, _ in order]
+        words = sorted(w for w in self.index if w[0] not in BREAKS)
         rank = np.full(len(self.index) + 1, -1)
-        rank[[i for _, i in order]] = np.arange(len(order))
+        rank[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+        self.index.clear()
         out = []
         for lang, parts in self.parts.items():
             trie = count_phrases(rank[np.concatenate([*parts, [-1, -1]])], self.skip.get(lang, 0), words)
@@ -221,18 +221,28 @@ def merge_ranges(tries: DataFrame, ranges: int, min_count: int) -> DataFrame:
     (w1, w2) of a node with three words. A row without words has all word occurrences of its language in the range."""
 
     def run(batches):
-        held: dict[str, list[Trie]] = defaultdict(list)
-        size = 0
+        # segments wait as they came, compressed; only those of one merge are open at a time
+        held: dict[str, Trie] = {}
+        waiting: dict[str, list[tuple[list[int], bytes]]] = defaultdict(list)
+        new, limit = 0, MERGED_NODES
+
+        def opened(lang: str) -> Trie:
+            tries = [held.pop(lang)] if lang in held else []
+            return merged(tries + [read_segment(*x) for x in waiting.pop(lang, [])])
+
         for b in batches:
-            for row in b.to_pylist():
-                trie = read_segment([row[k] for k in ("n_text", "n_one", "n_two", "n_three")], row["packed"])
-                held[row["lang"]].append(trie)
-                size += trie.nodes()
-                if size > MERGED_NODES and max(map(len, held.values())) > 1:
-                    held = defaultdict(list, {k: [merged(v)] for k, v in held.items()})
-                    size = sum(v[0].nodes() for v in held.values()) // 2  # so that the next merge has at least half as many new ones
-        for lang in sorted(held):
-            t = merged(held[lang])
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in ("lang", "n_text", "n_one", "n_two", "n_three", "packed")}
+                sizes = [row[k] for k in ("n_text", "n_one", "n_two", "n_three")]
+                waiting[row["lang"]].append((sizes, row["packed"]))
+                new += sum(sizes[1:])
+                if new > limit:
+                    for lang in list(waiting):
+                        held[lang] = opened(lang)
+                    # the next merge has at least half as many new ones
+                    new, limit = 0, max(MERGED_NODES, sum(t.nodes() for t in held.values()) // 2)
+        for lang in sorted({*held, *waiting}):
+            t = opened(lang)
             words = pa.array(t.words, pa.string())
             a, b, c = (n >= min_count for n in (t.n_one, t.n_two, t.n_three))
             pair = t.three[c] >> 32

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lociform.llm import collocations, divergence, embedding_dedup
@@ -184,3 +185,29 @@ def test_audit(spark, held, block):
 
 def test_no_documents(spark):
     assert divergence.audit(spark.createDataFrame([], "text string, lang string, source string")).count() == 0
+
+
+def test_merge_opens_few_segments_at_a_time(monkeypatch):
+    """Segments wait compressed, and a range much larger than the bound is not merged anew for each of them."""
+    rows, opened = [], []
+    for k in range(40):
+        shard = collocations._Shard([], 10**9)
+        shard.add("en", [f"w{k}x{i}" for i in range(50)] + ["a", "b", "c"])
+        shard.end("en")
+        rows += shard.flush()
+    kinds = (pa.int32(), pa.string(), *[pa.int32()] * 4, pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in collocations.SEGMENT.split(", ")])
+    real = collocations.merged
+    monkeypatch.setattr(collocations, "merged", lambda tries: opened.append(len(tries)) or real(tries))
+    monkeypatch.setattr(collocations, "MERGED_NODES", 300)
+    runs = []
+    monkeypatch.setattr(collocations, "map_arrow", lambda df, run, schema: runs.append(run))
+
+    class Tries:
+        def repartitionById(self, *_):
+            return self
+
+    collocations.merge_ranges(Tries(), 1, 10)
+    found = pa.Table.from_batches(runs[0](iter([batch]))).to_pylist()
+    assert [(r["w1"], r["w2"], r["w3"], r["f"]) for r in found] == [(None, None, None, 2120), ("a", None, None, 40), ("b", None, None, 40), ("c", None, None, 40), ("a", "b", None, 40), ("b", "c", None, 40), ("a", "b", "c", 40)]
+    assert max(opened) < 40 and len(opened) < 15
