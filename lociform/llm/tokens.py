@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -43,60 +45,77 @@ class WordBpe:
     """The ``tokenizers`` library on the distinct words of a slice, with a bounded memory of earlier words.
 
     White space never reaches this vocabulary's pieces, so a text's ids are those of its
-    words (runs between ASCII spaces) one after the other.
+    words (runs between white space) one after the other.
     """
 
     SPACES = re.compile("[\t-\r ]+")
+    SEPARATORS = re.compile("[\x1c-\x1f]")
     #: Letters that are one code point in any normal form that the library makes, of simple case.
     PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([.,;:!?]?)")
+    #: The bytes that can end such a letter in lower case, and what marks each as the last of a run.
+    ENDS = {b: bytes([b - 32]) for b in range(97, 123)} | {b: bytes([b - 0x9F]) for b in range(0x9F, 0xC0)}
 
     def __init__(self, path: str | None = None, cached: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or path_of("word_bpe_49k.json"))
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
         self.cached, self.memory, self.parts = cached, {}, {}
-        self.letters = {b: c for c, b in byte_letters().items()}
-
-    def plain(self, word: str) -> bytes | None:
-        """Ids of a word that is one run of Latin letters, with one mark behind it at most: the
-        library's normaliser and splitter leave such words alone but for their case, so its
-        merge model can be asked for the run and the mark. None for any other word."""
-        m = self.PLAIN.fullmatch(word)
-        if m is None:
-            return None
-        out = b""
-        for part in (m[1].lower(), m[2]):
-            if part:
-                ids = self.parts.get(part)
-                if ids is None:
-                    if len(self.parts) >= self.cached:
-                        self.parts.clear()
-                    asked = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-                    ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(asked)], "<u4").tobytes()
-                out += ids
-        return out
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        words = [self.SPACES.split(t) for t in texts]
-        distinct = {w for ws in words for w in ws}
-        new = [w for w in distinct if w not in self.memory]
-        full = len(self.memory) + len(new) > self.cached
-        if full and 2 * len(new) > len(distinct):  # other texts than before
-            self.memory, new = {}, list(distinct)
-        left = []
+        self.merge = self.letters(path or path_of("word_bpe_49k.json"))
+        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,;:!?"}
+
+    def words(self, text: str) -> list[str]:
+        """Runs between white space; the four separators of ASCII, which are none to the library, stay in their words."""
+        return self.SPACES.split(text) if self.SEPARATORS.search(text) else text.split()
+
+    def letters(self, path: str):
+        """tiktoken's merge loop over the file's ids for runs of small Latin letters. A run's last byte, which the file marks
+        as the end of a word, takes a byte that such runs have no other use for; ids follow the order of merges."""
+        import tiktoken
+
+        letters = byte_letters()
+        usual = {*range(97, 123), 0xC3, *self.ENDS}
+        ranks = {}
+        for word, i in json.load(open(path, encoding="utf-8"))["model"]["vocab"].items():
+            body, end = word.removesuffix("</w>"), word.endswith("</w>")
+            held = bytes(letters.get(c, 0) for c in body)
+            if held and usual.issuperset(held) and (not end or held[-1] in self.ENDS):
+                ranks[held[:-1] + self.ENDS[held[-1]] if end else held] = i
+        for byte in range(256):  # bytes that no run has
+            ranks.setdefault(bytes([byte]), (1 << 31) + byte)
+        return tiktoken.Encoding("letters", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def learn(self, new: list[str]) -> None:
+        """Put the ids of new words into the memory. A word that is one run of Latin letters, with one mark behind it at most,
+        is left alone by the normaliser and the splitter, so it needs the merges only; any other goes through the whole library."""
+        memory, parts, match, merge, ends, left = self.memory, self.parts, self.PLAIN.fullmatch, self.merge, self.ENDS, []
         for w in new:
-            ids = self.plain(w)
-            if ids is None:
+            m = match(w)
+            if m is None:
                 left.append(w)
-            else:
-                self.memory[w] = ids
+                continue
+            run, mark = m.groups()
+            run = run.lower()
+            ids = parts.get(run)
+            if ids is None:
+                if len(parts) >= self.cached:
+                    parts.clear()
+                held = run.encode()
+                ids = parts[run] = array("I", merge(held[:-1] + ends[held[-1]])).tobytes()
+            memory[w] = ids + self.marks[mark] if mark else ids
         for i in range(0, len(left), 4096):
             part = left[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memory[w] = np.array(e.ids, "<u4").tobytes()
-        last = np.array([end], "<u4").tobytes()
+                memory[w] = array("I", e.ids).tobytes()
+
+    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+        words = [self.words(t) for t in texts]
+        new = set(filterfalse(self.memory.__contains__, chain.from_iterable(words)))
+        full = len(self.memory) + len(new) > self.cached
+        if full and 2 * len(new) > len(distinct := set(chain.from_iterable(words))):  # other texts than before
+            self.memory, new = {}, distinct
+        self.learn(list(new))
+        last = array("I", [end]).tobytes()
         known = self.memory.__getitem__
         out = [np.frombuffer(b"".join([*map(known, ws), last]), "<u4") for ws in words]
         for w in new:  # frequent words came early and stay; the number of long ones doesn't bound their size

@@ -717,3 +717,13 @@ def test_pipeline_stages_keep_columns(spark):
 def test_fold_is_crc32(spark):
     got = spark.range(50).select("id", langid.fold("id", 5).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in got)
+
+
+def test_word_ids_of_any_white_space_and_latin_letters():
+    from lociform.llm.tokens import WordBpe
+
+    e, letters = WordBpe(), "aZéÉßÿøñ'.,!9\x1c\x1f"
+    texts = [f"ab{c}cd{c}!{c}don{c}'t{c}́x" for c in map(chr, range(0x3001)) if c.isspace() or c in "\x1c\x1d"]
+    texts += [" ".join(a + b + c for b in letters for c in letters) for a in letters]
+    for text, ids in zip(texts, e.encode(texts, 2), strict=True):
+        assert ids.tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 2]
