@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociform.operators import backbone, growth, merge_tree
+from lociform.storage import Scratch
 
 
 def parts(nodes, links):
@@ -144,6 +145,23 @@ def test_backbone(spark, seed, target, most):
     assert sorted((r["src"], r["dst"], r["component_size"]) for r in got.collect()) == sorted(hand) and report["final_size"] == size and report["n_added"] == len(hand)
 
 
+def test_backbone_opens_no_window_after_the_target(spark):
+    class Seen(Scratch):
+        def keep(self, df, name):
+            names.append(name)
+            return super().keep(df, name)
+
+    rng, names = np.random.default_rng(8), []
+    pairs = sorted({tuple(sorted(map(int, rng.choice(30, 2, replace=False)))) for _ in range(200)})
+    rows = [(a, b, float(w), 0.0, float(w)) for (a, b), w in zip(pairs, rng.integers(1, 40, len(pairs)), strict=True)]
+    candidates = spark.createDataFrame(rows, "src long, dst long, weight double, edge_support double, priority double")
+    existing = spark.createDataFrame([(0, 1, 1.0)], "src long, dst long, weight double")
+    got, _ = backbone.add_backbone(existing, candidates, spark.range(30).select(F.col("id").alias("node")), 0.4, 0.5, Seen(spark, "backbone"), (0.5, 0.75))
+    hand, _ = backbone_by_hand([(0, 1)], rows, range(30), 0.4, 0.5)
+    assert sorted((r["src"], r["dst"], r["component_size"]) for r in got.collect()) == sorted(hand)
+    assert "window-0-0" in names and "window-0-2" not in names
+
+
 def test_empty_universe(spark):
     none = spark.createDataFrame([], "src long, dst long, weight double")
     nodes = spark.createDataFrame([], "node long")
