@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociform.functions import scalars, special
-from lociform.operators import claims, graph, modules, percolation, qc, relational
+from lociform.operators import claims, graph, ld, modules, percolation, qc, relational
 from lociform.operators.components import components
 from lociform.sources import tables
 
@@ -164,3 +164,18 @@ def test_spectrum_energy(spark):
     s = spark.createDataFrame([(1, 1.0), (2, 0.0), (3, -1.0)], "node long, score double")
     got = percolation.spectrum(e, s).toPandas().sort_values("eigenvalue")
     assert isinstance(got, pd.DataFrame) and got["energy"].sum() == pytest.approx(2.0) and got["eigenvalue"].tolist() == pytest.approx([0, 1, 2], abs=1e-9)
+
+
+@pytest.mark.parametrize("method", ["liu", "satterthwaite"])
+def test_gene_tests_without_correlation_start_no_group(spark, method):
+    rng = np.random.default_rng(4)
+    rows = [(g, s, float(rng.normal()), float(rng.normal())) for g in range(6) for s in range(1 if g == 0 else 3 + 5 * g)] + [(7, 0, 0.0, 1.0), (8, 0, 0.5, None), (8, 1, 0.5, 1.0)]
+    members = spark.createDataFrame(rows, "gene_id long, snp_id long, weight double, z double")
+    out = ld.gene_tests(members, method=method)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    got = {r["gene_id"]: r for r in out.collect()}
+    for g in range(6):
+        w, z = np.array([(r[2], r[3]) for r in rows if r[0] == g]).T
+        p = special.mixture_sf(float(w**2 @ z**2), w**2, method)
+        assert got[g]["n_snps"] == len(w) and np.allclose([got[g]["q"], got[g]["signed_score"], got[g]["p"], got[g]["normal_score"]], [w**2 @ z**2, w @ z / (w @ w) ** 0.5, p, special.normal_isf(p)], atol=1e-6)
+    assert got[7]["signed_score"] is None and np.isnan(got[7]["p"]) and np.isnan(got[8]["p"]) and np.isnan(got[8]["normal_score"])
