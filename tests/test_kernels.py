@@ -9,6 +9,7 @@ from lociform.functions import scalars, special
 from lociform.operators import claims, graph, ld, modules, percolation, qc, relational
 from lociform.operators.components import components
 from lociform.sources import tables
+from lociform.storage import Scratch
 
 
 def test_normal_tails_invert():
@@ -179,3 +180,23 @@ def test_gene_tests_without_correlation_start_no_group(spark, method):
         p = special.mixture_sf(float(w**2 @ z**2), w**2, method)
         assert got[g]["n_snps"] == len(w) and np.allclose([got[g]["q"], got[g]["signed_score"], got[g]["p"], got[g]["normal_score"]], [w**2 @ z**2, w @ z / (w @ w) ** 0.5, p, special.normal_isf(p)], atol=1e-6)
     assert got[7]["signed_score"] is None and np.isnan(got[7]["p"]) and np.isnan(got[8]["p"]) and np.isnan(got[8]["normal_score"])
+
+
+def test_dense_components_are_few_links_before_the_first_round(spark):
+    class Seen(Scratch):
+        def keep(self, df, name):
+            out = super().keep(df, name)
+            if name == "edges-0":
+                first.append(out.count())
+            return out
+
+    rng, first = np.random.default_rng(6), []
+    links = [(int(a), int(b)) for k in (0, 100, 200) for a, b in k + rng.choice(80, (1500, 2))] + [(300 + k, 301 + k) for k in range(9)] + [(400, 401)] * 3
+    want = {}
+    for _ in range(12):
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want.get(a, a), want.get(b, b))
+    frame = spark.createDataFrame(links, "a long, b long").repartition(3)
+    assert {r["node"]: r["root"] for r in components(frame, Seen(spark, "dense"), dense=True).collect()} == want
+    assert first[0] < 3 * len(want) < frame.distinct().count() / 3
