@@ -49,6 +49,21 @@ def test_panel_payloads_equal_those_of_pairs(spark):
     assert "Join" not in plan
 
 
+def test_panel_payloads_of_a_gene_of_any_size(spark):
+    """A gene of more variants than a matrix of pairs may have is computed as any other."""
+    rng = np.random.default_rng(4)
+    n = scoring.MAX_SNPS + 200
+    weights = rng.choice([1.0, 0.5, -0.5, 1 / 3], n)
+    mapping = spark.createDataFrame([(0, s, float(weights[s])) for s in range(n)], "gene_id long, snp_id long, weight double")
+    table = np.corrcoef(rng.normal(size=(4, 30)))
+    panel = spark.createDataFrame([(i, j, float(table[i, j])) for i in range(4) for j in range(i, 4)], "snp_i int, snp_j int, r double")
+    got = scoring.panel_payloads(mapping, panel, F.lit(True), 4).first()
+    at = np.arange(n) % 4
+    want = scoring._payload(0, list(range(n)), weights, table[np.ix_(at, at)], 0.05, n**2 / (table[np.ix_(at, at)] ** 2).sum(), 0.0, "computed")
+    assert got.ld_status == "computed" and len(got.lambdas) == len(want[4]) == n
+    assert np.allclose(got.lambdas, want[4]) and np.allclose([got.denominator_variance, got.m_eff], [want[3], want[5]])
+
+
 def test_residuals_run_their_inputs_once(spark):
     runs = spark.sparkContext.accumulator(0)
 
