@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociform.operators import distributed as D
+from lociform.operators.nulls import bin_profile, matched_sample
+from lociform.operators.relational import hash_permute
 from lociform.storage import Scratch
 
 
@@ -98,3 +100,28 @@ def test_each_fdr_does_not_repeat_the_tests(spark):
     out = D.library_tests(sets, scores, edges, 3)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 10
     assert out.count() == 3
+
+
+def test_library_nulls_are_those_of_single_draws(spark):
+    """The slices of a bin's order are the rows that matched_sample and hash_permute draw."""
+    genes = spark.range(90).select(F.col("id").alias("gene"), (F.col("id") * 7 % 11).cast("double").alias("score"), (F.col("id") / 90).alias("rank_fraction"), (F.col("id") % 3).cast("int").alias("bin"))
+    members = genes.select(F.concat(F.lit("m"), (F.col("gene") % 4).cast("string")).alias("module"), "gene").where("gene % 5 < 3")
+    got = {(r.replicate, r.module): r for r in D._library_nulls(genes, members, 13, 1).collect()}
+    root = F.sqrt(F.count("*").cast("double"))
+    drawn = matched_sample(genes, bin_profile(members, genes), 13).join(genes.select("gene", "score", "rank_fraction"), "gene")
+    drawn = drawn.groupBy("replicate", "module").agg((F.sum("score") / root).alias("value"), F.avg("rank_fraction").alias("rank")).collect()
+    dealt = hash_permute(genes, "score", "gene", ["bin"], 13).join(members, "gene").groupBy("replicate", "module").agg((F.sum("score") / root).alias("value")).collect()
+    assert len(got) == len(drawn) == len(dealt) == 13 * 4
+    assert all(got[r.replicate, r.module].value == pytest.approx(r.value) and got[r.replicate, r.module].rank == pytest.approx(r["rank"]) for r in drawn)
+    assert all(got[r.replicate, r.module].dealt == pytest.approx(r.value) for r in dealt)
+
+
+def test_library_query_can_support_a_set(monkeypatch):
+    """With the query's replicates the least p lies under the 0.05 of its status."""
+    from lociform.plans import catalogue
+
+    taken = []
+    monkeypatch.setattr(catalogue.distributed, "library_tests", lambda sets, scores, edges, replicates: taken.append(replicates))
+    monkeypatch.setattr(catalogue, "edges", lambda t: None)
+    catalogue.fixed_library_tests(lambda name: None)
+    assert 1 / (taken[0] + 1) <= 0.05 and f"range(0, {taken[0]})" in catalogue.FIXED
