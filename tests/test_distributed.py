@@ -70,6 +70,21 @@ def test_draws_stay_in_their_bin(spark):
     assert (levels.groupby("replicate")["level"].apply(sorted).apply(tuple) == ("degree", "exact", "exact")).all()
 
 
+def test_a_level_is_one_step(spark, monkeypatch):
+    """Slots with genes enough and those that take any locus are dealt together; an earlier slot has a locus that two needs meet in."""
+    kept = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.append(name) or keep(self, df, name))
+    pool = spark.createDataFrame([(f"A{i}", i % 4 + 1, "near", 0) for i in range(12)], "locus_id string, n_genes long, match_bin string, degree_bin int")
+    slots = spark.createDataFrame([("m", f"A{i}", i % 4 + 1, "near", 0) for i in (0, 3, 5, 7, 11)], "module string, slot string, need long, match_bin string, degree_bin int")
+    draws = D.matched_loci(slots, pool, 8, Scratch(spark, "test"), "t").toPandas()
+    assert len(kept) == 8 and len(draws) == 40 and not draws.duplicated(["replicate", "drawn"]).any() and not set(draws["drawn"]) & {"A0", "A3", "A5", "A7", "A11"}
+    assert set(draws["level"]) == {"exact"}
+    sizes = {f"A{i}": i % 4 + 1 for i in range(12)}
+    # no locus of four genes is free, all slots of need one and two find enough
+    assert (draws["drawn"].map(sizes) >= draws["need"])[draws["need"] <= 2].all()
+
+
 def test_genes_of_a_locus_are_drawn_uniformly(spark):
     genes = spark.createDataFrame([("L4", g, s) for g, s in zip("abcd", (0.0, 0.0, 2.0, 2.0), strict=True)] + [("L2", "e", 0.0), ("L2", "f", 2.0)], "locus_id string, gene string, score double")
     draws = spark.range(3000).select(F.col("id").alias("replicate"), F.lit("m").alias("module"), F.lit("s").alias("slot"), F.lit("exact").alias("level"), F.lit(1).alias("pool_size"))
